@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.config import DATE, KEYS
-from shelfcast.functions.series import fill_backward, fill_forward, series_window
+from shelfcast.functions.series import fill_backward, fill_forward, newest_first, series_window
 from shelfcast.operators.quantiles import exact_quantiles, iqr_bounds, outside
 from shelfcast.operators.validate import validate_clean
 
@@ -66,7 +66,7 @@ def fill_calendar_gaps(df: DataFrame, keys: Sequence[str] = KEYS, date: str = DA
 def impute_sales(df: DataFrame, column: str = "sales", keys: Sequence[str] = KEYS, date: str = DATE) -> DataFrame:
     """Carry the last known value forward, then the next one back, within the series."""
     w = series_window(keys, date)
-    return df.withColumn(column, F.coalesce(fill_forward(F.col(column), w), fill_backward(F.col(column), w)))
+    return df.withColumn(column, F.coalesce(fill_forward(F.col(column), w), fill_backward(F.col(column), newest_first(keys, date))))
 
 
 def impute_median(df: DataFrame, columns: Sequence[str] = ("price", "temperature", "precipitation"),

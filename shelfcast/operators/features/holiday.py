@@ -29,7 +29,8 @@ FIRST_YEAR, LAST_YEAR = 1950, 2100
 
 def us_holidays(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     """(date, name) of all US federal holidays of the years, observed days included; one row per date."""
-    years = spark.range(first_year - 1, last_year + 2).select(F.col("id").cast("int").alias("y"))
+    # One partition: some 15 rows per year, so neither grouping nor ordering them shuffles.
+    years = spark.range(first_year - 1, last_year + 2, 1, 1).select(F.col("id").cast("int").alias("y"))
     rules = []
     for name, since, kind, month, day, n in US_RULES:
         if kind == "fixed":
@@ -60,10 +61,10 @@ def holiday_calendar(holidays: DataFrame, first_year: int = FIRST_YEAR, last_yea
     """
     spark = holidays.sparkSession
     lo, hi = f"{first_year}-01-01", f"{last_year}-12-31"
-    edge = spark.range(1).select(F.lit(lo).cast("date").alias("date"), F.lit(None).cast("string").alias("name"))
+    edge = spark.range(0, 1, 1, 1).select(F.lit(lo).cast("date").alias("date"), F.lit(None).cast("string").alias("name"))
     marks = holidays.select("date", "name").where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
-    marks = marks.unionByName(edge).groupBy("date").agg(F.max("name").alias("name"))
-    w = Window.partitionBy(F.lit(1)).orderBy("date")  # some 15 rows per year
+    marks = marks.unionByName(edge).coalesce(1).groupBy("date").agg(F.max("name").alias("name"))
+    w = Window.partitionBy(F.lit(1)).orderBy("date")
     real = F.col("name").isNotNull()
     spans = marks.select(
         "date", "name",

@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from shelfcast.config import DATE, KEYS, Config
 from shelfcast.functions.ranking import rank_within
+from shelfcast.functions.series import add_ema, add_levels, series_window
+from shelfcast.operators.features import price_promo, weather
 from shelfcast.operators.features.calendar import add_calendar
 from shelfcast.operators.features.holiday import add_holidays
-from shelfcast.operators.features.lag import add_lag_features, add_promo_lag_features, add_safe_lag_features
-from shelfcast.operators.features.price_promo import add_price_promo
-from shelfcast.operators.features.weather import add_weather
+from shelfcast.operators.features.lag import SAFE_ALPHA, lag_level, promo_level, safe_columns
 from shelfcast.operators.validate import validate_features
 
 log = logging.getLogger(__name__)
@@ -32,20 +32,33 @@ def add_feature_flags(df: DataFrame, as_of=None) -> DataFrame:
     })
 
 
-def build_features(df: DataFrame, config: Config = Config(), target: str = "sales", keys: Sequence[str] = KEYS,
-                   date: str = DATE, holidays: DataFrame | None = None, as_of=None, check: bool = False) -> DataFrame:
-    """Calendar, lags, price and promotion, and (if switched on) weather, over one shuffle on the keys."""
-    out = df
-    if config.include_calendar:
-        out = add_holidays(add_calendar(out, date), holidays, date)
-    if config.include_lags:
-        out = add_lag_features(out, target, keys, date, config.max_lag, config.rolling_windows, config.ema_alpha)
+def _finish(out: DataFrame, df: DataFrame, families: list, config: Config, target: str, keys, date, holidays) -> DataFrame:
     if config.include_price_promo:
-        out = add_price_promo(out, sales=target, keys=keys, date=date)
+        families.append(price_promo.levels(df.columns, sales=target, keys=keys, date=date))
     elif config.include_lags and "on_promo" in df.columns:
-        out = add_promo_lag_features(out, "on_promo", keys, date, config.rolling_windows)
+        families.append(promo_level("on_promo", keys, date, config.rolling_windows))
     if config.include_weather:
-        out = add_weather(out, keys=keys, date=date)
+        families.append(weather.levels(df.columns, keys=keys, date=date))
+    out = add_levels(out, *families)
+    if config.include_price_promo and "on_promo" in df.columns:
+        out = price_promo.run_lengths(out)
+    if config.include_calendar:
+        out = add_holidays(add_calendar(out, date), holidays, date)
+    return out
+
+
+def build_features(df: DataFrame, config: Config = Config(), target: str = "sales", keys: Sequence[str] = KEYS,
+                   date: str = DATE, holidays: DataFrame | None = None, as_of=None, check: bool = False) -> DataFrame:
+    """Calendar, lags, price and promotion, and (if switched on) weather, over one shuffle on the keys.
+
+    Steps that sort again come first, while rows are narrow; calendar columns come last.
+    """
+    w = series_window(keys, date)
+    families, out = [], df
+    if config.include_lags:
+        out = add_ema(out, target, f"{target}_ema_{int(1 / config.ema_alpha)}", config.ema_alpha, adjust=False, keys=keys, date=date)
+        families.append((lag_level(target, w, config.rolling_windows, config.max_lag), {}, []))
+    out = _finish(out, df, families, config, target, keys, date, holidays)
     out = add_feature_flags(out, as_of)
     if check:
         validate_features(out, df)
@@ -94,15 +107,11 @@ class FeaturePipeline:
         missing = [c for c in (*self.keys, self.date) if c not in df.columns]
         if missing:
             raise ValueError(f"Missing required columns for leakage prevention: {missing}")
-        out = df
-        if self.config.include_calendar:
-            out = add_holidays(add_calendar(out, self.date), self.holidays, self.date)
+        families, out = [], df
         if self.config.include_lags:
-            out = add_safe_lag_features(out, self.target, self.keys, self.date)
-        if self.config.include_price_promo:
-            out = add_price_promo(out, sales=self.target, keys=self.keys, date=self.date)
-        if self.config.include_weather:
-            out = add_weather(out, keys=self.keys, date=self.date)
+            out = add_ema(out, self.target, f"{self.target}_ema_14", SAFE_ALPHA, adjust=True, keys=self.keys, date=self.date, shift=1)
+            families.append((safe_columns(df.columns, self.target, series_window(self.keys, self.date)), {}, []))
+        out = _finish(out, df, families, self.config, self.target, self.keys, self.date, self.holidays)
         return add_feature_flags(out)
 
     def fit(self, df: DataFrame) -> FeaturePipeline:

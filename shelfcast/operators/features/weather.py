@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.config import DATE
-from shelfcast.functions.series import START, series_window, slope, trailing
+from shelfcast.functions.series import START, add_levels, series_window, slope, trailing
 
 # Window sizes, lags, category edges and labels.
 WINDOWS = (3, 7, 14)
@@ -40,15 +40,15 @@ def _temperature(t: str, w) -> tuple[dict, dict]:
         "is_warm": _yes((x >= 20) & (x < 30)),
         "is_hot": _yes(x >= 30),
         "temp_change": change,
-        "temp_change_abs": F.abs(change),
-        "_rn": F.row_number().over(w),
+        "_temp_rn": F.row_number().over(w),
         "_sum": F.sum(x).over(w.rowsBetween(START, 0)),
         "_cnt": F.count(x).over(w.rowsBetween(START, 0)),
     }
     for n in WINDOWS:
         f = trailing(w, n)
         one[f"temp_rolling_mean_{n}"] = F.avg(x).over(f)
-        one[f"temp_rolling_range_{n}"] = F.max(x).over(f) - F.min(x).over(f)
+        one[f"_temp_max_{n}"] = F.max(x).over(f)
+        one[f"_temp_min_{n}"] = F.min(x).over(f)
         one[f"temp_rolling_std_{n}"] = F.stddev_samp(x).over(f)
     for n in LAGS:
         one[f"temp_lag_{n}"] = F.lag(x, n).over(w)
@@ -56,7 +56,9 @@ def _temperature(t: str, w) -> tuple[dict, dict]:
     total = F.col("_sum") - F.coalesce(F.lag("_sum", 365).over(w), F.lit(0.0))
     rows = F.col("_cnt") - F.coalesce(F.lag("_cnt", 365).over(w), F.lit(0))
     two = {
-        "temp_trend": slope(x, F.col("_rn"), w, 7),
+        "temp_change_abs": F.abs("temp_change"),
+        **{f"temp_rolling_range_{n}": F.col(f"_temp_max_{n}") - F.col(f"_temp_min_{n}") for n in WINDOWS},
+        "temp_trend": slope(x, F.col("_temp_rn"), w, 7),
         "temp_seasonal_deviation": x - F.try_divide(total, rows),
     }
     return one, two
@@ -72,7 +74,7 @@ def _precipitation(p: str, w) -> tuple[dict, dict]:
         "is_heavy_rain": _yes((x > 10) & (x <= 25)),
         "is_extreme_rain": _yes(x > 25),
         "precip_change": x - F.lag(x).over(w),
-        "_rn": F.row_number().over(w),
+        "_rain_rn": F.row_number().over(w),
     }
     for n in WINDOWS:
         f = trailing(w, n)
@@ -83,8 +85,8 @@ def _precipitation(p: str, w) -> tuple[dict, dict]:
         one[f"precip_lag_{n}"] = F.lag(x, n).over(w)
 
     def spell(reset: Column) -> Column:
-        last = F.last(F.when(reset, F.col("_rn")), ignorenulls=True).over(w.rowsBetween(START, 0))
-        return (F.col("_rn") - F.coalesce(last, F.lit(1))).cast("int")
+        last = F.last(F.when(reset, F.col("_rain_rn")), ignorenulls=True).over(w.rowsBetween(START, 0))
+        return (F.col("_rain_rn") - F.coalesce(last, F.lit(1))).cast("int")
 
     return one, {"dry_spell_duration": spell(x > 0), "wet_spell_duration": spell(x == 0)}
 
@@ -100,17 +102,24 @@ def _combined(t: str, p: str) -> dict:
     }
 
 
-def add_weather(df: DataFrame, temperature: str | None = "temperature", precipitation: str | None = "precipitation",
-                keys: Sequence[str] = ("store_id",), date: str = DATE) -> DataFrame:
-    """Weather columns for whichever of the two measures the table has."""
+def levels(columns: Sequence[str], temperature: str = "temperature", precipitation: str = "precipitation",
+           keys: Sequence[str] = ("store_id",), date: str = DATE) -> tuple[dict, dict, list]:
+    """The weather family for whichever of the two measures is at hand."""
     w = series_window(keys, date)
     one, two = {}, {}
-    has_t, has_p = temperature in df.columns, precipitation in df.columns
-    for has, make, c in ((has_t, _temperature, temperature), (has_p, _precipitation, precipitation)):
-        if has:
-            a, b = make(c, w)
-            one.update(a)
-            two.update(b)
-    if has_t and has_p:
-        one.update(_combined(temperature, precipitation))
-    return df.withColumns(one).withColumns(two).drop("_rn", "_sum", "_cnt") if one else df
+    if temperature in columns:
+        a, b = _temperature(temperature, w)
+        one.update(a)
+        two.update(b)
+    if precipitation in columns:
+        a, b = _precipitation(precipitation, w)
+        one.update(a)
+        two.update(b)
+    if temperature in columns and precipitation in columns:
+        two.update(_combined(temperature, precipitation))
+    return one, two, [c for c in one if c.startswith("_")]
+
+
+def add_weather(df: DataFrame, temperature: str = "temperature", precipitation: str = "precipitation",
+                keys: Sequence[str] = ("store_id",), date: str = DATE) -> DataFrame:
+    return add_levels(df, levels(df.columns, temperature, precipitation, keys, date))
