@@ -1,4 +1,7 @@
-"""Normal distribution as column expressions."""
+"""Normal distribution as column expressions.
+
+The argument is used many times in each expression: give a column, not a long expression.
+"""
 
 from __future__ import annotations
 

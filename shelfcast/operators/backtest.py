@@ -7,10 +7,10 @@ import logging
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.operators.baselines import BASELINES
+from shelfcast.operators.baselines import BASELINES, by_name, final_state, forecasts_at
 from shelfcast.operators.metrics import DEFAULT, metric_columns
 from shelfcast.operators.validate import assert_chronological
 from shelfcast.panel import Panel, union_all
@@ -28,29 +28,35 @@ def fold_table(panel: Panel, horizon: int = 28, n_folds: int = 6) -> list[dict]:
     return [{"fold": f + 1, "cut": c, "end": c + dt.timedelta(days=horizon)} for f, c in enumerate(cuts)]
 
 
-def _folds_of(date: str, folds: Sequence[dict], test: Callable[[Column, dict], Column]) -> Column:
-    hit = [F.when(test(F.col(date), f), F.lit(f["fold"])) for f in folds]
-    return F.explode(F.array_compact(F.array(*hit)))
-
-
-def fold_rows(panel: Panel, folds: Sequence[dict]) -> tuple[DataFrame, DataFrame]:
-    """(training rows, validation rows) tagged with their fold; the folds are literals in a narrow step."""
-    columns = [*panel.keys, panel.date, panel.target]
-    train = panel.df.select(*columns, _folds_of(panel.date, folds, lambda d, f: d < F.lit(f["cut"])).alias("fold"))
-    val = panel.df.select(*columns, _folds_of(panel.date, folds, lambda d, f: (d >= F.lit(f["cut"])) & (d < F.lit(f["end"]))).alias("fold"))
-    return train, val
+def fold_rows(panel: Panel, folds: Sequence[dict]) -> DataFrame:
+    """Panel rows once per fold they train or validate (``is_val``); the folds are literals in a narrow step."""
+    d = F.col(panel.date)
+    hits = []
+    for f in folds:
+        mark = F.struct(F.lit(f["fold"]).alias("fold"), (d >= F.lit(f["cut"])).alias("is_val"))
+        hits.append(F.when(d < F.lit(f["end"]), mark))
+    rows = panel.df.select(*panel.keys, panel.date, panel.target, F.explode(F.array_compact(F.array(*hits))).alias("_f"))
+    return rows.select(*panel.keys, panel.date, panel.target, "_f.*")
 
 
 def baseline_backtest(panel: Panel, horizon: int = 28, n_folds: int = 6, models: Sequence[str] = tuple(BASELINES)) -> DataFrame:
-    """Predictions of all baselines on all folds in one plan: keys, date, fold, model, actual, forecast."""
+    """Predictions of all baselines on all folds: keys, date, fold, model, actual, forecast.
+
+    Training and validation rows of a (series, fold) meet in one window partition, so this is one
+    scan and one shuffle for all models and folds, without a join.
+    """
     folds = fold_table(panel, horizon, n_folds)
-    train, val = fold_rows(panel, folds)
-    keys = (*panel.keys, "fold")
-    by_fold = Panel(train, panel.target, keys, panel.date)
-    ahead = union_all([BASELINES[m](by_fold, horizon) for m in models])
-    ahead = ahead.select(*keys, panel.date, F.col("forecast_type").alias("model"), F.col(panel.target).alias("forecast"))
-    actual = val.select(*keys, panel.date, F.col(panel.target).alias("actual"))
-    return actual.join(ahead, [*keys, panel.date])
+    keys = [*panel.keys, "fold"]
+    whole = Window.partitionBy(*keys)
+    newest = whole.orderBy(F.desc(panel.date)).rowsBetween(Window.unboundedPreceding, 0)
+    trains = ~F.col("is_val") & F.col(panel.target).isNotNull()
+    ranked = fold_rows(panel, folds).withColumn("_back", F.when(trains, F.sum(trains.cast("int")).over(newest)))
+    state = ranked.withColumns({n: c.over(whole) for n, c in final_state(panel.target, panel.date, "_back").items()})
+    step = F.datediff(panel.date, "_last") - 1
+    val = state.where(F.col("is_val") & (F.col("_n") > 0)).withColumn("_j", step).where(F.col("_j") < horizon)
+    rows = val.select(*keys, panel.date, F.col(panel.target).alias("actual"),
+                      by_name(forecasts_at(F.col("_j")), models, "model", "forecast").alias("_p"))
+    return rows.select(*keys, panel.date, "actual", "_p.model", "_p.forecast")
 
 
 def rolling_backtest(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.series import series_window
-from shelfcast.panel import Panel, union_all
+from shelfcast.panel import Panel
 
 
 def _latest_rows(panel: Panel, n: int) -> DataFrame:
@@ -75,10 +75,51 @@ BASELINES = {
     "moving_average": moving_average,
     "exponential_smoothing": exponential_smoothing,
 }
+PERIOD, WINDOW, ALPHA = 7, 7, 0.3
+
+
+def final_state(target: str, date: str, back: str) -> dict[str, Column]:
+    """Aggregates over the known rows of a series that hold all four baselines; ``back`` counts from the newest."""
+    x, b = F.col(target).cast("double"), F.col(back)
+    return {
+        "_last": F.max(F.when(b.isNotNull(), F.col(date))),
+        "_n": F.count(b),
+        "_oldest": F.min_by(F.when(b.isNotNull(), x), F.when(b.isNotNull(), F.col(date))),
+        "_mean": F.avg(F.when(b <= WINDOW, x)),
+        "_level": F.sum(ALPHA * F.pow(F.lit(1 - ALPHA), (b - 1).cast("double")) * x),
+        **{f"_v{i}": F.max(F.when(b == i, x)) for i in range(1, PERIOD + 1)},
+    }
+
+
+def forecasts_at(step: Column) -> dict[str, Column]:
+    """Forecast of each baseline ``step`` days (from 0) after the last date, from the columns of ``final_state``."""
+    cycle = F.lit(None).cast("double")
+    for i in range(1, PERIOD + 1):
+        cycle = F.when(step % PERIOD == PERIOD - i, F.col(f"_v{i}")).otherwise(cycle)
+    # The first value enters with the full weight of everything before it.
+    start = (1 - ALPHA) * F.pow(F.lit(1 - ALPHA), (F.col("_n") - 1).cast("double")) * F.col("_oldest")
+    return {
+        "naive": F.col("_v1"),
+        "seasonal_naive": F.when(F.col("_n") >= PERIOD, cycle).otherwise(F.col("_v1")),
+        "moving_average": F.col("_mean"),
+        "exponential_smoothing": F.col("_level") + start,
+    }
+
+
+def by_name(forecasts: dict[str, Column], names: Sequence[str], label: str, value: str) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(n).alias(label), forecasts[n].alias(value)) for n in names]))
 
 
 def all_baselines(panel: Panel, horizon: int = 28, names: Sequence[str] = tuple(BASELINES)) -> DataFrame:
-    return union_all([BASELINES[n](panel, horizon) for n in names])
+    """All baselines from one pass over the panel and one shuffle."""
+    w = Window.partitionBy(*panel.keys).orderBy(F.desc(panel.date))
+    known = panel.df.where(F.col(panel.target).isNotNull()).select(*panel.keys, panel.date, panel.target)
+    ranked = known.withColumn("_back", F.row_number().over(w))
+    state = ranked.groupBy(*panel.keys).agg(*[c.alias(n) for n, c in final_state(panel.target, panel.date, "_back").items()])
+    steps = state.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
+    rows = steps.select(*panel.keys, F.date_add("_last", F.col("_j") + 1).alias(panel.date),
+                        by_name(forecasts_at(F.col("_j")), names, "forecast_type", panel.target).alias("_f"))
+    return rows.select(*panel.keys, panel.date, f"_f.{panel.target}", "_f.forecast_type")
 
 
 def one_step_naive(panel: Panel, out: str = "yhat") -> DataFrame:
