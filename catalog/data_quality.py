@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.base import EVENTS, FILLED, K, PANEL, W, as_panel, events_of, filled_of, panel_of, query
 from shelfcast import panel as panels
-from shelfcast.functions.normal import norm_cdf, norm_ppf  # noqa: F401
 from shelfcast.operators import clean, profile, validate
+from shelfcast.operators.models import to_model_matrix
+from shelfcast.sources import files
 from shelfcast.sources.star import sales_panel, table
 
 MEASURES = ["sales", "price", "temperature", "precipitation"]
@@ -193,6 +195,42 @@ def _(spark, folder):
     return validate.flag_invalid_rows(bad).select("date", "store_id", "item_id", F.array_join("errors", "; ").alias("errors"))
 
 
+@query(
+    "validation_results",
+    f"""WITH {FILLED} --result
+    SELECT count(*) = count(DISTINCT (date, store_id, item_id)) AND count(date) = count(*) AS valid_series,
+      min(sales) >= 0 AS no_negative_sales, count(*) FILTER (WHERE on_promo IS NULL OR on_promo NOT IN (0, 1)) = 0 AS raw_flags_valid,
+      count(*) FILTER (WHERE on_promo NOT IN (0, 1)) = 0 AS clean_flags_valid FROM filled""",
+)
+def _(spark, folder):
+    p = filled_of(spark, folder)
+
+    def passes(check, *args, **kw) -> bool:
+        try:
+            check(*args, **kw)
+            return True
+        except ValueError:
+            return False
+
+    found = {
+        "valid_series": validate.validate_series(as_panel(p)),
+        "no_negative_sales": passes(validate.validate_raw, p.withColumn("on_promo", F.lit(0))),
+        "raw_flags_valid": passes(validate.validate_raw, p),
+        "clean_flags_valid": passes(validate.validate_clean, p),
+    }
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in found.items()])
+
+
+@query("read_parquet", "SELECT * FROM supplier", ["s_acctbal"])
+def _(spark, folder):
+    return files.load_data(spark, path=f"{folder}/supplier.parquet")
+
+
+@query("read_directory", "SELECT * FROM part", ["p_retailprice"])
+def _(spark, folder):
+    return files.load_data(spark, directory=folder, pattern="part.parquet")
+
+
 # --- profiling ------------------------------------------------------------------------------
 
 
@@ -458,3 +496,16 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return panels.top_k(panel_of(spark, folder), [F.desc("sales"), F.asc("date")], 10, by=["store_id", "item_id"])
+
+
+@query(
+    "model_matrix",
+    f"""WITH {FILLED} --result
+    SELECT date, {K}, coalesce(price, 0) AS x_price, coalesce(on_promo, 0) AS x_promo, coalesce(temperature, 0) AS x_temperature, sales AS label FROM filled""",
+    ["x_price", "x_promo", "x_temperature", "label"],
+    ["date"],
+)
+def _(spark, folder):
+    m = to_model_matrix(filled_of(spark, folder), ["price", "on_promo", "temperature"])
+    x = vector_to_array("features")
+    return m.select("date", "store_id", "item_id", x[0].alias("x_price"), x[1].alias("x_promo"), x[2].alias("x_temperature"), "label")

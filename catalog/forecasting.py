@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import FILLED, K, W, as_panel, filled_of, query
 from catalog.data_quality import IMPUTED
+from shelfcast.functions.normal import norm_cdf
 from shelfcast.operators import backtest, baselines, clean, metrics, runlog
 
 BASE = f"WITH {FILLED}, {IMPUTED}"
@@ -154,9 +155,17 @@ def _(spark, folder):
     return metrics.residual_histogram(step_of(spark, folder))
 
 
-@query("qq_points")
+@query(
+    "qq_points",
+    f"""WITH {FILLED}, {STEP}, r AS (SELECT {K}, e, row_number() OVER (PARTITION BY {K} ORDER BY e) - 1 AS rank, count(*) OVER (PARTITION BY {K}) AS n FROM err) --result
+    SELECT {K}, rank, CASE WHEN rank = 0 THEN 1 - pow(0.5, 1.0 / n) WHEN rank = n - 1 THEN pow(0.5, 1.0 / n) ELSE (rank + 1 - 0.3175) / (n + 0.365) END AS place,
+      e AS ordered FROM r""",
+    ["place", "ordered"],
+)
 def _(spark, folder):
-    return metrics.qq_points(metrics.residuals(step_of(spark, folder)), by=["store_id", "item_id"])
+    # Shown as probabilities: the distribution function of the theoretical quantiles.
+    points = metrics.qq_points(metrics.residuals(step_of(spark, folder)), by=["store_id", "item_id"])
+    return points.select("store_id", "item_id", "rank", norm_cdf(F.col("theoretical")).alias("place"), "ordered")
 
 
 # --- backtest -------------------------------------------------------------------------------

@@ -374,6 +374,23 @@ def _(spark, folder):
     return drift.prediction_drift(new, p.select(F.col("sales").alias("yhat")))
 
 
-@query("data_drift")
+def psi_panel(c: str) -> str:
+    """Share of each quantile bin of the older half, in both halves of the filled panel."""
+    return f"""
+e_{c} AS (SELECT CAST({c} AS DOUBLE) AS v FROM filled WHERE date < DATE '2000-01-01' AND {c} IS NOT NULL),
+a_{c} AS (SELECT CAST({c} AS DOUBLE) AS v FROM filled WHERE date >= DATE '2000-01-01' AND {c} IS NOT NULL),
+q_{c} AS (SELECT list_sort(list_distinct(quantile_cont(v, [{PROBS}]))) AS edges FROM e_{c}),
+b_{c} AS (SELECT i, edges[i] AS lo, edges[i + 1] AS hi, i = len(edges) - 1 AS last FROM (SELECT edges, unnest(range(1, len(edges))) AS i FROM q_{c})),
+s_{c} AS (SELECT i, (SELECT count(*) FROM e_{c} WHERE v >= lo AND (v < hi OR (last AND v <= hi))) / CAST((SELECT count(*) FROM e_{c}) AS DOUBLE) AS pe,
+                    (SELECT count(*) FROM a_{c} WHERE v >= lo AND (v < hi OR (last AND v <= hi))) / CAST((SELECT count(*) FROM a_{c}) AS DOUBLE) AS pa FROM b_{c}),
+psi_{c} AS (SELECT '{c}_psi' AS metric, greatest(coalesce(sum((pa - pe) * ln(pa / pe)) FILTER (WHERE pa > 0 AND pe > 0), 0), 0) AS value FROM s_{c})"""
+
+
+@query(
+    "data_drift",
+    f"""WITH {FILLED}, {','.join(psi_panel(c) for c in drift.FEATURES)} --result
+    {moments_sql(drift.FEATURES)} UNION ALL {missing_sql()} {' '.join(f"UNION ALL SELECT * FROM psi_{c}" for c in drift.FEATURES)}""",
+    ["value"],
+)
 def _(spark, folder):
     return drift.data_drift(*panel_halves(spark, folder))

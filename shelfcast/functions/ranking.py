@@ -39,6 +39,8 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_part")
     earlier = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.withColumn("_before", earlier).drop("_n")
-    same = [numbered["_part"] == starts["_part"], *[numbered[c].eqNullSafe(starts[c]) for c in by]]
-    joined = numbered.join(starts, same)
-    return joined.select(*[numbered[c] for c in df.columns], (F.col("_before") + F.col("_id") - F.col("_start")).alias(out))
+    starts = starts.select(F.col("_part").alias("_sp"), "_start", "_before", *[F.col(c).alias(f"_s_{i}") for i, c in enumerate(by)])
+    same = F.col("_part") == F.col("_sp")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{i}"))
+    return numbered.join(starts, same).select(*df.columns, (F.col("_before") + F.col("_id") - F.col("_start")).alias(out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +52,13 @@ def mean_shift_contributions(model, df: DataFrame, columns: Sequence[str], ids:
     A feature's contribution is the change of the prediction when its value is replaced by the
     mean. All variants of a row are rows of one table, scored in one pass.
     """
-    from pyspark.ml.functions import array_to_vector
-
     base = df.select(*ids, vector_to_array(vector).alias("_x"))
     means = base.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(len(columns))]).first()
-    changed = [F.struct(F.lit(c).alias("feature"),
-                        F.transform("_x", lambda x, j, i=i: F.when(j == i, float(means[i])).otherwise(x)).alias("_v"))
-               for i, c in enumerate(columns)]
+
+    def at_mean(i: int):
+        return F.transform("_x", lambda x, j: F.when(j == i, float(means[i])).otherwise(x))
+
+    changed = [F.struct(F.lit(c).alias("feature"), at_mean(i).alias("_v")) for i, c in enumerate(columns)]
     same = F.struct(F.lit("").alias("feature"), F.col("_x").alias("_v"))
     rows = base.select(*ids, F.explode(F.array(same, *changed)).alias("_r")).select(*ids, "_r.feature", array_to_vector("_r._v").alias(vector))
     scored = model.transform(rows)
