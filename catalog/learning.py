@@ -17,7 +17,8 @@ ITERATIONS = 5
 def parts(spark, folder):
     """(training rows, validation rows) of the imputed panel: the last four weeks are held out."""
     p = clean.impute_defaults(clean.impute_median(clean.impute_sales(filled_of(spark, folder)), ["price"]))
-    panel = as_panel(p.select("date", "store_id", "item_id", "sales", "on_promo", "price"))
+    # Read by every fold and again for features of later days, so kept.
+    panel = as_panel(p.select("date", "store_id", "item_id", "sales", "on_promo", "price").persist())
     return split_at(panel, rolling_origin_splits(panel, 1, 28)[0])
 
 

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL = 1_000_000
 
 
-def checkpointed(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Materialise in the shared folder named by ``spark.checkpoint.dir``, so that lost executors cost nothing."""
-    spark = spark or df.sparkSession
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write the rows once to the shared folder named by ``spark.checkpoint.dir``, so that lost executors cost nothing.
+
+    Only a session without that setting, as in tests, gets a folder of its own.
+    """
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+    kept = df.persist()
+    try:
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank", small: int = SMALL) -> DataFrame:

@@ -102,12 +102,14 @@ def clean(
     """Parse the date, then deduplicate, cap, fill the calendar, impute (optional), flag and check.
 
     ``is_outlier`` marks the values that were capped; ``is_missing`` marks days without sales after
-    filling (none are left when imputing).
+    filling (none are left when imputing). The deduplicated rows are read several times (fences,
+    period, checks, result), so they are persisted; they spill to disk and survive lost executors.
     """
     df = df.withColumn(DATE, F.to_date(DATE))
     columns = [c for c in MEASURES if c in df.columns]
     if remove_duplicates:
         df = drop_duplicates(df, order_by=order_by)
+    df = df.persist()
     bounds = iqr_bounds(df, columns)
     flag = outside("sales", bounds["sales"]) if "sales" in columns else F.lit(False)
     df = df.withColumn("is_outlier", flag)

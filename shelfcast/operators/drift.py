@@ -66,46 +66,52 @@ def psi_categorical(expected: DataFrame, actual: DataFrame, columns: Sequence[st
     return _psi(counts, "feature")
 
 
-def moment_drift(new: DataFrame, historical: DataFrame, columns: Sequence[str] = FEATURES, names: Sequence[str] | None = None) -> DataFrame:
-    """(metric, value) rows: relative change of mean and standard deviation; 0 where the old one is not positive."""
-    columns = [c for c in columns if c in new.columns and c in historical.columns]
-    names = list(names or columns)
-    both = _sides(*[d.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)]) for d in (historical, new)])
-    long = both.unpivot(["_new"], names, "feature", "value")
-    old, now = F.when(F.col("_new") == 0, F.col("value")), F.when(F.col("_new") == 1, F.col("value"))
-    s = long.groupBy("feature").agg(F.avg(old).alias("m0"), F.avg(now).alias("m1"), F.stddev_samp(old).alias("s0"),
-                                    F.stddev_samp(now).alias("s1"), F.count_if(F.col("_new") == 0).alias("n0"),
-                                    F.count_if(F.col("_new") == 1).alias("n1"))
-
-    def change(a: str, b: str) -> Column:
-        return F.when(F.col(a) > 0, F.abs(F.col(b) - F.col(a)) / F.col(a)).otherwise(0.0)
+def _changes(new: DataFrame, historical: DataFrame, moments: dict[str, str], missing: Sequence[str]) -> DataFrame:
+    """(metric, value) rows from one pass over both tables: a single row of conditional aggregates, then unpivoted.
 
-    both_sides = s.where("n0 > 0 and n1 > 0")
-    wide = both_sides.select("feature", change("m0", "m1").alias("mean_drift"), change("s0", "s1").alias("std_drift"))
-    long = wide.unpivot(["feature"], ["mean_drift", "std_drift"], "kind", "value")
-    return long.select(F.concat_ws("_", "feature", "kind").alias("metric"), "value")
+    ``moments`` maps columns to the names their metrics start with.
+    """
+    needed = list(dict.fromkeys([*moments, *missing]))
+    both = _sides(historical.select(*needed), new.select(*needed))
+    old, now = F.col("_new") == 0, F.col("_new") == 1
+    aggs = [F.count_if(old).alias("n0"), F.count_if(now).alias("n1")]
+    out = {}
+    for c, name in moments.items():
+        for kind, f in (("mean", F.avg), ("std", F.stddev_samp)):
+            a, b = f"{c}_{kind}_0", f"{c}_{kind}_1"
+            x = F.col(c).cast("double")
+            aggs += [f(F.when(old, x)).alias(a), f(F.when(now, x)).alias(b)]
+            out[f"{name}_{kind}_drift"] = F.when(F.col(a) > 0, F.abs(F.col(b) - F.col(a)) / F.col(a)).otherwise(0.0)
+    for c in missing:
+        gone = F.col(c).isNull()
+        aggs += [F.count_if(old & gone).alias(f"{c}_null_0"), F.count_if(now & gone).alias(f"{c}_null_1")]
+        share = [F.try_divide(F.col(f"{c}_null_{i}"), F.col(f"n{i}")) for i in (0, 1)]
+        out[f"{c}_missing_drift"] = F.abs(share[1] - share[0])
+    row = both.agg(*aggs).where("n0 > 0 and n1 > 0").select(*[v.cast("double").alias(k) for k, v in out.items()])
+    return row.unpivot([], list(out), "metric", "value")
+
+
+def moment_drift(new: DataFrame, historical: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
+    """(metric, value) rows: relative change of mean and standard deviation; 0 where the old one is not positive."""
+    return _changes(new, historical, {c: c for c in columns if c in new.columns and c in historical.columns}, [])
 
 
 def missing_drift(new: DataFrame, historical: DataFrame) -> DataFrame:
     """(metric, value) rows: change of the share of nulls in every column both tables have."""
-    columns = [c for c in new.columns if c in historical.columns]
-    both = _sides(*[d.select(*[F.col(c).isNull().cast("int").alias(c) for c in columns]) for d in (historical, new)])
-    long = both.unpivot(["_new"], columns, "feature", "gone")
-    share = long.groupBy("feature").agg(F.avg(F.when(F.col("_new") == 0, F.col("gone"))).alias("a"),
-                                        F.avg(F.when(F.col("_new") == 1, F.col("gone"))).alias("b"))
-    return share.select(F.concat("feature", F.lit("_missing_drift")).alias("metric"), F.abs(F.col("b") - F.col("a")).alias("value"))
+    return _changes(new, historical, {}, [c for c in new.columns if c in historical.columns])
 
 
 def prediction_drift(new: DataFrame, historical: DataFrame) -> DataFrame:
     """Moment drift of ``yhat``; no rows if either table is empty."""
-    return moment_drift(new, historical, ["yhat"], ["prediction"])
+    return _changes(new, historical, {"yhat": "prediction"}, [])
 
 
 def data_drift(new: DataFrame, historical: DataFrame, columns: Sequence[str] = FEATURES, bins: int = 10) -> DataFrame:
     """All (metric, value) rows for a new batch against history."""
     columns = [c for c in columns if c in new.columns and c in historical.columns]
     psi = psi_numeric(historical, new, columns, bins).select(F.concat("feature", F.lit("_psi")).alias("metric"), F.col("psi").alias("value"))
-    return psi.unionByName(moment_drift(new, historical, columns)).unionByName(missing_drift(new, historical))
+    shared = [c for c in new.columns if c in historical.columns]
+    return psi.unionByName(_changes(new, historical, {c: c for c in columns}, shared))
 
 
 def drift_alerts(metrics: DataFrame, threshold: float = ALERT) -> DataFrame:

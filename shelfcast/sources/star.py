@@ -10,31 +10,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def store_of_supplier(spark: SparkSession, folder: str) -> DataFrame:
-    """(l_suppkey, store_id): nation and region are fixed reference lists of 25 and 5 rows."""
-    nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
-    region = table(spark, folder, "region").select("r_regionkey", "r_name")
-    places = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+def with_store(lines: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Add ``store_id``, the region of the supplier.
+
+    Lines meet the plain supplier table first, so the planner sees its true size: it is broadcast
+    when small and shuffled, with skew splitting, when not. Nation and region are fixed reference
+    lists of 25 and 5 rows.
+    """
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    return supplier.join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("store_id")
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, folder, "region").select("r_regionkey", F.col("r_name").alias("store_id"))
+    return (
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     )
 
 
 def sales_panel(spark: SparkSession, folder: str, item: str = "l_returnflag") -> DataFrame:
     """One row per (date, region, item) with sales, promo flag, price and weather stand-ins.
 
-    Flags and cents are summed as integers, so results do not depend on summation order. The
-    supplier join is left to the planner: broadcast when small, shuffled with skew splitting when not.
+    Flags and cents are summed as integers, so results do not depend on summation order. Only
+    daily totals leave the map side, so a busy store or item costs no more than a quiet one.
     """
     lines = table(spark, folder, "lineitem")
     if item != "l_returnflag":
         part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), item)
         lines = lines.join(part, "l_partkey")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    discount = F.round(F.col("l_discount") * 100).cast("long")
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    discount = F.floor(F.col("l_discount") * 100 + 0.5)
     daily = (
-        lines.join(store_of_supplier(spark, folder), "l_suppkey")
+        with_store(lines, spark, folder)
         .groupBy(F.col("l_shipdate").cast("date").alias("date"), "store_id", F.col(item).alias("item_id"))
         .agg(
             F.sum("l_quantity").alias("sales"),
