@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.config import DATE, KEYS, Config
-from shelfcast.functions.ranking import rank_within
+from shelfcast.functions.ranking import checkpointed, rank_within
 from shelfcast.functions.series import add_ema, add_levels, series_window
 from shelfcast.operators.features import price_promo, weather
 from shelfcast.operators.features.calendar import add_calendar
@@ -118,7 +118,7 @@ class FeaturePipeline:
         built = self._build(df)
         new = [c for c in built.columns if c not in df.columns]
         self.encoded = [c for c in new if isinstance(built.schema[c].dataType, T.StringType)]
-        self.dictionary = fit_labels(built, self.encoded) if self.encoded else None
+        self.dictionary = checkpointed(fit_labels(built, self.encoded)) if self.encoded else None
         self.columns = new
         return self
 

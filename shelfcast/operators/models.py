@@ -2,7 +2,8 @@
 
 Every forecaster has ``fit(train) -> fitted`` and ``fitted.predict(future) -> DataFrame`` with
 ``yhat`` (and ``yhat_lower``, ``yhat_upper`` where the model has an interval). The boosted ones
-take feature tables, the classical ones the panel itself.
+take feature tables, the classical ones the panel itself. What a fitted model keeps per series is
+written once to the checkpoint folder, so predicting does not read the training rows again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from shelfcast.config import DATE, KEYS, TARGET
 from shelfcast.functions.normal import norm_ppf
+from shelfcast.functions.ranking import checkpointed
 from shelfcast.functions.series import add_ema, change_base, pct_change, series_window
 from shelfcast.operators.explain import tree_importance
 from shelfcast.operators.features.calendar import calendar_columns, fourier
@@ -179,16 +181,23 @@ class QuantileForecaster:
     date: str = DATE
 
     def fit(self, train: DataFrame) -> FittedQuantile:
+        b = self.base
+        inputs = list(b.inputs) or input_columns(train, b.target, b.keys, self.date)
+        # Read by two fits and the calibration.
+        train = train.select(*b.keys, self.date, b.target, *inputs).persist()
         last = train.agg(F.max(self.date)).first()[0]
         cut = F.date_sub(F.lit(last), self.horizon - 1)
         head, tail = train.where(F.col(self.date) < cut), train.where(F.col(self.date) >= cut)
-        probe = self.base.fit(head)
-        resid = probe.transform(tail).select(*self.base.keys, (F.col(self.base.target) - F.col("yhat")).alias("r")).where("r is not null")
+        probe = b.fit(head)
+        resid = probe.transform(tail).select(*b.keys, (F.col(b.target) - F.col("yhat")).alias("r")).where("r is not null").persist()
         overall = exact_quantiles(resid, ["r"], self.quantiles)["r"] or [0.0, 0.0, 0.0]
         probs = F.array(*[F.lit(float(q)) for q in self.quantiles])
-        own = resid.groupBy(*self.base.keys).agg(F.count("*").alias("n"), F.percentile("r", probs).alias("offsets"))
-        own = own.where(F.col("n") >= MIN_RESIDUALS).drop("n")
-        return FittedQuantile(self.base.fit(train), own, tuple(overall), self.base.keys)
+        own = resid.groupBy(*b.keys).agg(F.count("*").alias("n"), F.percentile("r", probs).alias("offsets"))
+        own = checkpointed(own.where(F.col("n") >= MIN_RESIDUALS).drop("n"))
+        fitted = FittedQuantile(b.fit(train), own, tuple(overall), b.keys)
+        resid.unpersist()
+        train.unpersist()
+        return fitted
 
 
 @dataclass(frozen=True)
@@ -272,7 +281,7 @@ class SeasonalArForecaster:
             *[F.array_sort(F.collect_list(F.struct(self.date, F.coalesce(F.col(c), F.lit(0.0)).alias("v")))).getField("v").alias(n)
               for c, n in (("_z", "_zs"), (self.target, "_ys"))],
         )
-        return FittedSeasonalAr(self, state, dict(zip(names, coef)), intercept, sigma, weights)
+        return FittedSeasonalAr(self, checkpointed(state), dict(zip(names, coef)), intercept, sigma, weights)
 
 
 @dataclass(frozen=True)
@@ -353,7 +362,7 @@ class TrendSeasonalityForecaster:
         lr = LinearRegression(featuresCol="_v", labelCol="_ly", predictionCol="_p", regParam=self.reg_param).fit(data)
         resid = lr.transform(data).select((F.col("_ly") - F.col("_p")).alias("r"))
         low, high = exact_quantiles(resid, ["r"], [0.1, 0.9])["r"]
-        return FittedTrendSeasonality(self, lr, levels, first, span, low, high)
+        return FittedTrendSeasonality(self, lr, checkpointed(levels), first, span, low, high)
 
 
 @dataclass(frozen=True)
