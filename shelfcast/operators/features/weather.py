@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.config import DATE
+from shelfcast.config import DATE, KEYS
 from shelfcast.functions.series import START, add_levels, series_window, slope, trailing
 
 # Window sizes, lags, category edges and labels.
@@ -103,7 +103,7 @@ def _combined(t: str, p: str) -> dict:
 
 
 def levels(columns: Sequence[str], temperature: str = "temperature", precipitation: str = "precipitation",
-           keys: Sequence[str] = ("store_id",), date: str = DATE) -> tuple[dict, dict, list]:
+           keys: Sequence[str] = KEYS, date: str = DATE) -> tuple[dict, dict, list]:
     """The weather family for whichever of the two measures is at hand."""
     w = series_window(keys, date)
     one, two = {}, {}
@@ -121,5 +121,6 @@ def levels(columns: Sequence[str], temperature: str = "temperature", precipitati
 
 
 def add_weather(df: DataFrame, temperature: str = "temperature", precipitation: str = "precipitation",
-                keys: Sequence[str] = ("store_id",), date: str = DATE) -> DataFrame:
+                keys: Sequence[str] = KEYS, date: str = DATE) -> DataFrame:
+    """Weather columns per series. For a table with one row per store and day pass ``keys=("store_id",)``."""
     return add_levels(df, levels(df.columns, temperature, precipitation, keys, date))
