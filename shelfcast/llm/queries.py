@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.llm.bpe import encode_documents
 from shelfcast.llm.common import table
+from shelfcast.llm.substrings import remove_repeated_passages
 
 #: Vocabulary file of the encoding operator; None: byte_bpe_50k.json of the installed public_tokenizers.
 VOCABULARY: str | None = None
@@ -23,5 +24,24 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_trie,)}
-SQL: dict[str, str] = {}
+def op6_substring_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
+SUBSTRINGS = """
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM texts WHERE len(words) >= 50),
+windows AS (SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS h FROM places),
+firsts AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT w.doc_id, w.p FROM windows w JOIN firsts f ON f.h = w.h WHERE f.first_id < w.doc_id),
+removed AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM hits)),
+numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS q FROM texts),
+kept AS (SELECT n.doc_id, n.q, n.word FROM numbered n ANTI JOIN removed r ON r.doc_id = n.doc_id AND r.q = n.q),
+joined AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS body FROM kept GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id"""
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe_trie, op6_substring_sketch)}
+SQL: dict[str, str] = {"op6_substring_sketch": SUBSTRINGS}
