@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.llm.bpe import encode_documents
 from shelfcast.llm.common import table
+from shelfcast.llm.lines import drop_near_lines
 from shelfcast.llm.substrings import remove_repeated_passages
 
 #: Vocabulary file of the encoding operator; None: byte_bpe_50k.json of the installed public_tokenizers.
@@ -20,6 +21,34 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_near_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+LINES = """
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM texts),
+worded AS (SELECT *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS words FROM lines),
+ranked AS (SELECT doc_id, no, words, array_to_string(words, ' ') AS body, row_number() OVER (ORDER BY doc_id, no) AS pos
+  FROM worded WHERE len(words) > 0),
+firsts AS (SELECT body, min(pos) AS pos, any_value(words) AS words FROM ranked GROUP BY body),
+variants AS (
+  SELECT pos, len(words) AS n, p, array_to_string(list_concat(words[1:p - 1], words[p + 1:]), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM firsts WHERE len(words) >= 8)),
+near AS (
+  SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY n, p, rest) AS least FROM variants) WHERE least < pos
+  UNION
+  SELECT greatest(v.pos, f.pos) FROM variants v JOIN firsts f ON f.body = v.rest WHERE v.n > 8),
+gone AS (
+  SELECT r.doc_id, r.no FROM ranked r JOIN firsts f ON f.body = r.body WHERE r.pos > f.pos
+  UNION SELECT doc_id, no FROM ranked WHERE pos IN (SELECT pos FROM near)),
+kept AS (SELECT l.doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY l.no) AS body
+  FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.no = l.no GROUP BY l.doc_id)
+SELECT t.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id"""
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -43,5 +72,5 @@ SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_trie, op6_substring_sketch)}
-SQL: dict[str, str] = {"op6_substring_sketch": SUBSTRINGS}
+QUERIES = {f.__name__: f for f in (op2_near_lines, op5_bpe_trie, op6_substring_sketch)}
+SQL: dict[str, str] = {"op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}
