@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfcast.llm.bpe import encode_documents
 from shelfcast.llm.common import table
 from shelfcast.llm.lines import drop_near_lines
+from shelfcast.llm.mixing import mix
+from shelfcast.llm.quality import score_quality
 from shelfcast.llm.substrings import remove_repeated_passages
 
 #: Vocabulary file of the encoding operator; None: byte_bpe_50k.json of the installed public_tokenizers.
@@ -72,5 +75,16 @@ SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM texts t LEFT JOIN joined j ON j.doc_id = t.doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op2_near_lines, op5_bpe_trie, op6_substring_sketch)}
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), F.array("source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source`` is the site of a document and ``lang`` the section."""
+    scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return scores.drop("_id", "_tag")
+
+
+QUERIES = {f.__name__: f for f in (op2_near_lines, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op10_site_quality)}
 SQL: dict[str, str] = {"op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}
