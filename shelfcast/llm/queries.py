@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm.bpe import encode_documents
 from shelfcast.llm.common import table
+from shelfcast.llm.fingerprints import fingerprints
 from shelfcast.llm.lines import drop_near_lines
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.quality import score_quality
@@ -80,11 +81,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` is the site of a document and ``lang`` the section."""
     scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     return scores.drop("_id", "_tag")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_lines, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op10_site_quality)}
+QUERIES = {f.__name__: f for f in (op2_near_lines, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op9_lookup_sketch, op10_site_quality)}
 SQL: dict[str, str] = {"op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}

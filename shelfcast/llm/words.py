@@ -81,6 +81,14 @@ class Words:
         return out[at], at
 
 
+    def runs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words a to b, for arrays of ends."""
+        up, down = _powers(1 << max(16, int(len(self.hashes) + 1).bit_length()))
+        sums = np.zeros(len(self.hashes) + 1, np.uint64)
+        np.cumsum(self.hashes * up[: len(self.hashes)], out=sums[1:])
+        return scramble((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of an ordered pair of hashes."""
     x = a * _U(0xA0761D6478BD642F) + b
