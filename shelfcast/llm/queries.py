@@ -10,8 +10,10 @@ from shelfcast.llm.common import table
 from shelfcast.llm.fingerprints import fingerprints
 from shelfcast.llm.lines import drop_near_lines
 from shelfcast.llm.mixing import mix
+from shelfcast.llm.privacy import find_private
 from shelfcast.llm.quality import score_quality
 from shelfcast.llm.substrings import remove_repeated_passages
+from shelfcast.llm.urls import filter_urls
 
 #: Vocabulary file of the encoding operator; None: byte_bpe_50k.json of the installed public_tokenizers.
 VOCABULARY: str | None = None
@@ -53,6 +55,14 @@ SELECT t.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n,
 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id"""
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose id is the last number in its url, so it has that document's labels."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '([0-9]+)[^0-9/?#]*/?(?:[?#]|$)', 1) AS BIGINT)").alias("doc_id"))
+    bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return filter_urls(pages, shown.join(bad, "doc_id").select("page_id", "bad"))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -81,6 +91,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(table(spark, sf_dir, "documents"))
+
+
 def op9_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -91,5 +105,5 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.drop("_id", "_tag")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_lines, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op9_lookup_sketch, op10_site_quality)}
+QUERIES = {f.__name__: f for f in (op2_near_lines, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality)}
 SQL: dict[str, str] = {"op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}

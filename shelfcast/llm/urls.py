@@ -15,6 +15,8 @@ from shelfcast.llm.common import saved, shuffle_parts
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Share of the labelled pages that a combination of tokens must have, and share of bad pages among those with it.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: Pages that a combination must have at least, however few are labelled.
+MIN_PAGES = 25
 BAD = "=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,13 +58,14 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(parts)))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """Combinations of tokens that make a page bad, from ``tokens`` and ``bad``: ``needs``, ``key`` (its rarest token), ``confidence``, ``support``.
 
     How many there are is bounded by the support, not by the number of pages.
     """
     items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
     baskets = labelled.where("bad IS NOT NULL AND size(tokens) > 0").select(items.alias("items"))
+    min_support = min(1.0, max(min_support, min_pages / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=shuffle_parts(labelled.sparkSession)).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.col("antecedent").alias("needs"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
@@ -70,7 +73,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return ways.groupBy("needs", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, page: str = "page_id", url: str = "url", rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, page: str = "page_id", url: str = "url", rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """A verdict for each page: that of the longest fixed rule, else block if a mined rule fits, else allow.
 
     ``labels`` has ``page`` (the page's id) and ``bad`` (boolean); null ids and labels are left aside, and a page with
@@ -83,7 +86,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page: str = "page_id", url:
     parsed = pages.select(F.col(page).alias("page"), F.col(url).cast("string").alias("url"), where.alias("host"), at.alias("path"))
     parsed = parsed.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path"))).drop("url")
     known = parsed.select("page", "tokens").join(labels.select(F.col(page).alias("page"), "bad"), "page")
-    mined = saved(mine_rules(known.select("tokens", "bad"), min_support, min_confidence))
+    mined = saved(mine_rules(known.select("tokens", "bad"), min_support, min_confidence, min_pages))
     # Many pages have equal tokens, so rules are matched once for each set of tokens; a rule is looked up by its rarest token.
     sets = parsed.select("tokens").distinct()
     tried = sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key").where(F.size(F.array_except("needs", "tokens")) == 0)
