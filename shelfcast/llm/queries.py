@@ -10,6 +10,7 @@ from shelfcast.llm.common import table
 from shelfcast.llm.fingerprints import fingerprints
 from shelfcast.llm.lines import drop_near_lines
 from shelfcast.llm.mixing import mix
+from shelfcast.llm.mtree import top_k
 from shelfcast.llm.privacy import find_private
 from shelfcast.llm.quality import score_quality
 from shelfcast.llm.substrings import remove_repeated_passages
@@ -27,6 +28,22 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SEARCH = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 def op2_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_near_lines(table(spark, sf_dir, "documents")).select("row.doc_id", "n_lines", "n_removed", "kept_sha256")
 
@@ -105,5 +122,5 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.drop("_id", "_tag")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_lines, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality)}
-SQL: dict[str, str] = {"op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}
+QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality)}
+SQL: dict[str, str] = {"op1_mtree_search": SEARCH, "op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}
