@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.llm.bpe import encode_documents
 from shelfcast.llm.common import table
 from shelfcast.llm.fingerprints import fingerprints
+from shelfcast.llm.jaccard import similar_documents
 from shelfcast.llm.lines import drop_near_lines
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.mtree import top_k
@@ -72,6 +73,10 @@ SELECT t.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n,
 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id"""
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page shows the document whose id is the last number in its url, so it has that document's labels."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -122,5 +127,5 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.drop("_id", "_tag")
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality)}
+QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op3_chosen_path, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality)}
 SQL: dict[str, str] = {"op1_mtree_search": SEARCH, "op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}
