@@ -175,7 +175,8 @@ def _kind(kind: int, out: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _removals(x: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
-    return _kind(0, bundles(_part(x["doc"], parts), _order({c: x[c] for c in _PLACE})))
+    x = _order({c: x[c] for c in _PLACE})
+    return _kind(0, bundles(_part(x["doc"], parts), x))
 
 
 def _shared(some: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -257,7 +258,8 @@ def _neighbours(slices: int, parts: int, hints, bits: int):
             least = {r: np.minimum.reduceat(np.where(x["role"] == r, rank, far), starts)[of] for r in (0, 1, 2)}
             for r, other in ((0, 0), (1, 2), (2, 1)):
                 late |= (x["role"] == r) & (least[other] < rank)
-        return _take(x, ~late), _take(x, late, *_PLACE)
+        # A whole line goes on even if it is late: longer lines elsewhere may come after it.
+        return _take(x, ~late | (x["role"] == 2)), _take(x, late, *_PLACE)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _gathered(batches, take):
