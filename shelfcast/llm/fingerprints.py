@@ -187,7 +187,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = F.coalesce("doc_id", F.lit(_LAST))
     length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(RANGES, max(2 * shuffle_parts(spark), length >> 22))
-    limits = sorted(set(map(int, rows.select(order.cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))) if length else []
+    cuts = rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if length else []
+    limits = sorted({int(x) for x in cuts if abs(x) < 2.0**63})
     place = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= order)) if limits else F.lit(0)
     placed = rows.withColumn("order", order).withColumn("place", place)
     firsts = sorted(placed.groupBy("place").agg(F.min("order").alias("first")).collect())
