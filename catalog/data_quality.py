@@ -401,7 +401,8 @@ def _(spark, folder):
     "histogram",
     f"""WITH {PANEL}, b AS (SELECT min(sales) AS lo, max(sales) AS hi, (max(sales) - min(sales)) / 50 AS step FROM panel),
     c AS (SELECT CAST(least(floor((sales - lo) / ((hi - lo) / 50)) + 1, 50) AS INTEGER) AS bin FROM panel, b) --result
-    SELECT bin, lo + (bin - 1) * step AS lower, lo + bin * step AS upper, count(*) AS n FROM c, b GROUP BY bin, lo, step""",
+    SELECT bin, lo + (bin - 1) * step AS lower, lo + bin * step AS upper, (SELECT count(*) FROM c WHERE c.bin = bins.bin) AS n
+    FROM (SELECT CAST(i AS INTEGER) AS bin FROM range(1, 51) r(i)) bins, b""",
     ["lower", "upper"],
 )
 def _(spark, folder):

@@ -148,7 +148,8 @@ def _(spark, folder):
     "residual_histogram",
     f"""WITH {FILLED}, {STEP}, b AS (SELECT min(e) AS lo, max(e) AS hi, (max(e) - min(e)) / 30 AS step FROM err),
     c AS (SELECT CAST(least(floor((e - lo) / ((hi - lo) / 30)) + 1, 30) AS INTEGER) AS bin FROM err, b) --result
-    SELECT bin, lo + (bin - 1) * step AS lower, lo + bin * step AS upper, count(*) AS n FROM c, b GROUP BY bin, lo, step""",
+    SELECT bin, lo + (bin - 1) * step AS lower, lo + bin * step AS upper, (SELECT count(*) FROM c WHERE c.bin = bins.bin) AS n
+    FROM (SELECT CAST(i AS INTEGER) AS bin FROM range(1, 31) r(i)) bins, b""",
     ["lower", "upper"],
 )
 def _(spark, folder):

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder named by ``spark.checkpoint.dir``, so that lost executors cost nothing.
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    A local session without that setting, as in tests, uses its warehouse folder; a cluster must name one.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     kept = df.persist()
     try:
         return kept.checkpoint()
@@ -26,16 +26,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         kept.unpersist()
 
 
-def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank", small: int = SMALL) -> DataFrame:
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
     """0-based position of each row in its group under ``order``.
 
-    Tables of at most ``small`` rows use a window. Larger ones are sorted over range partitions,
-    numbered inside each partition, and shifted by the rows before: one hot group may then span
-    many tasks. Only one row per (partition, group) is summed up.
+    Rows are sorted over range partitions, numbered inside each partition, and shifted by the rows before: one hot
+    group may then span many tasks. Only one row per (partition, group) is summed up.
     """
-    if df.limit(small + 1).count() <= small:
-        w = Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
     cols = [F.col(c) for c in (*by, *order)]
     numbered = checkpointed(df.orderBy(*cols).withColumn("_id", F.monotonically_increasing_id()))
     numbered = numbered.withColumn("_part", F.shiftright("_id", 33))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import logging
 from collections.abc import Callable, Sequence
@@ -53,7 +54,8 @@ def baseline_backtest(panel: Panel, horizon: int = 28, n_folds: int = 6, models:
     ranked = fold_rows(panel, folds).withColumn("_back", F.when(trains, F.sum(trains.cast("int")).over(newest)))
     state = ranked.withColumns({n: c.over(whole) for n, c in final_state(panel.target, panel.date, "_back").items()})
     step = F.datediff(panel.date, "_last") - 1
-    val = state.where(F.col("is_val") & (F.col("_n") > 0)).withColumn("_j", step).where(F.col("_j") < horizon)
+    # A series without training rows keeps its validation rows, with null forecasts.
+    val = state.where("is_val").withColumn("_j", step)
     rows = val.select(*keys, panel.date, F.col(panel.target).alias("actual"),
                       by_name(forecasts_at(F.col("_j")), models, "model", "forecast").alias("_p"))
     return rows.select(*keys, panel.date, "actual", "_p.model", "_p.forecast")
@@ -86,19 +88,19 @@ def rolling_backtest(
         try:
             assert_chronological(train, val, panel.date)
             blind = val.withColumn(panel.target, F.lit(None).cast(val.schema[panel.target].dataType))
-            history = train.where(d >= F.date_sub(F.lit(f["cut"]), HISTORY_DAYS))
-            both = history.unionByName(blind)
+            both = train.unionByName(blind)
             if feature_fn is None:
                 fitted, ahead = train, both
             elif hasattr(feature_fn, "fit_transform"):
-                fitted, ahead = feature_fn.fit_transform(train), feature_fn.transform(both)
+                own = copy.copy(feature_fn)  # folds run side by side, and each fits its own
+                fitted, ahead = own.fit_transform(train), own.transform(both)
             else:
                 fitted, ahead = feature_fn(train), feature_fn(both)
             model = fit_fn(fitted)
             pred = predict_fn(model, ahead.where(d >= F.lit(f["cut"])))
             actual = val.select(*panel.keys, panel.date, F.col(panel.target).alias("actual"))
             keep = [c for c in ("yhat", "yhat_lower", "yhat_upper") if c in pred.columns]
-            out = actual.join(pred.select(*panel.keys, panel.date, *keep), [*panel.keys, panel.date])
+            out = actual.join(pred.select(*panel.keys, panel.date, *keep), [*panel.keys, panel.date], "left")
             out = out.withColumnRenamed("yhat", "forecast").withColumns({"fold": F.lit(f["fold"]), "model": F.lit(name)})
             return out, {**f, "status": "ok", "error": None}
         except Exception as e:  # noqa: BLE001 - one bad fold must not end the run
@@ -113,14 +115,10 @@ def rolling_backtest(
     return union_all(frames), [s for _, s in results]
 
 
-# Days of history kept before a cut when features of later rows are built: the longest lag is 28 and
-# the weights of the smoothed mean are below 1e-16 after 260 rows.
-HISTORY_DAYS = 300
-
-
 def fold_metrics(predictions: DataFrame, metrics: Sequence[str] = DEFAULT) -> DataFrame:
-    """Metrics per model and fold, pooled over the series, with the number of validation rows."""
-    return predictions.groupBy("model", "fold").agg(*metric_columns("actual", "forecast", metrics), F.count("*").alias("n_val"))
+    """Metrics per model and fold, pooled over the series, with the number of validation rows and of those without a forecast."""
+    counts = [F.count("*").alias("n_val"), F.count_if(F.col("forecast").isNull()).alias("n_unpredicted")]
+    return predictions.groupBy("model", "fold").agg(*metric_columns("actual", "forecast", metrics), *counts)
 
 
 def aggregate_folds(per_fold: DataFrame, metrics: Sequence[str] = DEFAULT) -> DataFrame:

@@ -103,14 +103,21 @@ def clean(
 
     ``is_outlier`` marks the values that were capped; ``is_missing`` marks days without sales after
     filling (none are left when imputing). The deduplicated rows are read several times (fences,
-    period, checks, result), so they are persisted; they spill to disk and survive lost executors.
+    period, checks), so they are kept meanwhile; the result is a plain table that keeps nothing.
     """
     df = df.withColumn(DATE, F.to_date(DATE))
     columns = [c for c in MEASURES if c in df.columns]
     if remove_duplicates:
         df = drop_duplicates(df, order_by=order_by)
-    df = df.persist()
-    bounds = iqr_bounds(df, columns)
+    rows = df.persist()
+    try:
+        return _cleaned(rows, columns, handle_outliers, reindex, impute, strict)
+    finally:
+        rows.unpersist()
+
+
+def _cleaned(df: DataFrame, columns: list[str], handle_outliers: bool, reindex: bool, impute: bool, strict: bool) -> DataFrame:
+    bounds = iqr_bounds(df, columns if handle_outliers else [c for c in columns if c == "sales"])
     flag = outside("sales", bounds["sales"]) if "sales" in columns else F.lit(False)
     df = df.withColumn("is_outlier", flag)
     if handle_outliers:

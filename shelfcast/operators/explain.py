@@ -28,10 +28,15 @@ def explain_simple(df: DataFrame, k: int = 10, columns: Sequence[str] = FEATURES
     return _top(long, ids, "importance", k)
 
 
-def linear_contributions(coefficients: dict[str, float], df: DataFrame, ids: Sequence[str] = (*KEYS, DATE)) -> DataFrame:
-    """(ids, feature, contribution) of a linear model: coefficient times distance from the mean, exact."""
+def linear_contributions(coefficients: dict[str, float], df: DataFrame, ids: Sequence[str] = (*KEYS, DATE),
+                         means: dict[str, float] | None = None) -> DataFrame:
+    """(ids, feature, contribution) of a linear model: coefficient times distance from the mean, exact.
+
+    ``means`` are those of the training rows; without them, those of ``df`` are taken.
+    """
     names = list(coefficients)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first()
+    if means is None:
+        means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first().asDict()
     parts = {c: (F.col(c).cast("double") - float(means[c] or 0.0)) * float(coefficients[c]) for c in names}
     wide = df.select(*ids, *[v.alias(c) for c, v in parts.items()])
     return wide.unpivot(list(ids), names, "feature", "contribution")

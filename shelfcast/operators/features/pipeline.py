@@ -19,7 +19,6 @@ from shelfcast.operators.features.lag import SAFE_ALPHA, lag_level, promo_level,
 from shelfcast.operators.validate import validate_features
 
 log = logging.getLogger(__name__)
-DICTIONARY_LIMIT = 100_000
 
 
 def add_feature_flags(df: DataFrame, as_of=None) -> DataFrame:
@@ -75,16 +74,12 @@ def fit_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rank_within(distinct, ["column"], ["value"], "code").withColumn("code", F.col("code").cast("int"))
 
 
-def encode_labels(df: DataFrame, dictionary: DataFrame, columns: Sequence[str], limit: int = DICTIONARY_LIMIT) -> DataFrame:
-    """Replace values by their codes; unknown and missing values get code 0.
-
-    The dictionary is broadcast when it has at most ``limit`` rows and shuffled when it has more.
-    """
-    small = dictionary.limit(limit + 1).count() <= limit
+def encode_labels(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace values by their codes; unknown and missing values get code 0. Spark chooses the join by the dictionary's size."""
     order = df.columns
     for c in columns:
         part = dictionary.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-        df = df.join(F.broadcast(part) if small else part, F.col(c).cast("string") == F.col("_v"), "left")
+        df = df.join(part, F.col(c).cast("string") == F.col("_v"), "left")
         df = df.withColumn(c, F.coalesce("_code", F.lit(0))).drop("_v", "_code")
     return df.select(*order)
 
@@ -106,7 +101,7 @@ class FeaturePipeline:
     def _build(self, df: DataFrame) -> DataFrame:
         missing = [c for c in (*self.keys, self.date) if c not in df.columns]
         if missing:
-            raise ValueError(f"Missing required columns for leakage prevention: {missing}")
+            raise ValueError(f"features per series need the columns {missing}")
         families, out = [], df
         if self.config.include_lags:
             out = add_ema(out, self.target, f"{self.target}_ema_14", SAFE_ALPHA, adjust=True, keys=self.keys, date=self.date, shift=1)
@@ -124,7 +119,7 @@ class FeaturePipeline:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.is_fitted:
-            raise ValueError("Feature builder must be fitted before transform")
+            raise ValueError("call fit before transform")
         built = self._build(df)
         return encode_labels(built, self.dictionary, self.encoded) if self.encoded else built
 

@@ -8,13 +8,15 @@ written once to the checkpoint folder, so predicting does not read the training
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +28,11 @@ from shelfcast.operators.explain import tree_importance
 from shelfcast.operators.features.calendar import calendar_columns, fourier
 from shelfcast.operators.features.holiday import add_holidays
 from shelfcast.operators.features.lag import SAFE_ALPHA, safe_columns
+from shelfcast.operators.features.pipeline import fit_labels
 from shelfcast.operators.quantiles import exact_quantiles
 
-# Keys with more values than this are hashed instead of being indexed on the driver.
-MAX_LEVELS = 200
-HASH_SIZE = 256
 # Residuals a series needs for its own quantiles.
 MIN_RESIDUALS = 20
-# Rows of history from which features of future rows are built.
-HISTORY_DAYS = 300
 
 
 # --- inputs ---------------------------------------------------------------------------------
@@ -59,7 +57,7 @@ def future_features(history: DataFrame, future: DataFrame, target: str = TARGET,
     """Features of rows after the history, whose target is not known: lags longer than the step are real."""
     cut = future.agg(F.min(date)).first()[0]
     blind = future.withColumn(target, F.lit(None).cast("double")) if target in future.columns else future
-    past = history.where((F.col(date) < F.lit(cut)) & (F.col(date) >= F.date_sub(F.lit(cut), HISTORY_DAYS)))
+    past = history.where(F.col(date) < F.lit(cut))
     both = past.unionByName(blind, allowMissingColumns=True)
     return model_features(both, target, keys, date, holidays).where(F.col(date) >= F.lit(cut))
 
@@ -91,7 +89,7 @@ def matrix_pipeline(features: Sequence[str]) -> Pipeline:
 
 @dataclass(frozen=True)
 class GbtForecaster:
-    """Gradient-boosted trees over a feature table; keys are indexed, or hashed when there are many."""
+    """Gradient-boosted trees over a feature table; keys enter as label codes, however many values they have."""
 
     max_depth: int = 5
     max_iter: int = 100
@@ -103,61 +101,75 @@ class GbtForecaster:
     target: str = TARGET
     keys: tuple[str, ...] = KEYS
     inputs: tuple[str, ...] = ()
+    date: str = DATE
 
     def fit(self, train: DataFrame) -> FittedGbt:
         inputs = list(self.inputs) or input_columns(train, self.target, self.keys)
-        # One order of rows whatever the files were, so the same data gives the same trees. Kept while
-        # fitting, because every boosting round reads the rows again.
-        train = train.where(F.col(self.target).isNotNull()).select(*self.keys, *inputs, F.col(self.target).cast("double").alias(self.target))
-        train = train.repartition(*self.keys).persist()
-        levels = train.agg(*[F.approx_count_distinct(k).alias(k) for k in self.keys]).first()
-        few = [k for k in self.keys if levels[k] <= MAX_LEVELS]
-        many = [k for k in self.keys if k not in few]
-        stages = [SQLTransformer(statement=_clean_sql(inputs))]
-        names = [f"_x_{c}" for c in inputs]
-        if few:
-            stages.append(StringIndexer(inputCols=few, outputCols=[f"_code_{k}" for k in few], handleInvalid="keep", stringOrderType="alphabetAsc"))
-            names += [f"_code_{k}" for k in few]
-        if many:
-            stages.append(FeatureHasher(inputCols=many, outputCol="_hashed", numFeatures=HASH_SIZE))
-            names.append("_hashed")
-        stages.append(VectorAssembler(inputCols=names, outputCol="features"))
-        stages.append(GBTRegressor(
-            featuresCol="features", labelCol=self.target, maxDepth=self.max_depth, maxIter=self.max_iter, stepSize=self.step_size,
-            subsamplingRate=self.subsampling_rate, featureSubsetStrategy=str(self.feature_share), minInstancesPerNode=self.min_instances,
-            maxBins=max(32, MAX_LEVELS + 2), seed=self.seed,
-        ))
+        train = train.where(F.col(self.target).isNotNull())
+        order = [c for c in (*self.keys, self.date) if c in train.columns]
+        # Spread over series and days, in one order whatever the files were, so the same data gives the
+        # same trees. Kept while fitting, because every boosting round reads the rows again.
+        train = train.select(*order, *[c for c in inputs if c not in order], F.col(self.target).cast("double").alias(self.target))
+        train = train.repartition(*order).sortWithinPartitions(*order).persist()
         try:
-            return FittedGbt(Pipeline(stages=stages).fit(train), tuple(inputs + few))
+            dictionary = checkpointed(fit_labels(train, self.keys))
+            coded = [f"_code_{k}" for k in self.keys]
+            stages = [
+                SQLTransformer(statement=_clean_sql(inputs)),
+                VectorAssembler(inputCols=[f"_x_{c}" for c in inputs] + coded, outputCol="features"),
+                GBTRegressor(
+                    featuresCol="features", labelCol=self.target, maxDepth=self.max_depth, maxIter=self.max_iter, stepSize=self.step_size,
+                    subsamplingRate=self.subsampling_rate, featureSubsetStrategy=str(self.feature_share),
+                    minInstancesPerNode=self.min_instances, seed=self.seed,
+                ),
+            ]
+            fitted = Pipeline(stages=stages).fit(_with_codes(train, dictionary, self.keys))
+            return FittedGbt(fitted, tuple(inputs + list(self.keys)), dictionary, self.keys)
         finally:
             train.unpersist()
 
 
+def _with_codes(df: DataFrame, dictionary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_code_`` columns of the keys; values that the dictionary lacks get the code -1."""
+    for k in keys:
+        part = dictionary.where(F.col("column") == k).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
+        df = df.join(part, F.col(k).cast("string") == F.col("_v"), "left")
+        df = df.withColumn(f"_code_{k}", F.coalesce("_c", F.lit(-1)).cast("double")).drop("_v", "_c")
+    return df
+
+
 @dataclass(frozen=True)
 class FittedGbt:
     pipeline: PipelineModel
     inputs: tuple[str, ...]
+    dictionary: DataFrame
+    keys: tuple[str, ...] = KEYS
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.pipeline.transform(df)
+        out = self.pipeline.transform(_with_codes(df, self.dictionary, self.keys))
         return out.select(*df.columns, F.col("prediction").alias("yhat"))
 
     predict = transform
 
     def feature_importance(self) -> DataFrame:
-        tree = self.pipeline.stages[-1]
-        n = tree.numFeatures
-        names = list(self.inputs) + [f"hash_{i}" for i in range(n - len(self.inputs))]
-        return tree_importance(tree, names[:n])
+        return tree_importance(self.pipeline.stages[-1], list(self.inputs))
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(path)
+        _save(path, "gbt", Stored(self.inputs, self.keys), {}, {"labels": self.dictionary})
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
 
     @staticmethod
     def load(path: str) -> FittedGbt:
-        pipeline = PipelineModel.load(path)
-        names = [s for st in pipeline.stages if isinstance(st, VectorAssembler) for s in st.getInputCols() if s != "_hashed"]
-        return FittedGbt(pipeline, tuple(n.replace("_x_", "", 1).replace("_code_", "", 1) for n in names))
+        spec, _, tables = _load(path, Stored, ["labels"])
+        return FittedGbt(PipelineModel.load(f"{path}/pipeline"), spec.inputs, tables["labels"], spec.keys)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Settings of a fitted boosted model."""
+
+    inputs: tuple[str, ...]
+    keys: tuple[str, ...]
 
 
 def gbt_forecaster(**kw) -> GbtForecaster:
@@ -185,6 +197,12 @@ class QuantileForecaster:
         inputs = list(b.inputs) or input_columns(train, b.target, b.keys, self.date)
         # Read by two fits and the calibration.
         train = train.select(*b.keys, self.date, b.target, *inputs).persist()
+        try:
+            return self._fit(b, train)
+        finally:
+            train.unpersist()
+
+    def _fit(self, b: GbtForecaster, train: DataFrame) -> FittedQuantile:
         last = train.agg(F.max(self.date)).first()[0]
         cut = F.date_sub(F.lit(last), self.horizon - 1)
         head, tail = train.where(F.col(self.date) < cut), train.where(F.col(self.date) >= cut)
@@ -194,10 +212,8 @@ class QuantileForecaster:
         probs = F.array(*[F.lit(float(q)) for q in self.quantiles])
         own = resid.groupBy(*b.keys).agg(F.count("*").alias("n"), F.percentile("r", probs).alias("offsets"))
         own = checkpointed(own.where(F.col("n") >= MIN_RESIDUALS).drop("n"))
-        fitted = FittedQuantile(b.fit(train), own, tuple(overall), b.keys)
         resid.unpersist()
-        train.unpersist()
-        return fitted
+        return FittedQuantile(b.fit(train), own, tuple(overall), b.keys)
 
 
 @dataclass(frozen=True)
@@ -215,6 +231,15 @@ class FittedQuantile:
 
     predict = transform
 
+    def save(self, path: str) -> None:
+        _save(path, "quantile", Stored(self.point.inputs, self.keys), {"overall": self.overall}, {"offsets": self.offsets})
+        self.point.save(f"{path}/point")
+
+    @staticmethod
+    def load(path: str) -> FittedQuantile:
+        spec, state, tables = _load(path, Stored, ["offsets"])
+        return FittedQuantile(FittedGbt.load(f"{path}/point"), tables["offsets"], tuple(state["overall"]), spec.keys)
+
 
 # --- seasonal autoregression ----------------------------------------------------------------
 
@@ -298,8 +323,9 @@ class FittedSeasonalAr:
         s = self.spec
         exog = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in s.exog]) if s.exog else F.array().cast("array<double>")
         ahead = future.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct(F.col(s.date), exog.alias("x")))).alias("_days"))
-        rows = ahead.join(self.state, list(s.keys))
-        start = F.struct(F.col("_zs").alias("z"), F.col("_ys").cast("array<double>").alias("y"))
+        rows = ahead.join(self.state, list(s.keys), "left")
+        none = F.array().cast("array<double>")  # a series unseen in training has no forecast
+        start = F.struct(F.coalesce("_zs", none).alias("z"), F.coalesce(F.col("_ys").cast("array<double>"), none).alias("y"))
 
         def at(arr: Column, back: int) -> Column:
             return F.coalesce(F.try_element_at(arr, F.lit(-back)), F.lit(0.0))
@@ -318,6 +344,7 @@ class FittedSeasonalAr:
 
         n = F.size("_days")
         path = F.aggregate("_days", start, step, lambda acc: F.slice(acc["y"], -n, n))
+        path = F.when(F.col("_last").isNull(), F.array_repeat(F.lit(None).cast("double"), n)).otherwise(path)
         out = rows.select(*s.keys, F.col("_sd"), F.arrays_zip(F.col("_days").getField(s.date).alias("d"), path.alias("y")).alias("_p"))
         out = out.select(*s.keys, "_sd", F.posexplode("_p").alias("_i", "_r"))
         wide = norm_ppf(F.lit(1 - s.alpha / 2)) * self.sigma * F.coalesce("_sd", F.lit(0.0)) * F.sqrt(F.col("_i") + 1.0)
@@ -326,6 +353,15 @@ class FittedSeasonalAr:
 
     transform = predict
 
+    def save(self, path: str) -> None:
+        numbers = {"coef": self.coef, "intercept": self.intercept, "sigma": self.sigma, "weights": self.weights}
+        _save(path, "seasonal_ar", self.spec, numbers, {"series": self.state})
+
+    @staticmethod
+    def load(path: str) -> FittedSeasonalAr:
+        spec, state, tables = _load(path, SeasonalArForecaster, ["series"])
+        return FittedSeasonalAr(spec, tables["series"], **state)
+
 
 # --- trend and seasonality ------------------------------------------------------------------
 
@@ -362,7 +398,8 @@ class TrendSeasonalityForecaster:
         lr = LinearRegression(featuresCol="_v", labelCol="_ly", predictionCol="_p", regParam=self.reg_param).fit(data)
         resid = lr.transform(data).select((F.col("_ly") - F.col("_p")).alias("r"))
         low, high = exact_quantiles(resid, ["r"], [0.1, 0.9])["r"]
-        return FittedTrendSeasonality(self, lr, checkpointed(levels), first, span, low, high)
+        means = rows.agg(*[F.avg(c).alias(c) for c in names]).first().asDict()
+        return FittedTrendSeasonality(self, lr, checkpointed(levels), first, span, low, high, means)
 
 
 @dataclass(frozen=True)
@@ -374,6 +411,7 @@ class FittedTrendSeasonality:
     span: int
     low: float
     high: float
+    means: dict[str, float]
 
     def predict(self, future: DataFrame) -> DataFrame:
         rows, names = self.spec._terms(future, self.origin, self.span)
@@ -389,7 +427,48 @@ class FittedTrendSeasonality:
         from shelfcast.operators.explain import linear_contributions
 
         rows, names = self.spec._terms(future, self.origin, self.span)
-        return linear_contributions(dict(zip(names, map(float, self.model.coefficients))), rows, (*self.spec.keys, self.spec.date))
+        weights = dict(zip(names, map(float, self.model.coefficients)))
+        return linear_contributions(weights, rows, (*self.spec.keys, self.spec.date), self.means)
+
+    def save(self, path: str) -> None:
+        _save(path, "trend_seasonality", self.spec, {"origin": str(self.origin), "span": self.span, "low": self.low, "high": self.high, "means": self.means},
+              {"levels": self.levels})
+        self.model.write().overwrite().save(f"{path}/model")
+
+    @staticmethod
+    def load(path: str) -> FittedTrendSeasonality:
+        spec, state, tables = _load(path, TrendSeasonalityForecaster, ["levels"])
+        model = LinearRegressionModel.load(f"{path}/model")
+        return FittedTrendSeasonality(spec, model, tables["levels"], dt.date.fromisoformat(state["origin"]), state["span"], state["low"], state["high"], state["means"])
+
+
+# --- stored models --------------------------------------------------------------------------
+
+
+def _save(path: str, kind: str, spec, state: dict, tables: dict[str, DataFrame]) -> None:
+    """Settings and numbers as one row of JSON beside the tables, all in one folder."""
+    spark = next(iter(tables.values())).sparkSession
+    settings = {f.name: getattr(spec, f.name) for f in fields(spec) if not is_dataclass(getattr(spec, f.name))}
+    spark.createDataFrame([(kind, json.dumps(settings), json.dumps(state))], "kind string, settings string, state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def _tuples(v):
+    return tuple(map(_tuples, v)) if isinstance(v, list) else v
+
+
+def _load(path: str, spec_class, tables: Sequence[str]) -> tuple[object, dict, dict[str, DataFrame]]:
+    spark = SparkSession.active()
+    row = spark.read.parquet(f"{path}/about").first()
+    spec = spec_class(**{k: _tuples(v) for k, v in json.loads(row.settings).items()})
+    return spec, json.loads(row.state), {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+
+
+def load_fitted(spark: SparkSession, path: str):
+    """A fitted model of any kind from the folder that its ``save`` wrote."""
+    kind = spark.read.parquet(f"{path}/about").first().kind
+    return {"gbt": FittedGbt, "quantile": FittedQuantile, "seasonal_ar": FittedSeasonalAr, "trend_seasonality": FittedTrendSeasonality}[kind].load(path)
 
 
 # --- any model per series -------------------------------------------------------------------

@@ -190,7 +190,7 @@ def series_completeness(df: DataFrame, keys: Sequence[str] = KEYS, date: str = D
 
 
 def value_histogram(df: DataFrame, column: str, bins: int = 50, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width histogram between the smallest and largest value; the last bin holds the maximum."""
+    """Equal-width histogram between the smallest and largest value; the last bin holds the maximum, and empty bins have 0 rows."""
     low, high = df.agg(F.min(column), F.max(column)).first()
     if low is None:
         raise ValueError(f"{column} has no values")
@@ -199,7 +199,10 @@ def value_histogram(df: DataFrame, column: str, bins: int = 50, by: Sequence[str
         low, high = low - 0.5, high + 0.5
     cell = F.least(F.width_bucket(F.col(column).cast("double"), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins).cast("long"))
     step = (high - low) / bins
-    counted = df.where(F.col(column).isNotNull()).groupBy(*by, cell.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    found = df.where(F.col(column).isNotNull()).groupBy(*by, cell.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    groups = found.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    every = groups.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    counted = every.join(found, [*by, "bin"], "left").fillna(0, ["n"])
     return counted.select(*by, "bin", (F.lit(low) + (F.col("bin") - 1) * step).alias("lower"),
                           (F.lit(low) + F.col("bin") * step).alias("upper"), "n")
 

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DISTINCT_LIMIT = 1_000_000
-BUCKETS = 4096
+# Equal cells into which a bracket is counted in one pass.
+CELLS = 4096
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -18,112 +18,65 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(columns), "column", "value").where("value is not null")
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], distinct_limit: int = DISTINCT_LIMIT
-) -> dict[str, list[float] | None]:
-    """Linearly interpolated quantiles per column, as numbers on the driver.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """Linearly interpolated quantiles per column, as numbers on the driver; None for a column without values.
 
-    Values are counted by value first, with partial aggregation, so repeated values cost one row. A
-    column with few distinct values is finished from those counts. One with many is narrowed:
-    each pass counts the bracket around a rank in equal-width buckets, and the bucket that holds
-    the rank becomes the next bracket. Every pass moves at most ``BUCKETS`` rows per bracket.
+    Null, NaN and infinities are no values. One pass finds the range of every column; each further one counts the
+    brackets around all ranks in CELLS cells, and the cell that holds a rank becomes its next bracket, until it holds
+    one value only. So every pass moves at most CELLS rows per bracket and task, whatever the data. The columns are kept
+    while this lasts, so that what makes them runs once.
     """
-    columns, probs = list(columns), list(probs)
-    seen = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(columns)],
-    ).first()
-    out: dict[str, list[float] | None] = {c: None for c in columns}
-    small = [c for i, c in enumerate(columns) if seen[f"n_{i}"] and min(seen[f"n_{i}"], seen[f"d_{i}"]) <= distinct_limit]
-    if small:
-        counted = long_form(df, small).groupBy("column", "value").count()
-        found = counted.groupBy("column").agg(
-            F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("count")).alias("q")
-        )
-        out.update({r["column"]: list(r.q) for r in found.collect()})
-    for i, c in enumerate(columns):
-        if seen[f"n_{i}"] and c not in small:
-            out[c] = _by_rank(df.select(F.col(c).cast("double").alias("value")).where("value is not null"),
-                              seen[f"n_{i}"], probs, distinct_limit)
-    return out
-
-
-def _by_rank(values: DataFrame, n: int, probs: Sequence[float], distinct_limit: int) -> list[float]:
-    places = [p * (n - 1) for p in probs]
-    ranks = sorted({math.floor(x) for x in places} | {math.ceil(x) for x in places})
-    at = select_ranks(values, n, ranks, distinct_limit)
-    out = []
-    for x in places:
-        lo, hi = at[math.floor(x)], at[math.ceil(x)]
-        out.append(lo if lo == hi else (math.ceil(x) - x) * lo + (x - math.floor(x)) * hi)
-    return out
-
-
-def select_ranks(values: DataFrame, n: int, ranks: Sequence[int], distinct_limit: int = DISTINCT_LIMIT) -> dict[int, float]:
-    """Exact order statistics (0-based ranks) of column ``value``."""
-    low, high = values.agg(F.min("value"), F.max("value")).first()
-    todo = [(low, high, 0, n, list(ranks))]  # low, high, rows below, rows inside, ranks sought
-    found: dict[int, float] = {}
-    while todo:
-        wide = [t for t in todo if t[0] < t[1]]
-        for t in todo:
-            if t[0] == t[1]:
-                found.update({r: t[0] for r in t[4]})
-        few = [t for t in wide if t[3] <= min(distinct_limit, 100_000)]
-        found.update(_from_counts(values, few))
-        todo = _narrow(values, [t for t in wide if t not in few])
-    return found
-
-
-def _bracket_of(brackets: list[tuple], value_of=lambda i, t: F.lit(i)) -> Column:
-    """First bracket that holds the value; brackets do not overlap."""
-    out = F.lit(None)
-    for i, t in reversed(list(enumerate(brackets))):
-        out = F.when(F.col("value").between(t[0], t[1]), value_of(i, t)).otherwise(out)
-    return out
-
-
-def _narrow(values: DataFrame, brackets: list[tuple]) -> list[tuple]:
+    columns, probs = list(dict.fromkeys(columns)), list(probs)
+    named = {f"c{i}": c for i, c in enumerate(columns)}
+    wide = df.select(*[_finite(F.col(c).cast("double")).alias(n) for n, c in named.items()]).persist()
+    try:
+        seen = wide.agg(*[f(n).alias(f"{k}_{n}") for n in named for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+        places = {n: [p * (seen[f"n_{n}"] - 1) for p in probs] for n in named if seen[f"n_{n}"]}
+        found: dict[tuple[str, int], float] = {}
+        # column, low, high, rows below, ranks sought
+        todo = [(n, seen[f"lo_{n}"], seen[f"hi_{n}"], 0, sorted({r for x in xs for r in (math.floor(x), math.ceil(x))})) for n, xs in places.items()]
+        while todo:
+            found.update({(n, r): low for n, low, high, _, ranks in todo if low == high for r in ranks})
+            todo = _narrow(wide, [t for t in todo if t[1] < t[2]])
+    finally:
+        wide.unpersist()
+
+    def at(n: str, x: float) -> float:
+        lo, hi = found[n, math.floor(x)], found[n, math.ceil(x)]
+        return lo if lo == hi else (math.ceil(x) - x) * lo + (x - math.floor(x)) * hi
+
+    return {c: [at(n, x) for x in places[n]] if n in places else None for n, c in named.items()}
+
+
+def _finite(c: Column) -> Column:
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def _narrow(wide: DataFrame, brackets: list[tuple]) -> list[tuple]:
+    """The cells that hold the ranks of the brackets, in one pass."""
     if not brackets:
         return []
-    cell = _bracket_of(brackets, lambda i, t: F.width_bucket("value", F.lit(t[0]), F.lit(t[1]), F.lit(BUCKETS)))
-    counts = (
-        values.select("value", _bracket_of(brackets).alias("b"), cell.alias("k"))
-        .where("b is not null")
-        .groupBy("b", "k")
-        .agg(F.count("*").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .collect()
-    )
+    cells = []
+    for n in dict.fromkeys(b[0] for b in brackets):
+        own, cell = F.lit(None), F.lit(None)
+        for i, (_, low, high, _, _) in ((i, b) for i, b in enumerate(brackets) if b[0] == n):
+            inside = F.col(n).between(low, high)
+            # Halves, so that the width of no range is infinite.
+            place = F.width_bucket(F.col(n) / 2, F.lit(low / 2), F.lit(high / 2), F.lit(CELLS)) if low / 2 < high / 2 else (F.col(n) > low).cast("long")
+            own, cell = F.when(inside, i).otherwise(own), F.when(inside, place).otherwise(cell)
+        cells.append(F.struct(own.alias("b"), cell.alias("k"), F.col(n).alias("v")))
+    rows = wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("b is not null")
+    counts = rows.groupBy("b", "k").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     out = []
-    for i, (_, _, below, _, sought) in enumerate(brackets):
+    for i, (n, _, _, below, sought) in enumerate(brackets):
         for r in sorted((r for r in counts if r.b == i), key=lambda r: r.lo):
             mine = [s for s in sought if below <= s < below + r.c]
             if mine:
-                out.append((r.lo, r.hi, below, r.c, mine))
+                out.append((n, r.lo, r.hi, below, mine))
             below += r.c
     return out
 
 
-def _from_counts(values: DataFrame, brackets: list[tuple]) -> dict[int, float]:
-    if not brackets:
-        return {}
-    counts = values.withColumn("b", _bracket_of(brackets)).where("b is not null").groupBy("b", "value").count().collect()
-    out = {}
-    for i, t in enumerate(brackets):
-        out.update(_pick(sorted((r.value, r["count"]) for r in counts if r.b == i), t[2], t[4]))
-    return out
-
-
-def _pick(rows: list[tuple[float, int]], below: int, sought: list[int]) -> dict[int, float]:
-    out = {}
-    for value, count in rows:
-        for s in sought:
-            if below <= s < below + count:
-                out[s] = value
-        below += count
-    return out
-
-
 def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> dict[str, tuple[float, float] | None]:
     q = exact_quantiles(df, columns, [0.25, 0.75])
     return {c: None if v is None else (v[0] - k * (v[1] - v[0]), v[1] + k * (v[1] - v[0])) for c, v in q.items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ def log_models(rows: DataFrame, path: str) -> None:
 
 def current_stages(models: DataFrame) -> DataFrame:
     """The newest row of each (name, version): later rows overrule earlier stages."""
-    w = Window.partitionBy("name", "version").orderBy(F.desc("changed_at"))
+    w = Window.partitionBy("name", "version").orderBy(F.desc("changed_at"), F.desc("stage"), F.desc("path"), F.desc("run_id"))
     return models.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -65,8 +64,11 @@ def champion_row(models: DataFrame, runs: DataFrame, name: str, stage: str = "Pr
     return None if best is None else named.where(F.col("run_id") == best.run_id).orderBy(F.desc("version")).first()
 
 
-def load_champion(models: DataFrame, runs: DataFrame, name: str, stage: str = "Production") -> PipelineModel:
+def load_champion(models: DataFrame, runs: DataFrame, name: str, stage: str = "Production"):
+    """The fitted model, with ``predict``."""
+    from shelfcast.operators.models import load_fitted
+
     row = champion_row(models, runs, name, stage)
     if row is None:
         raise ValueError(f"no model named {name}")
-    return PipelineModel.load(row.path)
+    return load_fitted(models.sparkSession, row.path)

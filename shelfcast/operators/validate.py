@@ -20,7 +20,7 @@ RAW_COLUMNS = ("date", "store_id", "item_id", "sales", "on_promo")
 def require_columns(df: DataFrame, columns: Sequence[str], date_columns: Sequence[str] = ()) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks the columns {missing}")
     dates = [c for c in date_columns if c in df.columns]
     if dates:
         bad = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("date").isNull()).alias(c) for c in dates]).first()
@@ -42,16 +42,16 @@ def validate_raw(df: DataFrame) -> None:
     if s.text:
         raise ValueError(f"sales holds {s.text} values that are not numbers")
     if s.low is not None and s.low < 0:
-        raise ValueError("Sales cannot be negative")
+        raise ValueError("sales holds negative values")
     if s.promo:
         raise ValueError(f"on_promo must be 0 or 1; {s.promo} rows are not")
 
 
 def flag_invalid_rows(df: DataFrame) -> DataFrame:
-    """Add ``errors``: the list of value rules a row breaks."""
+    """Add ``errors``: the list of value rules a row breaks; sales and on_promo must be there."""
     rules = {
-        "sales": ("sales must be >= 0", F.col("sales") < 0),
-        "on_promo": ("on_promo must be 0 or 1", ~F.col("on_promo").isin(0, 1)),
+        "sales": ("sales must be >= 0", F.coalesce(F.col("sales") < 0, F.lit(True))),
+        "on_promo": ("on_promo must be 0 or 1", _bad_flag("on_promo")),
         "price": ("price must be > 0", F.col("price") <= 0),
         "precipitation": ("precipitation must be >= 0", F.col("precipitation") < 0),
     }
@@ -75,13 +75,13 @@ def validate_clean(df: DataFrame, strict: bool = False) -> None:
     if found.get("negative"):
         log.warning("%d negative sales values", found["negative"])
     if found.get("promo"):
-        raise ValueError(f"Found {found['promo']} invalid promotion flags")
+        raise ValueError(f"on_promo must be 0 or 1; {found['promo']} rows are not")
 
 
 def validate_features(df: DataFrame, original: DataFrame) -> list[str]:
     """Raise if nothing was added or a key is null; return the numeric columns that hold infinities."""
     if len(df.columns) <= len(original.columns):
-        raise ValueError("No features were added during feature engineering")
+        raise ValueError("the feature table has no more columns than its input")
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     keys = [c for c in (*KEYS, DATE) if c in df.columns]
     inf = float("inf")
@@ -89,7 +89,7 @@ def validate_features(df: DataFrame, original: DataFrame) -> list[str]:
                *[F.count_if(F.col(c).isin(inf, -inf)).alias(f"inf {c}") for c in floats]).first().asDict()
     for c in keys:
         if s[f"null {c}"]:
-            raise ValueError(f"Found null values in key column: {c}")
+            raise ValueError(f"{c} is null in {s[f'null {c}']} rows")
     infinite = [c for c in floats if s[f"inf {c}"]]
     if infinite:
         log.warning("infinite values in %s", infinite)
@@ -113,17 +113,19 @@ def validate_forecast_requests(requests: DataFrame) -> DataFrame:
     found = [
         F.when(F.exists("promo_plan", lambda p: p.isNull() | ~p.isin(0, 1)), F.lit("promo_plan must contain only 0 and 1")),
         F.when(F.exists("price_plan", lambda p: p.isNull() | (p <= 0)), F.lit("price_plan must be positive")),
-        F.when(days <= 0, F.lit("end_date must be after start_date")),
+        F.when(F.coalesce(days <= 0, F.lit(True)), F.lit("end_date must be after start_date")),
         F.when(days > 365, F.lit("horizon must not exceed 365 days")),
     ]
     return requests.withColumn("errors", F.array_compact(F.array(*found)))
 
 
 def validate_inventory_requests(requests: DataFrame) -> DataFrame:
+    """Add ``errors`` to a request table; a missing value breaks its rule."""
+    broken = lambda rule: F.coalesce(~rule, F.lit(True))
     found = [
-        F.when(~F.col("service_level").between(0.5, 0.999), F.lit("service_level must be in [0.5, 0.999]")),
-        F.when(~F.col("lead_time").between(1, 365), F.lit("lead_time must be in [1, 365]")),
-        F.when((F.col("holding_cost") < 0) | (F.col("stockout_cost") < 0), F.lit("costs must be >= 0")),
+        F.when(broken(F.col("service_level").between(0.5, 0.999)), F.lit("service_level must be in [0.5, 0.999]")),
+        F.when(broken(F.col("lead_time").between(1, 365)), F.lit("lead_time must be in [1, 365]")),
+        F.when(broken((F.col("holding_cost") >= 0) & (F.col("stockout_cost") >= 0)), F.lit("costs must be >= 0")),
     ]
     return requests.withColumn("errors", F.array_compact(F.array(*found)))
 

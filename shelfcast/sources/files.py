@@ -35,7 +35,7 @@ SUFFIXES = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json"}
 def format_of(path: str, fmt: str | None = None) -> str:
     kind = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if kind not in SUFFIXES:
-        raise ValueError(f"Unsupported file format: {kind}")
+        raise ValueError(f"files of the kind {kind} cannot be read or written")
     return SUFFIXES[kind]
 
 
@@ -125,7 +125,7 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.csv",
 
 def load_data(spark: SparkSession, source: str = "local", **kwargs) -> DataFrame:
     if source != "local":
-        raise ValueError(f"Unknown data source: {source}")
+        raise ValueError(f"no data source of the name {source}")
     if "directory" in kwargs:
         return read_directory(spark, kwargs.pop("directory"), **kwargs)
     return read_panel(spark, kwargs.pop("path"), **kwargs)

@@ -8,9 +8,9 @@ from shelfcast.functions.series import add_ema
 from shelfcast.operators.features import calendar, holiday, lag, price_promo, weather
 from shelfcast.operators.features.pipeline import FeaturePipeline, build_features
 
-SALES = [100, 120, 110, 130, 100, 150, 140, 100, 110, 120]
-PRICE = [10.0, 9.0, 10.0, 8.0, 10.0, 7.0, 8.0, 10.0, 10.0, 9.0]
-PROMO = [0, 1, 0, 1, 0, 1, 1, 0, 0, 1]
+SALES = [80, 100, 84, 96, 88, 60, 72, 90, 81, 99, 77]
+PRICE = [20.0, 16.0, 18.0, 15.0, 17.0, 21.0, 19.0, 14.0, 20.0, 16.0, 18.0]
+PROMO = [0, 0, 1, 1, 1, 0, 1, 0, 0, 1, 1]
 
 
 def test_calendar_values(series):
@@ -30,9 +30,23 @@ def test_holidays_and_distances(series):
     assert rows[0].holiday_days_to_holiday == 1 and rows[0].holiday_days_from_holiday == 6
 
 
+def test_holidays_of_any_year(spark):
+    days = ["1820-01-01", "1869-12-31", "1940-07-04", "1965-05-30", "1965-05-31", "1965-11-11", "2110-12-25", "2823-07-04", "9998-12-25"]
+    df = spark.createDataFrame([(d,) for d in days], "d string").selectExpr("date(d) as date")
+    rows = holiday.add_holidays(df).orderBy("date").collect()
+    names = ["", "", "Independence Day", "Memorial Day", "Memorial Day (observed)", "Veterans Day", "Christmas Day", "Independence Day", "Christmas Day"]
+    assert [r.holiday_holiday_name or "" for r in rows] == names
+    assert rows[0].holiday_days_to_holiday == 18_263 and rows[1].holiday_days_to_holiday == 1 and rows[0].holiday_days_from_holiday == 365
+    assert [r.holiday_days_from_holiday for r in rows[2:4]] == [35, 97]
+    own = spark.sql("select date'2105-03-03' as date, 'Fair' as name union all select date'1700-01-01', 'Old'")
+    rows = holiday.add_holidays(df, own).orderBy("date").collect()
+    assert rows[6].holiday_days_from_holiday == 2123 and rows[6].holiday_days_to_holiday == 365 and rows[0].holiday_days_from_holiday == 43_828
+    assert holiday.add_holidays(spark.sql("select date'2105-03-03' as date"), own).first().holiday_holiday_name == "Fair"
+
+
 def test_distance_without_holidays_on_a_side(spark, series):
     own = spark.sql("select date'2023-01-05' as date, 'Fair' as name")
-    rows = holiday.add_holidays(series([1] * 10), own, first_year=2023, last_year=2023).orderBy("date").collect()
+    rows = holiday.add_holidays(series([1] * 10), own).orderBy("date").collect()
     assert rows[0].holiday_days_to_holiday == 4 and rows[0].holiday_days_from_holiday == 365
     assert rows[4].holiday_is_holiday and rows[4].holiday_days_to_holiday == 365
     assert rows[9].holiday_days_from_holiday == 5
@@ -84,14 +98,14 @@ def test_rolling_and_change_equal_pandas(spark):
 
 def test_price_and_promo(series):
     out = price_promo.add_price_promo(series(SALES, price=PRICE, on_promo=PROMO)).orderBy("date").toPandas()
-    assert out.days_since_last_promo.tolist() == [0, 0, 0, 0, 0, 0, 1, 0, 1, 0]
-    assert out.days_until_next_promo.tolist() == [0, 0, 0, 0, 0, 1, 0, 1, 0, 0]
-    assert out.promo_intensity.tolist() == [0, 1, 0, 1, 0, 1, 2, 0, 0, 1]
-    assert out.price_pct_change[1] == pytest.approx(-0.1)
-    assert out.price_elasticity[1] == pytest.approx(0.2 / -0.1)
+    assert out.days_since_last_promo.tolist() == [0, 1, 0, 1, 2, 0, 0, 0, 1, 0, 1]
+    assert out.days_until_next_promo.tolist() == [1, 0, 2, 1, 0, 0, 0, 1, 0, 1, 0]
+    assert out.promo_intensity.tolist() == [0, 0, 1, 2, 3, 0, 1, 0, 0, 1, 2]
+    assert out.price_pct_change[1] == pytest.approx(-0.2)
+    assert out.price_elasticity[1] == pytest.approx(0.25 / -0.2)
     assert out.price_percentile_7[0] == 0.5 and out.price_trend[0] == 0.0
     assert out.price_trend[6] == pytest.approx(np.polyfit(range(7), PRICE[:7], 1)[0])
-    assert out.promo_cannibalization[0] == 0 and out.promo_cannibalization[1] == pytest.approx(out.promo_sales_lift[2])
+    assert out.promo_cannibalization[0] == 0 and out.promo_cannibalization[4] == pytest.approx(out.promo_sales_lift[5])
     assert not np.isinf(out.select_dtypes("number").to_numpy(dtype=float)).any()
 
 
@@ -146,9 +160,9 @@ def test_plan_has_one_shuffle(spark):
 def test_pipeline_needs_fit_and_keys(series):
     df = series(range(20), price=[1.0] * 20, on_promo=[0] * 20)
     pipe = FeaturePipeline()
-    with pytest.raises(ValueError, match="must be fitted"):
+    with pytest.raises(ValueError, match="call fit"):
         pipe.transform(df)
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="need the columns"):
         pipe.fit(df.drop("store_id"))
     out = pipe.fit_transform(df)
     assert pipe.is_fitted and set(pipe.feature_columns()) <= set(out.columns)

@@ -206,11 +206,54 @@ def test_model_matrix(spark, series):
     assert m[0].features.toArray().tolist() == [0.0, 0.0] and m[1].features[0] > 1e308 and m[1].label == 2.0
 
 
-def test_many_keys_are_hashed(weekly, monkeypatch):
-    monkeypatch.setattr(models, "MAX_LEVELS", 1)
-    train, val = held_out(weekly)
-    fitted = models.gbt_forecaster(max_iter=2).fit(models.model_features(train))
-    assert fitted.predict(models.future_features(train, val)).count() == val.count()
+@pytest.mark.parametrize("n", [5, 203, 5000])
+def test_any_number_of_key_values(spark, n, tmp_path):
+    rows = spark.range(n * 2).selectExpr("date_add(date'2023-01-01', cast(id % 2 as int)) as date", "'S' as store_id",
+                                         f"concat('I', lpad(cast(id div 2 as string), 6, '0')) as item_id", "cast(id div 2 as double) as sales", "id % 2 as x")
+    fitted = models.GbtForecaster(max_iter=3, inputs=("x",), step_size=0.5, feature_share=1.0, subsampling_rate=1.0).fit(rows)
+    assert {r.feature for r in fitted.feature_importance().collect()} == {"x", "store_id", "item_id"}
+    found = fitted.predict(rows)
+    error = found.agg(F.avg(F.abs(F.col("yhat") - F.col("sales"))), F.count("*")).first()
+    assert error[1] == 2 * n and error[0] < 0.15 * n  # neighbours differ, so their codes do too
+    fitted.save(str(tmp_path / "m"))
+    again = models.FittedGbt.load(str(tmp_path / "m")).predict(rows.withColumn("item_id", F.lit("unknown")))
+    assert again.count() == 2 * n
+
+
+def test_features_after_a_long_hole(spark):
+    days = spark.range(60).selectExpr("date_add(date'2020-01-01', cast(id as int)) as date", "'S' as store_id", "'I' as item_id", "cast(id + 1 as double) as sales", "30D as price")
+    ahead = spark.sql("select date'2022-01-01' as date, 'S' as store_id, 'I' as item_id, cast(null as double) as sales, 1D as price")
+    row = models.future_features(days, ahead).first()
+    assert (row.sales_lag_1, row.sales_lag_28, row.sales_rolling_mean_28) == (60.0, 33.0, 46.5) and row.price_pct_change == pytest.approx(-29 / 30)
+
+
+def test_folds_fit_their_own_features(weekly):
+    class Fitted:
+        """Notes the last day that it was fitted on."""
+
+        def fit_transform(self, df):
+            self.last = df.agg(F.max("date")).first()[0]
+            return df.withColumn("seen", F.lit(self.last))
+
+        def transform(self, df):
+            return df.withColumn("seen", F.lit(self.last))
+
+    def run(parallel):
+        found, _ = backtest.rolling_backtest(Panel(weekly), lambda df: df.agg(F.max("seen")).first()[0],
+                                             lambda m, df: df.withColumn("yhat", F.datediff(F.lit(m), F.col("seen")).cast("double")),
+                                             Fitted(), horizon=7, n_folds=4, parallel=parallel)
+        return sorted(map(str, found.collect()))
+
+    rows = run(4)
+    assert rows == run(1) and all("forecast=0.0" in r for r in rows)
+
+
+def test_rows_without_a_forecast_stay(spark, weekly):
+    cut = backtest.fold_table(Panel(weekly), 7, 2)[0]["cut"]
+    late = weekly.where((F.col("date") == cut) & (F.col("store_id") == weekly.first().store_id)).limit(1).withColumn("item_id", F.lit("late"))
+    found = backtest.baseline_backtest(Panel(weekly.unionByName(late)), 7, 2)
+    assert found.where("item_id = 'late' and forecast is null").count() == len(baselines.BASELINES)
+    assert backtest.fold_metrics(found).agg(F.sum("n_unpredicted")).first()[0] == found.where("forecast is null").count()
 
 
 def test_tuning(weekly):
@@ -252,3 +295,33 @@ def test_run_log(spark, tmp_path):
     assert runlog.champion_row(read(), runs, "other") is None
     with pytest.raises(ValueError):
         runlog.load_champion(read(), runs, "other")
+
+
+@pytest.mark.parametrize("kind", ["gbt", "quantile", "seasonal_ar", "trend_seasonality"])
+def test_stored_models_predict_the_same(spark, weekly, tmp_path, kind):
+    train, val = held_out(weekly)
+    made = {"gbt": models.GbtForecaster(max_iter=2), "quantile": models.QuantileForecaster(models.GbtForecaster(max_iter=2), horizon=7),
+            "seasonal_ar": models.SeasonalArForecaster(seasonal=(1, 1, 1, 7), exog=("on_promo",)),
+            "trend_seasonality": models.TrendSeasonalityForecaster(regressors=("on_promo",), annual_order=1)}[kind]
+    boosted = kind in ("gbt", "quantile")
+    fitted = made.fit(models.model_features(train) if boosted else train)
+    ahead = models.future_features(train, val) if boosted else val
+    fitted.save(str(tmp_path / "m"))
+    again = models.load_fitted(spark, str(tmp_path / "m"))
+    values = lambda m: sorted((r.store_id, r.item_id, r.date, r.yhat) for r in m.predict(ahead).collect())
+    assert values(again) == values(fitted) and len(values(fitted)) == val.count()
+    new = ahead.withColumn("item_id", F.lit("unseen"))
+    assert again.predict(new).count() == val.count()
+
+
+def test_training_registers_its_champion(spark, weekly, tmp_path):
+    folder = str(tmp_path / "registry")
+    for hour in (1, 2):
+        train_and_select(weekly, {"trend": models.TrendSeasonalityForecaster(annual_order=1)}, Config(horizon=7, folds=2),
+                         registry=folder, at=dt.datetime(2024, 1, 1, hour))
+    table = spark.read.schema(runlog.MODEL_SCHEMA).parquet(f"{folder}/table")
+    runs = runlog.read_runs(spark, f"{folder}/runs")
+    assert sorted(r.version for r in table.collect()) == [1, 2]
+    assert {"one_step_naive", "trend", "naive"} <= {r.model for r in runs.select("model").distinct().collect()}
+    champion = runlog.load_champion(table, runs, "trend")
+    assert champion.predict(weekly.limit(3)).count() == 3
