@@ -23,7 +23,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: White space beside a space: there, words can't be found by cutting at spaces.
 AWKWARD = r"\s\x20|\x20\s|\x20\Z"
 #: Words remembered by a worker; a memory bound without influence on results.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -64,7 +64,7 @@ class TrieEncoder:
         self.cut = regex.compile(PIECES).findall
         self.awkward = regex.compile(AWKWARD).search
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
@@ -79,11 +79,12 @@ class TrieEncoder:
             ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
 
     def stay_apart(self, a: int, b: int) -> bool:
-        found = self.apart.get((a, b))
+        key = a << 32 | b
+        found = self.apart.get(key)
         if found is None:
-            if len(self.apart) > 4 * REMEMBERED:
+            if len(self.apart) > 2 * REMEMBERED:
                 self.apart.clear()
-            found = self.apart[a, b] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
+            found = self.apart[key] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
         return found
 
     def walk(self, words: Iterable[bytes]) -> dict[bytes, bytes]:

@@ -51,7 +51,7 @@ def with_decisions(docs: DataFrame, decisions: DataFrame, columns: list[str], id
     return joined.select("_row", *columns)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``limit`` bytes of text, so that memory doesn't follow Arrow's count of rows."""
     for batch in batches:
         if not batch.num_rows:

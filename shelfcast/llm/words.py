@@ -32,7 +32,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
 _BYTE = scramble(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_BACK, np.uint64)
     up[0] = down[0] = 1
