@@ -23,7 +23,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: White space beside a space: there, words can't be found by cutting at spaces.
 AWKWARD = r"\s\x20|\x20\s|\x20\Z"
 #: Words remembered by a worker; a memory bound without influence on results.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -138,12 +138,12 @@ class TrieEncoder:
                     first, *rest = part.split(" ")
                     plan.append((None, [first] if first else [], rest))
             plans.append(plan)
-        if len(self.spaced) + len(self.plain) > REMEMBERED:
-            self.spaced.clear()
-            self.plain.clear()
-        spaced = {w for plan in plans for _, _, rest in plan if rest for w in rest}.difference(self.spaced)
-        plain = {w for plan in plans for _, first, _ in plan if first for w in first}.difference(self.plain)
-        self.learn(spaced, plain)
+        spaced = {w for plan in plans for _, _, rest in plan if rest for w in rest}
+        plain = {w for plan in plans for _, first, _ in plan if first for w in first}
+        if len(self.spaced) + len(self.plain) > REMEMBERED:  # only what is in use now stays
+            self.spaced = {w: self.spaced[w] for w in spaced if w in self.spaced}
+            self.plain = {w: self.plain[w] for w in plain if w in self.plain}
+        self.learn(spaced.difference(self.spaced), plain.difference(self.plain))
         get_spaced, get_plain = self.spaced.__getitem__, self.plain.__getitem__
         out = []
         for plan in plans:
