@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import FILLED, K, PANEL, W, filled_of, panel_of, preceding, query, trailing
+from catalog.base import FILLED, K, OFFSET, PANEL, SQL, W, filled_of, panel_of, preceding, query, tidy_sql, trailing
 from shelfcast.config import Config
 from shelfcast.functions.series import add_ema
 from shelfcast.functions.series import series_window
@@ -430,14 +430,58 @@ def _(spark, folder):
     return pipeline.add_feature_flags(panel_of(spark, folder), as_of="2002-01-01").drop("feature_engineering_date")
 
 
-@query("feature_table")
+# --- all families together ------------------------------------------------------------------
+
+FAMILIES = ("calendar_basic", "cyclical", "holiday_join", "holiday_distance", "promo_runs", "promo_rolling", "price_features", "price_trend",
+            "elasticity", "promo_lift", "weather_temp", "weather_precip", "weather_combo", "holiday_flags")
+PLAIN = (*FAMILIES, "lags_diffs", "rolling_stats", "rolling_median", "ema", "promo_lag_features")
+SAFE = (*FAMILIES, "leakage_safe", "ema_span_safe")
+FITTED_BEFORE = "2000-01-01"
+FEWER = {**dict.fromkeys([*PRICE, "price_trend"], 5), **dict.fromkeys(ELASTIC, 3)}
+
+
+def over_filled(name: str) -> str:
+    """The SQL of a family over the filled calendar."""
+    sql = SQL[name]
+    return sql if FILLED in sql else sql.replace(PANEL, "@panel").replace("FROM panel", "FROM filled").replace("@panel", FILLED)
+
+
+def side_by_side(names: tuple[str, ...], more: str) -> str:
+    """The columns of all families, each once."""
+    base = tidy_sql(f"WITH {FILLED} --result\nSELECT * FROM filled", ["sales", "price", "temperature", "precipitation"], ["date"])
+    keys = "date, store_id, item_id"
+    twice = {"promo_lag_features": ", days_since_last_promo, days_until_next_promo, on_promo_rolling_7, on_promo_rolling_14, on_promo_rolling_28"}
+    columns = ", ".join(f"f{i}.* EXCLUDE ({keys}{twice.get(n, '')})" for i, n in enumerate(names))
+    families = " ".join(f"JOIN ({over_filled(n)}) f{i} USING ({keys})" for i, n in enumerate(names))
+    return f"SELECT b.*, {columns}, TRUE AS feature_engineered, {more} FROM ({base}) b {families}"
+
+
+def as_families(df):
+    """Doubles cut to the digits with which their family is compared, where these are fewer."""
+    return df.withColumns({c: F.floor(F.col(c) * 10.0 ** n + OFFSET) / 10.0 ** n for c, n in FEWER.items() if c in df.columns})
+
+
+CODED = ("holiday_holiday_name", "temp_category", "precip_category")
+
+
+def coded_sql() -> str:
+    """Labels by their place among the training rows' values; others get 0."""
+    codes = ", ".join(f"coalesce({c}_code.code, 0) AS {c}" for c in CODED)
+    tables = ", ".join(
+        f"{c}_code AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT {c} AS v FROM t WHERE date < '{FITTED_BEFORE}' AND {c} IS NOT NULL))"
+        for c in CODED)
+    joins = " ".join(f"LEFT JOIN {c}_code ON {c}_code.v = t.{c}" for c in CODED)
+    return f"WITH t AS ({side_by_side(SAFE, 'CAST(150 AS INTEGER) AS feature_count')}), {tables} SELECT t.* REPLACE ({codes}) FROM t {joins}"
+
+
+@query("feature_table", side_by_side(PLAIN, "CAST(160 AS INTEGER) AS feature_count"))
 def _(spark, folder):
     out = pipeline.build_features(filled_of(spark, folder), Config(include_weather=True), as_of="2002-01-01")
-    return out.drop("feature_engineering_date")
+    return as_families(out.drop("feature_engineering_date"))
 
 
-@query("feature_pipeline")
+@query("feature_pipeline", coded_sql())
 def _(spark, folder):
     p = filled_of(spark, folder)
-    pipe = pipeline.FeaturePipeline(Config(include_weather=True)).fit(p.where("date < date'2000-01-01'"))
-    return pipe.transform(p).drop("feature_engineering_date")
+    pipe = pipeline.FeaturePipeline(Config(include_weather=True)).fit(p.where(f"date < date'{FITTED_BEFORE}'"))
+    return as_families(pipe.transform(p).drop("feature_engineering_date"))

@@ -38,6 +38,8 @@ NO_HOLIDAY = 365
 # FIRST_YEAR to LAST_YEAR therefore say all; later days are looked up a number of cycles earlier.
 CYCLE_DAYS = 146_097
 FIRST_YEAR, LAST_YEAR = 1870, 2422
+# Days of a calendar (some 50 bytes each) that may be broadcast.
+BROADCAST_DAYS = 250_000
 
 
 def us_holidays(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
@@ -101,7 +103,7 @@ def add_holidays(df: DataFrame, holidays: DataFrame | None = None, date: str = D
     """Holiday, and distances to the next and from the last one, of each day; any year.
 
     The day calendar spans FIRST_YEAR to LAST_YEAR for the US rules (some 200,000 days) and the period of ``holidays``
-    for a table of your own; days outside follow from the ends. Spark chooses the join by its size.
+    for a table of your own; days outside follow from the ends. A calendar of up to BROADCAST_DAYS is broadcast.
     """
     day = F.col(date).cast("date")
     if holidays is None:
@@ -116,7 +118,8 @@ def add_holidays(df: DataFrame, holidays: DataFrame | None = None, date: str = D
         at, after = day, F.when(day > F.lit(last), F.datediff(day, F.lit(last)))
     before = F.when(day < F.lit(first), F.datediff(F.lit(first), day))
     cal = cal.select(F.col("date").alias("_day"), *[F.col(c).alias(f"{prefix}{c}") for c in cal.columns if c != "date"])
-    joined = df.join(cal, at == F.col("_day"), "left").drop("_day")
+    small = first is None or (last - first).days <= BROADCAST_DAYS
+    joined = df.join(F.broadcast(cal) if small else cal, at == F.col("_day"), "left").drop("_day")
     return joined.withColumns({
         f"{prefix}is_holiday": F.coalesce(f"{prefix}is_holiday", F.lit(False)),
         f"{prefix}days_to_holiday": F.coalesce(f"{prefix}days_to_holiday", before, F.lit(NO_HOLIDAY)),

@@ -73,6 +73,16 @@ def tune(panel: Panel, space: dict, make: Callable[[dict], object], trials: int
             pair = (train, val)
         actual = val.select(*panel.keys, panel.date, F.col(panel.target).alias("actual"))
         data.append((f["fold"], *pair, actual))
+    try:
+        return _search(panel, candidates, data, make, budget_sec)
+    finally:
+        if featurise:
+            for _, train, val, _ in data:
+                train.unpersist()
+                val.unpersist()
+
+
+def _search(panel: Panel, candidates: list[dict], data: list[tuple], make: Callable[[dict], object], budget_sec: float) -> tuple[dict, DataFrame]:
     rows, best, best_score, began = [], None, float("inf"), time.monotonic()
     for i, params in enumerate(candidates):
         if i and time.monotonic() - began > budget_sec:
@@ -91,10 +101,6 @@ def tune(panel: Panel, space: dict, make: Callable[[dict], object], trials: int
         score = sum(scores) / len(scores)
         if score < best_score:
             best, best_score = params, score
-    if featurise:
-        for _, train, val, _ in data:
-            train.unpersist()
-            val.unpersist()
     if best is None:
         raise ValueError("no trial succeeded")
     return best, panel.df.sparkSession.createDataFrame(rows, TRIAL_SCHEMA)
