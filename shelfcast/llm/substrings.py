@@ -107,7 +107,7 @@ def _covered(size: int, slices: int, parts: int, bits, width: int):
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         least = doc[new][np.cumsum(new) - 1]
         late = doc > least  # an earlier document of this very batch has the window
-        rows = [_row(-1 - int(k), h[:0], g[:0], doc[x], mark[x], at[x]) for k, x in _split(np.flatnonzero(late), slices)]
+        rows = [_row(-1 - k, h[:0], g[:0], doc[x], mark[x], at[x]) for k, x in _split(np.flatnonzero(late), doc, slices)]
         rest = np.flatnonzero(~late)
         target = (h[rest] >> np.uint64(32)) % np.uint64(slices)
         by = np.argsort(target, kind="stable")
@@ -172,8 +172,10 @@ def _part(doc: np.ndarray, parts: int) -> np.ndarray:
     return (u ^ (u >> np.uint64(7)) ^ (u >> np.uint64(17))).view(np.int64) % parts
 
 
-def _split(x: np.ndarray, slices: int) -> list[tuple[int, np.ndarray]]:
-    return [(k, part) for k, part in enumerate(np.array_split(x, min(slices, max(1, len(x) // 100_000)))) if len(part)]
+def _split(x: np.ndarray, doc: np.ndarray, slices: int) -> list[tuple[int, np.ndarray]]:
+    """Entries in pieces of up to 100,000, each dealt by the hash of a document in it."""
+    pieces = np.array_split(x, max(1, -(-len(x) // 100_000)))
+    return [(int(scramble(doc[p[:1]].view(np.uint64))[0] % np.uint64(slices)), p) for p in pieces if len(p)]
 
 
 def _row(k: int, h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> dict:
