@@ -347,8 +347,7 @@ def _(spark, folder):
 
 
 ORDER_DAYS = """
-days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-         WHERE s_nationkey = 3 AND l_returnflag = 'R')"""
+days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"""
 
 
 @query(
@@ -359,9 +358,7 @@ days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN sup
     dates=["date"],
 )
 def _(spark, folder):
-    near = table(spark, folder, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("l_suppkey"))
-    lines = table(spark, folder, "lineitem").where("l_returnflag = 'R'").join(near, "l_suppkey", "left_semi")
-    return profile.missing_dates(lines.select(F.col("l_shipdate").cast("date").alias("date")))
+    return profile.missing_dates(table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("date")))
 
 
 @query(

@@ -247,12 +247,12 @@ def _(spark, folder):
 
 
 @query("norm_ppf", f"""WITH {PANEL} --result
-SELECT date, {K}, (sales - 40) / CAST(10 AS DOUBLE) AS x FROM panel WHERE abs(sales - 40) <= 50""", ["x"], ["date"], digits=5)
+SELECT date, {K}, (sales - 40) / CAST(100 AS DOUBLE) AS x FROM panel""", ["x"], ["date"], digits=9)
 def _(spark, folder):
-    # The inverse undoes the distribution function.
-    p = panel_of(spark, folder).where(F.abs(F.col("sales") - 40) <= 50)
-    p = p.select("date", "store_id", "item_id", norm_cdf((F.col("sales") - 40) / 10).alias("p"))
-    return p.select("date", "store_id", "item_id", norm_ppf(F.col("p")).alias("x"))
+    # The inverse undoes the distribution function; on the side below zero no digits are lost.
+    p = panel_of(spark, folder).select("date", "store_id", "item_id", ((F.col("sales") - 40) / 100).alias("y"))
+    p = p.withColumn("p", norm_cdf(-F.abs("y")))
+    return p.select("date", "store_id", "item_id", (-F.signum("y") * norm_ppf(F.col("p"))).alias("x"))
 
 
 @query(

@@ -117,20 +117,14 @@ def missing_runs(df: DataFrame, column: str = "sales", keys: Sequence[str] = KEY
 
 def duplicate_stats(df: DataFrame) -> DataFrame:
     """One row: exact copies, copies by (series, date) and rows beyond the first of each series."""
-
-    def extra(columns: Sequence[str]):
-        counted = df.groupBy(*columns).count()
-        return F.coalesce(counted.agg(F.sum(F.col("count") - 1).alias("n")).scalar(), F.lit(0))
-
-    rows = df.agg(F.count("*").alias("n_rows"))
-    exact = extra(df.columns)
-    return rows.select(
-        "n_rows",
-        exact.alias("exact_copies"),
-        (F.try_divide(exact, F.col("n_rows")) * 100).alias("exact_copies_pct"),
-        extra([DATE, *KEYS]).alias("copies_by_key"),
-        extra(list(KEYS)).alias("copies_by_series"),
-    )
+    # Each level sums up the one below, so this is one scan.
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    days = rows.groupBy(DATE, *KEYS).agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") - 1).alias("_rows"))
+    series = days.groupBy(*KEYS).agg(F.sum("_n").alias("_n"), F.sum("_rows").alias("_rows"), F.sum(F.col("_n") - 1).alias("_days"))
+    total = series.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("_n", "n_rows"), ("_rows", "exact_copies"), ("_days", "copies_by_key"))],
+                       F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("copies_by_series"))
+    share = (F.try_divide("exact_copies", "n_rows") * 100).alias("exact_copies_pct")
+    return total.select("n_rows", "exact_copies", share, "copies_by_key", "copies_by_series")
 
 
 def outlier_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
