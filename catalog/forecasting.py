@@ -186,7 +186,8 @@ ahead AS (
 pred AS (SELECT a.*, i.sales AS actual FROM ahead a JOIN folds f USING (fold)
          JOIN imputed i ON i.store_id = a.store_id AND i.item_id = a.item_id AND i.date = a.date WHERE a.date >= cut AND a.date < cut + 28),
 perr AS (SELECT *, actual - forecast AS e, (abs(actual) + abs(forecast)) / 2 AS half FROM pred),
-per_fold AS (SELECT model, fold, {METRICS}{R2}, count(*) AS n_val FROM perr GROUP BY model, fold)"""
+per_fold AS (SELECT model, fold, {METRICS}{R2}, count(*) AS n_val, count(*) FILTER (WHERE forecast IS NULL) AS n_unpredicted
+             FROM perr GROUP BY model, fold)"""
 ALL = [*NAMES, "R2"]
 AGG = ", ".join(f'avg("{m}") AS "{m}", stddev_pop("{m}") AS "{m}_std"' for m in ALL)
 AGG_NAMES = [n for m in ALL for n in (m, f"{m}_std")]
@@ -201,6 +202,20 @@ def _(spark, folder):
     return predictions_of(spark, folder)
 
 
+@query("rolling_backtest", f"{BASE}, {FOLDS} --result\nSELECT fold, {K}, date, 'last' AS model, actual, forecast FROM pred WHERE model = 'naive'",
+       ["actual", "forecast"], ["date"])
+def _(spark, folder):
+    """The last known value through the fit and predict hooks."""
+    panel = as_panel(imputed_of(spark, folder))
+
+    def fit(train):
+        known = train.where("sales is not null")
+        return known.groupBy("store_id", "item_id").agg(F.max_by("sales", "date").alias("yhat"))
+
+    found, _ = backtest.rolling_backtest(panel, fit, lambda last, rows: rows.drop("yhat").join(last, ["store_id", "item_id"], "left"), n_folds=6, name="last")
+    return found.select("fold", "store_id", "item_id", "date", "model", "actual", "forecast")
+
+
 @query("fold_metrics", f"{BASE}, {FOLDS} --result\nSELECT * FROM per_fold", ALL)
 def _(spark, folder):
     return backtest.fold_metrics(predictions_of(spark, folder))

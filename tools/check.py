@@ -48,7 +48,7 @@ def main() -> int:
     folder = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     from catalog import QUERIES, SQL
 
-    spark = local_session("check")
+    spark = local_session("check", cpus=int(os.environ.get("CHECK_CPUS", "8")))
     con = connect(folder)
     failed = []
     for name in args or QUERIES:
