@@ -133,3 +133,23 @@ def test_scoring_run(spark, series):
     assert p.count() == 8 and p.where("yhat < 0 or yhat_lower < 0 or yhat_lower > yhat or yhat > yhat_upper").isEmpty()
     s = out["summary"].first()
     assert s.predictions_generated == 8 and s.new_rows == 8
+
+
+def test_missing_fields_break_their_rules(spark):
+    from shelfcast.operators import validate
+
+    rows = spark.sql("select cast(null as double) as sales, cast(null as int) as on_promo, 1.0 as price union all select 1.0, 0, 1.0")
+    assert sorted(len(r.errors) for r in validate.flag_invalid_rows(rows).collect()) == [0, 2]
+    r = spark.sql("select date'2024-01-01' as start_date, cast(null as date) as end_date, cast(null as array<int>) as promo_plan, cast(null as array<double>) as price_plan")
+    assert len(validate.validate_forecast_requests(r).first().errors) == 1
+    r = spark.sql("select cast(null as double) as service_level, cast(null as int) as lead_time, 1.0 as holding_cost, cast(null as double) as stockout_cost")
+    assert len(validate.validate_inventory_requests(r).first().errors) == 3
+
+
+def test_histogram_has_all_bins(series):
+    from shelfcast.operators import profile
+
+    rows = profile.value_histogram(series([0, 0, 10]), "sales", 5).orderBy("bin").collect()
+    assert [r.n for r in rows] == [2, 0, 0, 0, 1]
+    rows = profile.value_histogram(series([0, 10]).union(series([5], store="S2")), "sales", 2, by=["store_id"]).orderBy("store_id", "bin").collect()
+    assert [(r.store_id, r.n) for r in rows] == [("S1", 1), ("S1", 1), ("S2", 0), ("S2", 1)]
