@@ -19,8 +19,8 @@ from shelfcast.llm.queries import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
-    scores = score_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang")).select("_id", "_tag", "keep").distinct()
+    """Documents that the classifier rejects neither as bad nor as toxic."""
+    scores = score_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), toxic="toxic").select("_id", "_tag", "keep").distinct()
     return with_decisions(docs, scores, ["keep"]).where("keep").select("_row.*")
 
 

@@ -4,6 +4,9 @@ A logistic classifier on features of the text gives each document its evidence.
 by section of a site, are shrunk by empirical Bayes: a section with few documents is taken for its site, a site with few
 for the whole. How much is shrunk follows from how much sites differ at all. The section's posterior then stands in for
 the base rate of the labels in the document's odds.
+
+A second target, toxic, goes the same way with other features: which words and beginnings of words a text has, hashed
+into a fixed number of cells. A document stays if it is good and not toxic.
 """
 
 from __future__ import annotations
@@ -13,19 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.llm.common import saved, tag, text_slices
-from shelfcast.llm.words import Words
+from shelfcast.llm.lines import _hints
+from shelfcast.llm.packing import bundles
+from shelfcast.llm.words import Words, scramble
 
 FEATURES = ("words_log", "word_bytes", "upper", "lower", "digits", "marks", "signs", "high", "repeats", "distinct", "triples", "lines", "short_lines", "signed_words", "capital_words")
 #: Rounds and penalty of the fit.
 ROUNDS, PENALTY = 50, 1e-4
 #: Documents at or above this probability stay.
 THRESHOLD = 0.5
+#: Cells of the hashed words, beginnings of words (bytes) that count beside the whole, and penalty of their fit.
+CELLS, BEGINNINGS, WORD_PENALTY = 1 << 16, (4, 5, 6, 7), 1e-4
+#: Bits of the table that tells which ids may have a label (4 MB when broadcast), and bytes of text that are hashed at once.
+LABEL_BITS, SLICE = 25, 1 << 17
 
 _CLASS = np.zeros(256, np.int64)  # 0 white space and control, 1 A-Z, 2 a-z, 3 digits, 4 marks of sentences, 5 other signs, 6 bytes of other letters
 _CLASS[33:128] = 5
@@ -71,11 +83,90 @@ def text_features(texts: pa.Array) -> list[np.ndarray]:
     return [np.where(some, x, 0.0) for x in out]
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
-        made = text_features(batch.column("text"))
-        columns = [batch.column(c) for c in ("_id", "_tag", "site", "section")]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.float64()) for x in made]], ["_id", "_tag", "site", "section", *FEATURES])
+def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, cell and count (65535 at most) of the words of each text and of their beginnings, in lower case and without signs at either end."""
+    w = Words(pc.utf8_lower(texts.fill_null("")))
+    core = np.flatnonzero(np.isin(_CLASS[w.body], (1, 2, 3, 6)))
+    a, b = np.searchsorted(core, w.starts), np.searchsorted(core, w.ends)
+    some = b > a
+    start, end, owner = core[a[some]], core[b[some] - 1] + 1, w.owner[some]
+    hashes, owners = [w.bytes_hashes(start, end)], [owner]
+    for k in BEGINNINGS:
+        long = end - start >= k
+        hashes.append(scramble(w.bytes_hashes(start[long], start[long] + k) + np.uint64(k)))
+        owners.append(owner[long])
+    cell = (np.concatenate(hashes) % np.uint64(CELLS)).astype(np.int64)
+    both, count = np.unique(np.concatenate(owners) * CELLS + cell, return_counts=True)
+    return both // CELLS, both % CELLS, np.minimum(count, 65535)
+
+
+def _describe(weights):
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", SLICE):
+            made = text_features(batch.column("text"))
+            if weights is None:
+                made.append(np.zeros(batch.num_rows))
+            else:
+                owner, cell, x = word_features(batch.column("text"))
+                made.append(np.bincount(owner, weights.value[cell] * np.log1p(x), batch.num_rows))
+            columns = [batch.column(c) for c in ("_id", "_tag", "site", "section")]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.float64()) for x in made]], ["_id", "_tag", "site", "section", *FEATURES, "told"])
+
+    return describe
+
+
+_SPARSE = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+
+_CELL = np.dtype([("cell", "<u2"), ("count", "<u2")])
+
+
+def _hashed(hints, bits: int):
+    """Cells and counts, packed, of the texts that may have a label."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", SLICE):
+            cell = scramble(batch.column("_id").to_numpy().view(np.uint64)) & np.uint64((1 << bits) - 1)
+            hit = (hints.value[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
+            part = batch.filter(pa.array(hit))
+            owner, cell, count = word_features(part.column("text"))
+            made = np.empty(len(owner), _CELL)
+            made["cell"], made["count"] = cell, count
+            ends = (np.searchsorted(owner, np.arange(part.num_rows + 1)) * _CELL.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(made.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), packed], ["_id", "cells"])
+
+    return hashed
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+        rows = [np.frombuffer(x, _CELL) for x in batch.column("cells").to_pylist()]
+        ends, made = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), np.concatenate(rows)
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(made["cell"].astype(np.int32)), pa.array(np.log1p(made["count"].astype(float))))]
+        fixed = [pa.array(np.full(len(rows), v), kind) for v, kind in ((0, pa.int8()), (CELLS, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([*fixed, *lists], fields=list(_SPARSE)), batch.column("_y")], ["_x", "_y"])
+
+
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield bundles(np.zeros(batch.num_rows, np.int64), {"doc": scramble(batch.column("_lid").to_numpy().view(np.uint64))}).select(["doc"])
+
+
+def _fit_words(rows: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float, float] | None:
+    """Weights of the cells, intercept and rate of the labels; None if there are no labels of both kinds."""
+    spark = rows.sparkSession
+    hints = spark.sparkContext.broadcast(_hints(marks.select("_lid").mapInArrow(_ids, "doc binary"), LABEL_BITS))
+    made = rows.where("_id IS NOT NULL").select("_id", "text").mapInArrow(_hashed(hints, LABEL_BITS), "_id long, cells binary")
+    met = made.join(marks, F.col("_id") == F.col("_lid")).where("octet_length(cells) > 0").select("cells", "_y")
+    known = saved(met.mapInArrow(_vectors, T.StructType().add("_x", VectorUDT.sqlType()).add("_y", "double")))
+    # Written as structs, read as vectors: nothing turns one into the other in place.
+    fit_on = spark.read.schema(T.StructType().add("_x", VectorUDT()).add("_y", "double")).parquet(*known.inputFiles()) if known.inputFiles() else None
+    rate = fit_on.agg(F.avg("_y")).first()[0] if fit_on is not None else None
+    if rate is None or not 0 < rate < 1:
+        return None
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=ROUNDS, regParam=WORD_PENALTY, standardization=False).fit(fit_on)
+    return model.coefficients.toArray(), float(model.intercept), rate
 
 
 def _strength(groups: int, n: float, squares: float, between: float, within: float, mean: float) -> float:
@@ -90,21 +181,46 @@ def _strength(groups: int, n: float, squares: float, between: float, within: flo
     return min(n, max(1.0, mean * (1 - mean) / spread - 1))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The probability that a document is good, and whether it stays.
+def _marks(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    return labels.select(F.col(id_col).cast("long").alias("_lid"), F.col(label).cast("double").alias("_y")).where("_lid IS NOT NULL AND _y IN (0, 1)")
+
+
+def _places(scored: DataFrame, p: str) -> DataFrame:
+    """``p`` of each site and section, shrunk: ``_site``, ``_section``, ``p_site``, ``p_section``."""
+    sections = saved(scored.groupBy("site", "section").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("k"), F.sum(F.col(p) ** 2).alias("kk")))
+    sites = sections.groupBy("site").agg(F.sum("n").alias("sn"), F.sum("k").alias("sk"), F.sum("kk").alias("skk"))
+    total = sites.agg(F.sum("sn").alias("n"), F.sum("sk").alias("k")).first()
+    mean = min(1 - 1e-6, max(1e-6, total.k / total.n)) if total.n else 0.5
+    spread = sites.agg(F.count("*").alias("g"), F.sum("sn").alias("n"), F.sum(F.col("sn") ** 2).alias("nn"), F.sum(F.col("sn") * (F.col("sk") / F.col("sn") - mean) ** 2).alias("b"), F.sum(F.col("skk") - F.col("sk") ** 2 / F.col("sn")).alias("w")).first()
+    strong = _strength(spread.g, spread.n or 0, spread.nn or 0, spread.b or 0, spread.w or 0, mean)
+    p_site = (F.col("sk") + strong * mean) / (F.col("sn") + strong)
+    both = sections.join(sites.withColumnRenamed("site", "_site"), F.col("site").eqNullSafe(F.col("_site"))).withColumn("p_site", p_site)
+    inner = both.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") ** 2 / F.col("sn")).alias("nn"), F.sum(F.col("n") * (F.col("k") / F.col("n") - F.col("sk") / F.col("sn")) ** 2).alias("b"), F.sum(F.col("kk") - F.col("k") ** 2 / F.col("n")).alias("w")).first()
+    strong = _strength(inner.g, inner.n or 0, inner.nn or 0, inner.b or 0, inner.w or 0, mean)
+    p_section = (F.col("k") + strong * F.col("p_site")) / (F.col("n") + strong)
+    # Probabilities are kept off 0 and 1 so that odds stay finite.
+    tame = lambda p: F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+    return both.select(F.col("site").alias("_site"), F.col("section").alias("_section"), tame(F.col("p_site")).alias("p_site"), tame(p_section).alias("p_section"))
 
-    ``labels`` has the id column and ``label``, 1 for good and 0 for bad; other values and null ids or labels are left
-    aside. ``site`` and ``section`` are string expressions on ``docs``; null is a site and a section like any other.
-    Columns: ``_id``, ``_tag`` (the identity of the row), ``doc_id``, ``p_text``, ``p_site``, ``p_section``, ``score``,
-    ``keep``. Null and empty texts have no evidence: their score is that of their section. If labels are missing or of
-    one kind only, no text has evidence and everything stays. Repeated rows get equal scores. An empty table gives no
-    rows. All labelled documents take part in the fit, and all documents in the counts.
+
+def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", toxic: str | None = None) -> DataFrame:
+    """The probabilities that a document is good and that it is toxic, and whether it stays.
+
+    ``labels`` has the id column, ``label``, 1 for good and 0 for bad, and ``toxic``, 1 for toxic and 0 for clean (None:
+    the column isn't asked for, and only quality is judged); other values and null ids or labels are left aside. ``site`` and ``section`` are string expressions on
+    ``docs``; null is a site and a section like any other. Columns: ``_id``, ``_tag`` (the identity of the row),
+    ``doc_id``, ``p_text``, ``p_site``, ``p_section``, ``score``, ``p_toxic`` (by the text alone), ``toxic`` (with site
+    and section) and ``keep``. Null and empty texts have no evidence: their scores are those of their section. If labels
+    of a target are missing or of one kind only, no text has evidence of it and nothing is rejected by it. Repeated rows
+    get equal scores. An empty table gives no rows. All labelled documents take part in the fits, and all documents in
+    the counts.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), tag(text).alias("_tag"), site.cast("string").alias("site"), section.cast("string").alias("section"), text.alias("text"))
-    schema = "_id long, _tag long, site string, section string, " + ", ".join(f"{c} double" for c in FEATURES)
-    known = saved(rows.mapInArrow(_describe, schema))
-    marks = labels.select(F.col(id_col).cast("long").alias("_lid"), F.col(label).cast("double").alias("_y")).where("_lid IS NOT NULL AND _y IN (0, 1)")
+    words = _fit_words(rows, _marks(labels, id_col, toxic)) if toxic else None
+    schema = "_id long, _tag long, site string, section string, " + ", ".join(f"{c} double" for c in (*FEATURES, "told"))
+    known = saved(rows.mapInArrow(_describe(docs.sparkSession.sparkContext.broadcast(words[0]) if words else None), schema))
+    marks = _marks(labels, id_col, label)
     fit_on = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(known.join(marks, F.col("_id") == F.col("_lid")).where("words_log > 0")).select("_x", "_y").persist()
     try:
         rate = fit_on.agg(F.avg("_y")).first()[0]
@@ -119,22 +235,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Col
     odds = F.lit(start - base)
     for c, x in zip(FEATURES, weights):
         odds = odds + F.col(c) * x
-    evidence = F.when(F.col("words_log") > 0, F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))).otherwise(0.0)
-    scored = known.select("_id", "_tag", "site", "section", evidence.alias("evidence")).withColumn("p_text", 1 / (1 + F.exp(-(F.col("evidence") + base))))
-    sections = saved(scored.groupBy("site", "section").agg(F.count("*").cast("double").alias("n"), F.sum("p_text").alias("k"), F.sum(F.col("p_text") ** 2).alias("kk")))
-    sites = sections.groupBy("site").agg(F.sum("n").alias("sn"), F.sum("k").alias("sk"), F.sum("kk").alias("skk"))
-    total = sites.agg(F.sum("sn").alias("n"), F.sum("sk").alias("k")).first()
-    mean = min(1 - 1e-6, max(1e-6, total.k / total.n)) if total.n else 0.5
-    spread = sites.agg(F.count("*").alias("g"), F.sum("sn").alias("n"), F.sum(F.col("sn") ** 2).alias("nn"), F.sum(F.col("sn") * (F.col("sk") / F.col("sn") - mean) ** 2).alias("b"), F.sum(F.col("skk") - F.col("sk") ** 2 / F.col("sn")).alias("w")).first()
-    strong = _strength(spread.g, spread.n or 0, spread.nn or 0, spread.b or 0, spread.w or 0, mean)
-    p_site = (F.col("sk") + strong * mean) / (F.col("sn") + strong)
-    both = sections.join(sites.withColumnRenamed("site", "_site"), F.col("site").eqNullSafe(F.col("_site"))).withColumn("p_site", p_site)
-    inner = both.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") ** 2 / F.col("sn")).alias("nn"), F.sum(F.col("n") * (F.col("k") / F.col("n") - F.col("sk") / F.col("sn")) ** 2).alias("b"), F.sum(F.col("kk") - F.col("k") ** 2 / F.col("n")).alias("w")).first()
-    strong = _strength(inner.g, inner.n or 0, inner.nn or 0, inner.b or 0, inner.w or 0, mean)
-    p_section = (F.col("k") + strong * F.col("p_site")) / (F.col("n") + strong)
-    # Probabilities are kept off 0 and 1 so that odds stay finite.
-    tame = lambda p: F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
-    places = both.select(F.col("site").alias("_site"), F.col("section").alias("_section"), tame(F.col("p_site")).alias("p_site"), tame(p_section).alias("p_section"))
-    out = scored.join(places, F.col("site").eqNullSafe(F.col("_site")) & F.col("section").eqNullSafe(F.col("_section")))
-    score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("p_section") / (1 - F.col("p_section"))))))
-    return out.select("_id", "_tag", F.col("_id").alias("doc_id"), "p_text", "p_site", "p_section", score.alias("score")).withColumn("keep", F.col("score") >= THRESHOLD)
+    shown = lambda odds: F.when(F.col("words_log") > 0, F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))).otherwise(0.0)
+    chance = lambda odds: 1 / (1 + F.exp(-odds))
+    scored = known.select("_id", "_tag", "site", "section", shown(odds).alias("evidence"), "words_log", "told").withColumn("p_text", chance(F.col("evidence") + base))
+    if words:
+        usual = math.log(words[2] / (1 - words[2]))
+        scored = scored.withColumn("against", shown(F.col("told") + (words[1] - usual))).withColumn("p_toxic", chance(F.col("against") + usual))
+    else:
+        scored = scored.withColumn("p_toxic", F.lit(0.0))
+    here = F.col("site").eqNullSafe(F.col("_site")) & F.col("section").eqNullSafe(F.col("_section"))
+    of = lambda p: F.log(F.col(p) / (1 - F.col(p)))
+    out = scored.join(_places(scored, "p_text"), here).withColumn("score", chance(F.col("evidence") + of("p_section"))).drop("_site", "_section")
+    if words:
+        out = out.join(_places(scored, "p_toxic").select("_site", "_section", F.col("p_section").alias("toxic_section")), here).withColumn("toxic", chance(F.col("against") + of("toxic_section")))
+    else:
+        out = out.withColumn("toxic", F.lit(0.0))
+    return out.select("_id", "_tag", F.col("_id").alias("doc_id"), "p_text", "p_site", "p_section", "score", "p_toxic", "toxic").withColumn("keep", (F.col("score") >= THRESHOLD) & (F.col("toxic") < THRESHOLD))

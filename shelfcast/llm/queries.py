@@ -123,7 +123,7 @@ def op9_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` is the site of a document and ``lang`` the section."""
-    scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), toxic="toxic")
     return scores.drop("_id", "_tag")
 
 

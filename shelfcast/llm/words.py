@@ -59,7 +59,12 @@ class Words:
         up, down = _powers(1 << max(16, int(n + 1).bit_length()))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.body] * up[:n], out=sums[1:])
-        self.hashes = scramble((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self._sums, self._down = sums, down
+        self.hashes = self.bytes_hashes(self.starts, self.ends)
+
+    def bytes_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes a to b, for arrays of ends; those of a word are the word's."""
+        return scramble((self._sums[b] - self._sums[a]) * self._down[a] + (b - a).astype(np.uint64))
 
     def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words inside one text, and the word at which each run starts."""

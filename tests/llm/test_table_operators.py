@@ -134,6 +134,25 @@ def test_quality_on_held_out_labels(spark, folder):
     assert len(got) > 100 and right > 0.97 and sum(good) / len(good) > 0.98
 
 
+def test_toxic_on_held_out_labels(spark, folder):
+    folder = folder.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    half = labels.where(F.col("doc_id") % 2 == 0)
+    got = score_quality(docs, half, F.col("source"), F.col("lang"), toxic="toxic").join(labels.where(F.col("doc_id") % 2 == 1), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("keep", "quality", labels.toxic.alias("bad"), "lang").collect()
+    caught = [not r.keep for r in got if r.bad == 1 and r.quality == 1 and r.lang == "en"]
+    clean = [r.keep for r in got if r.bad == 0 and r.quality == 1]
+    assert len(caught) > 80 and sum(caught) / len(caught) > 0.9 and sum(clean) / len(clean) > 0.97
+
+
+def test_toxic_words_reject_good_documents(make):
+    good = "plain words of a sentence that goes on for a while"
+    docs = make([(i, good + (f" you, MORON! {i}" if i % 5 == 0 else f" {i}"), "en", "a") for i in range(300)] + [(300, None, "en", "a")])
+    labels = docs.where("doc_id < 200").select("doc_id", F.lit(1).alias("quality"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0).alias("toxic"))
+    got = {r.doc_id: r for r in score_quality(docs, labels, F.col("source"), F.col("lang"), toxic="toxic").collect()}
+    assert all(got[i].keep == bool(i % 5) for i in range(300)) and got[300].keep
+    assert all(r.keep for r in score_quality(docs, labels.withColumn("toxic", F.lit(1)), F.col("source"), F.col("lang"), toxic="toxic").collect())
+
+
 def test_quality_shrinks_sparse_sites(make):
     good, bad = "plain words of a sentence that goes on for a while", "BUY!! BUY!! BUY!! NOW!! NOW!!"
     rows = [(i, (good if i % 4 else bad) + f" {i}", "en", "big") for i in range(200)] + [(200 + i, bad + f" {i}", "en", "bad site") for i in range(60)] + [(300, good, "en", "lone"), (301, None, "en", "bad site"), (302, "", None, None), (None, good, "en", "big"), (300, good, "en", "lone")]
