@@ -12,9 +12,6 @@ from shelfcast.panel import rolling_origin_splits, split_at
 from shelfcast.plans.scoring import scoring_run
 from shelfcast.plans.training import train_and_select
 
-# Boosting rounds of the registered queries, for shrunken trees that are nearly as good as with the default of 100.
-ITERATIONS = 20
-
 
 def parts(spark, folder):
     """(training rows, validation rows) of the imputed panel: the last four weeks are held out."""
@@ -32,19 +29,19 @@ def _boosted(spark, folder, forecaster):
 
 @query("gbt_forecast")
 def _(spark, folder):
-    fitted, ahead = _boosted(spark, folder, models.gbt_forecaster(max_iter=ITERATIONS))
+    fitted, ahead = _boosted(spark, folder, models.gbt_forecaster())
     return fitted.predict(ahead).select("store_id", "item_id", "date", "yhat")
 
 
 @query("boosted_depth_forecast")
 def _(spark, folder):
-    fitted, ahead = _boosted(spark, folder, models.boosted_depth_forecaster(max_iter=ITERATIONS))
+    fitted, ahead = _boosted(spark, folder, models.boosted_depth_forecaster())
     return fitted.predict(ahead).select("store_id", "item_id", "date", "yhat")
 
 
 @query("quantile_forecast")
 def _(spark, folder):
-    fitted, ahead = _boosted(spark, folder, models.QuantileForecaster(models.gbt_forecaster(max_iter=ITERATIONS)))
+    fitted, ahead = _boosted(spark, folder, models.QuantileForecaster(models.gbt_forecaster()))
     return fitted.predict(ahead).select("store_id", "item_id", "date", "q10", "q50", "q90", "yhat", "yhat_lower", "yhat_upper")
 
 
@@ -63,7 +60,7 @@ def _(spark, folder):
 
 @query("feature_importance")
 def _(spark, folder):
-    fitted, _ = _boosted(spark, folder, models.gbt_forecaster(max_iter=ITERATIONS))
+    fitted, _ = _boosted(spark, folder, models.gbt_forecaster())
     return fitted.feature_importance().limit(10)
 
 
@@ -97,7 +94,7 @@ def scoring_model(spark, folder):
     train, _ = parts(spark, folder)
     days = scoring.scoring_features(train.select("date", "store_id", "item_id", "on_promo", "price"))
     labelled = days.join(train.select("date", "store_id", "item_id", "sales"), ["date", "store_id", "item_id"])
-    return models.GbtForecaster(max_iter=ITERATIONS, inputs=scoring.FEATURES).fit(labelled)
+    return models.GbtForecaster(inputs=scoring.FEATURES).fit(labelled)
 
 
 @query("score_all_series")

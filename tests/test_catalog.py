@@ -27,3 +27,22 @@ def test_query_equals_sql(spark, con, folder, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 15
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["gbt_forecast", "boosted_depth_forecast", "quantile_forecast", "feature_importance", "score_all_series", "scoring_run"])
+def test_boosted_queries_use_the_default_rounds(spark, folder, name, monkeypatch):
+    from shelfcast.operators.models import GbtForecaster
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, *args):
+        asked.append(self.max_iter)
+        raise Stop
+
+    monkeypatch.setattr(GbtForecaster, "fit", fit)
+    with pytest.raises(Stop):
+        entry.queries()[name](spark, folder)
+    assert asked == [100]
