@@ -46,3 +46,21 @@ def test_boosted_queries_use_the_default_rounds(spark, folder, name, monkeypatch
     with pytest.raises(Stop):
         entry.queries()[name](spark, folder)
     assert asked == [100]
+
+
+def test_tuning_query_has_no_time_budget(spark, folder, monkeypatch):
+    from shelfcast.operators import tuning
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def search(panel, candidates, data, make, budget_sec):
+        asked.append((len(candidates), budget_sec))
+        raise Stop
+
+    monkeypatch.setattr(tuning, "_search", search)
+    with pytest.raises(Stop):
+        entry.queries()["tune_seasonal_ar"](spark, folder)
+    assert asked == [(20, float("inf"))]
