@@ -8,7 +8,9 @@ own. So a trie node needs one token only, and words with a common prefix share t
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +24,8 @@ from shelfcast.llm.common import text_slices
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beside a space: there, words can't be found by cutting at spaces.
 AWKWARD = r"\s\x20|\x20\s|\x20\Z"
-#: Words remembered by a worker; a memory bound without influence on results.
-REMEMBERED = 150_000
+#: Words, and pairs of tokens, remembered by a worker in each of two generations; a memory bound without influence on results.
+REMEMBERED = 200_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -50,12 +52,28 @@ def read_vocabulary(path: str) -> dict:
     return {"tokens": tokens, "merges": merges, "special": special}
 
 
+class Remembered:
+    """Values by key in two generations: what is looked up moves to the current one; a full one ousts the one before it."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are unknown; the known ones are in the current generation afterwards."""
+        if len(self.now) > REMEMBERED:
+            self.now, self.before = {}, self.now
+        new = keys.difference(self.now)
+        for key in new.intersection(self.before):
+            self.now[key] = self.before[key]
+        return new.difference(self.now)
+
+
 class TrieEncoder:
     def __init__(self, vocabulary: dict):
         import regex
 
         self.tokens, self.merges, self.special = vocabulary["tokens"], vocabulary["merges"], vocabulary["special"]
-        self.longest = max(map(len, self.tokens))
         self.text_of = [b""] * (max([*self.tokens.values(), *self.special.values()]) + 1)
         for t, i in self.tokens.items():
             self.text_of[i] = t
@@ -64,9 +82,12 @@ class TrieEncoder:
         self.cut = regex.compile(PIECES).findall
         self.awkward = regex.compile(AWKWARD).search
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.apart: dict[int, bool] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.beginnings = {t[:n] for t in self.tokens for n in range(1, len(t) + 1)}
+        self.state_of: dict[bytes, int] = {b"": 0}  # states met so far, by the longest end of the word that begins a token
+        self.ending: list[bytes] = [b""]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]  # by state: tokens that the word may end with and their sizes, longest first
+        self.goes: dict[int, int] = {}  # state after state << 8 | byte
+        self.apart, self.spaced, self.plain = {}, Remembered(), Remembered()
 
     def merged(self, data: bytes) -> list[int]:
         """Merges by rank, for the few bytes of a pair of tokens."""
@@ -78,23 +99,37 @@ class TrieEncoder:
             at = min(found)[1]
             ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
 
-    def stay_apart(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) > 2 * REMEMBERED:
-                self.apart.clear()
-            found = self.apart[key] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
+    def stay_apart(self, key: int) -> bool:
+        """Whether the tokens ``key >> 32`` and ``key & 0xFFFFFFFF`` side by side are not merged in any way."""
+        a, b = key >> 32, key & 0xFFFFFFFF
+        if len(self.apart) > 2 * REMEMBERED:
+            for old in list(itertools.islice(self.apart, REMEMBERED)):
+                del self.apart[old]
+        found = self.apart[key] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
         return found
 
+    def go(self, state: int, byte: int) -> int:
+        """The state one byte on, found once for each state and byte."""
+        end = self.ending[state] + bytes([byte])
+        while end not in self.beginnings:
+            end = end[1:]
+        after = self.state_of.setdefault(end, len(self.ending))
+        if after == len(self.ending):
+            self.ending.append(end)
+            self.ends.append(tuple((self.tokens[end[i:]], len(end) - i) for i in range(len(end)) if end[i:] in self.tokens))
+        self.goes[state << 8 | byte] = after
+        return after
+
     def walk(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Encodings of distinct words as little-endian 32-bit ids.
 
         Sorted words are the trie in depth-first order: the states of the common prefix with the word before stay on
-        the stack, and only the rest of the word is new.
+        the stack, and only the rest of the word is new. A state knows the tokens that may come last; the shortest is
+        a single byte and needs no check, since one of them must be right.
         """
-        get, apart, longest = self.tokens.get, self.stay_apart, self.longest
+        goes, go, ends, known, apart, text_of = self.goes.get, self.go, self.ends, self.apart, self.stay_apart, self.text_of
         last: list[int] = []  # last[i]: last token of the first i + 1 bytes
+        path = [0]  # state after i bytes
         before, out = b"", {}
         for word in sorted(words):
             same = 0
@@ -102,18 +137,25 @@ class TrieEncoder:
                 if x != y:
                     break
                 same += 1
-            del last[same:]
-            for end in range(same + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = get(word[start:end])
-                    if token is not None and (not start or apart(last[start - 1], token)):
-                        last.append(token)
+            del last[same:], path[same + 1 :]
+            state = path[-1]
+            for end in range(same, len(word)):
+                after = goes(state << 8 | word[end])
+                state = go(state, word[end]) if after is None else after
+                path.append(state)
+                for token, size in ends[state]:
+                    if size > end or size == 1:
+                        break
+                    key = last[end - size] << 32 | token
+                    good = known.get(key)
+                    if apart(key) if good is None else good:
                         break
+                last.append(token)
             ids, end = [], len(word)
             while end:
                 ids.append(last[end - 1])
-                end -= len(self.text_of[last[end - 1]])
-            out[word] = np.array(ids[::-1], "<u4").tobytes()
+                end -= len(text_of[last[end - 1]])
+            out[word] = struct.pack(f"<{len(ids)}I", *ids[::-1])
             before = word
         return out
 
@@ -121,7 +163,7 @@ class TrieEncoder:
         """Remember the ids of words that follow a space, and of other words."""
         cuts = {w: self.cut(" " + w) for w in spaced}, {w: self.cut(w) for w in plain}
         ids = self.walk({p.encode() for cut in cuts for pieces in cut.values() for p in pieces})
-        for known, cut in zip((self.spaced, self.plain), cuts):
+        for known, cut in zip((self.spaced.now, self.plain.now), cuts):
             known.update((w, b"".join([ids[p.encode()] for p in pieces])) for w, pieces in cut.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -140,11 +182,8 @@ class TrieEncoder:
             plans.append(plan)
         spaced = {w for plan in plans for _, _, rest in plan if rest for w in rest}
         plain = {w for plan in plans for _, first, _ in plan if first for w in first}
-        if len(self.spaced) + len(self.plain) > REMEMBERED:  # only what is in use now stays
-            self.spaced = {w: self.spaced[w] for w in spaced if w in self.spaced}
-            self.plain = {w: self.plain[w] for w in plain if w in self.plain}
-        self.learn(spaced.difference(self.spaced), plain.difference(self.plain))
-        get_spaced, get_plain = self.spaced.__getitem__, self.plain.__getitem__
+        self.learn(self.spaced.missing(spaced), self.plain.missing(plain))
+        get_spaced, get_plain = self.spaced.now.__getitem__, self.plain.now.__getitem__
         out = []
         for plan in plans:
             parts = []
