@@ -6,7 +6,9 @@ for the whole. How much is shrunk follows from how much sites differ at all. The
 the base rate of the labels in the document's odds.
 
 A second target, toxic, goes the same way with other features: which words and beginnings of words a text has, hashed
-into a fixed number of cells. A document stays if it is good and not toxic.
+into a fixed number of cells. One pass counts the labelled texts that have each cell; the cells whose share of toxic
+texts is furthest from the usual one, in standard errors, are the features of the fit. A document stays if it is good
+and not toxic.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ ROUNDS, PENALTY = 50, 1e-4
 THRESHOLD = 0.5
 #: Cells of the hashed words, beginnings of words (bytes) that count beside the whole, and penalty of their fit.
 CELLS, BEGINNINGS, WORD_PENALTY = 1 << 16, (4, 5, 6, 7), 1e-4
+#: Cells that the fit takes: the most telling ones by the counts over all labelled texts.
+TELLING = 512
 #: Bits of the table that tells which ids may have a label (4 MB when broadcast), and bytes of text that are hashed at once.
 LABEL_BITS, SLICE = 25, 1 << 17
 
@@ -139,13 +143,33 @@ def _hashed(hints, bits: int):
     return hashed
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
-        rows = [np.frombuffer(x, _CELL) for x in batch.column("cells").to_pylist()]
-        ends, made = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), np.concatenate(rows)
-        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(made["cell"].astype(np.int32)), pa.array(np.log1p(made["count"].astype(float))))]
-        fixed = [pa.array(np.full(len(rows), v), kind) for v, kind in ((0, pa.int8()), (CELLS, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([*fixed, *lists], fields=list(_SPARSE)), batch.column("_y")], ["_x", "_y"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with each cell in a task, and how many of them have the label."""
+    n, n1 = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for cells, y in zip(batch.column("cells").to_pylist(), batch.column("_y").to_pylist()):
+            at = np.frombuffer(cells, _CELL)["cell"]  # each cell once
+            n[at] += 1
+            if y == 1:
+                n1[at] += 1
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, n[at], n1[at])], ["cell", "n", "n1"])
+
+
+def _vectors(place: np.ndarray):
+    """Counts of the telling cells as sparse vectors; ``place`` is the place of each cell in them, or -1."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            rows = [np.frombuffer(x, _CELL) for x in batch.column("cells").to_pylist()]
+            rows = [r[place[r["cell"]] >= 0] for r in rows]
+            rows = [r[np.argsort(place[r["cell"]])] for r in rows]
+            ends, made = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), np.concatenate(rows)
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(place[made["cell"]].astype(np.int32)), pa.array(np.log1p(made["count"].astype(float))))]
+            fixed = [pa.array(np.full(len(rows), v), kind) for v, kind in ((0, pa.int8()), (place.max() + 1, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([*fixed, *lists], fields=list(_SPARSE)), batch.column("_y")], ["_x", "_y"])
+
+    return vectors
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +182,23 @@ def _fit_words(rows: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float, fl
     spark = rows.sparkSession
     hints = spark.sparkContext.broadcast(_hints(marks.select("_lid").mapInArrow(_ids, "doc binary"), LABEL_BITS))
     made = rows.where("_id IS NOT NULL").select("_id", "text").mapInArrow(_hashed(hints, LABEL_BITS), "_id long, cells binary")
-    met = made.join(marks, F.col("_id") == F.col("_lid")).where("octet_length(cells) > 0").select("cells", "_y")
-    known = saved(met.mapInArrow(_vectors, T.StructType().add("_x", VectorUDT.sqlType()).add("_y", "double")))
-    # Written as structs, read as vectors: nothing turns one into the other in place.
-    fit_on = spark.read.schema(T.StructType().add("_x", VectorUDT()).add("_y", "double")).parquet(*known.inputFiles()) if known.inputFiles() else None
-    rate = fit_on.agg(F.avg("_y")).first()[0] if fit_on is not None else None
+    met = saved(made.join(marks, F.col("_id") == F.col("_lid")).where("octet_length(cells) > 0").select("cells", "_y"))
+    rate = met.agg(F.avg("_y")).first()[0]
     if rate is None or not 0 < rate < 1:
         return None
+    usual = F.col("n") * rate
+    surprise = F.abs(F.col("n1") - usual) / F.sqrt(usual * (1 - rate) + 1)
+    counts = met.mapInArrow(_counted, "cell long, n long, n1 long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+    telling = [r.cell for r in counts.orderBy(surprise.desc(), "cell").limit(TELLING).select("cell").collect()]
+    place = np.full(CELLS, -1)
+    place[telling] = np.arange(len(telling))
+    known = saved(met.mapInArrow(_vectors(place), T.StructType().add("_x", VectorUDT.sqlType()).add("_y", "double")))
+    # Written as structs, read as vectors: nothing turns one into the other in place.
+    fit_on = spark.read.schema(T.StructType().add("_x", VectorUDT()).add("_y", "double")).parquet(*known.inputFiles())
     model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=ROUNDS, regParam=WORD_PENALTY, standardization=False).fit(fit_on)
-    return model.coefficients.toArray(), float(model.intercept), rate
+    weights = np.zeros(CELLS)
+    weights[telling] = model.coefficients.toArray()
+    return weights, float(model.intercept), rate
 
 
 def _strength(groups: int, n: float, squares: float, between: float, within: float, mean: float) -> float:
@@ -206,18 +238,18 @@ def _places(scored: DataFrame, p: str) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", toxic: str | None = None) -> DataFrame:
     """The probabilities that a document is good and that it is toxic, and whether it stays.
 
-    ``labels`` has the id column, ``label``, 1 for good and 0 for bad, and ``toxic``, 1 for toxic and 0 for clean (None:
-    the column isn't asked for, and only quality is judged); other values and null ids or labels are left aside. ``site`` and ``section`` are string expressions on
-    ``docs``; null is a site and a section like any other. Columns: ``_id``, ``_tag`` (the identity of the row),
+    ``labels`` has the id column, ``label``, 1 for good and 0 for bad, and ``toxic``, 1 for toxic and 0 for clean (None,
+    or a column that isn't there: only quality is judged); other values and null ids or labels are left aside. ``site``
+    and ``section`` are string expressions on ``docs``; null is a site and a section like any other. Columns: ``_id``, ``_tag`` (the identity of the row),
     ``doc_id``, ``p_text``, ``p_site``, ``p_section``, ``score``, ``p_toxic`` (by the text alone), ``toxic`` (with site
     and section) and ``keep``. Null and empty texts have no evidence: their scores are those of their section. If labels
     of a target are missing or of one kind only, no text has evidence of it and nothing is rejected by it. Repeated rows
-    get equal scores. An empty table gives no rows. All labelled documents take part in the fits, and all documents in
+    and texts of any length, all of which are read whole, get scores alike. An empty table gives no rows. All labelled documents take part in the fits, and all documents in
     the counts.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), tag(text).alias("_tag"), site.cast("string").alias("site"), section.cast("string").alias("section"), text.alias("text"))
-    words = _fit_words(rows, _marks(labels, id_col, toxic)) if toxic else None
+    words = _fit_words(rows, _marks(labels, id_col, toxic)) if toxic in labels.columns else None
     schema = "_id long, _tag long, site string, section string, " + ", ".join(f"{c} double" for c in (*FEATURES, "told"))
     known = saved(rows.mapInArrow(_describe(docs.sparkSession.sparkContext.broadcast(words[0]) if words else None), schema))
     marks = _marks(labels, id_col, label)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm.bpe import encode_documents
-from shelfcast.llm.common import table
+from shelfcast.llm.common import saved, table
+from shelfcast.llm.conversations import numbered_turns, prefix_trie, share_beginnings
 from shelfcast.llm.fingerprints import fingerprints
 from shelfcast.llm.jaccard import similar_documents
 from shelfcast.llm.lines import drop_near_lines
@@ -127,5 +128,48 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.drop("_id", "_tag")
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op3_chosen_path, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality)}
-SQL: dict[str, str] = {"op1_mtree_search": SEARCH, "op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations take over the first turns of the one that opens their hundred."""
+    own = saved(numbered_turns(table(spark, sf_dir, "conversations")))
+    conv = F.col("conv_id")
+    return prefix_trie(share_beginnings(own, conv - conv % 100, F.crc32(conv.cast("string")) % 6, most=5))
+
+
+TRIE = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+bytes AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(0, 256)) AS i)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS model, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), bytes),
+turns AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.model AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h),
+paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS size,
+    string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+members AS (
+  SELECT conv_id, depth, size, md5(path) AS node, md5(left(path, length(path) - 32)) AS parent FROM paths
+  UNION ALL SELECT conv_id, 0, 0, md5(''), NULL FROM convs),
+nodes AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, min(parent) AS parent, count(*) AS n, min(size) AS size FROM members GROUP BY node),
+children AS (SELECT parent, count(*) AS n_children FROM nodes GROUP BY parent),
+full_nodes AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.parent = n.node),
+below AS (
+  SELECT m.node, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (WHERE n.n_children = 0) AS leaves
+  FROM full_nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.node),
+ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) AS back FROM members) WHERE back = 1 GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, n.n_children, b.leaves AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN ends e ON e.node = n.node"""
+
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op3_chosen_path, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality, op12_prefix_trie)}
+SQL: dict[str, str] = {"op1_mtree_search": SEARCH, "op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS, "op12_prefix_trie": TRIE}
