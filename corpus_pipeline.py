@@ -1,7 +1,9 @@
 """From raw documents to token ids: a chain of corpus operators, each stage on all that the stage before it kept.
 
-Every stage takes and returns the columns of the documents table (the last one: ids), whatever other columns there are.
-Null texts pass through as such. Repeated rows count as one document where copies are sought, and as rows elsewhere.
+Every stage takes and returns the columns of the documents table (the last one: ids), whatever other columns there are
+and whatever their names. Texts are read whole, however long. Null and empty texts pass through as such, null ids are
+kept, an empty table gives an empty one. Repeated rows count as one document where copies are sought, and as rows
+elsewhere. Ties are settled by the smaller id, then by the hash of the text.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from shelfcast.llm.queries import vocabulary_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects neither as bad nor as toxic."""
+    """Documents that the classifier rejects neither as bad nor as toxic.
+
+    Labels without a ``toxic`` column judge quality only. Null and empty texts are judged by their source and language.
+    """
     scores = score_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), toxic="toxic").select("_id", "_tag", "keep").distinct()
     return with_decisions(docs, scores, ["keep"]).where("keep").select("_row.*")
 
