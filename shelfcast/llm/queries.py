@@ -10,6 +10,7 @@ from shelfcast.llm.common import saved, table
 from shelfcast.llm.conversations import numbered_turns, prefix_trie, share_beginnings
 from shelfcast.llm.fingerprints import fingerprints
 from shelfcast.llm.jaccard import similar_documents
+from shelfcast.llm.licenses import scan_licenses
 from shelfcast.llm.lines import drop_near_lines
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.mtree import top_k
@@ -171,5 +172,9 @@ FROM full_nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node =
 
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op3_chosen_path, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality, op12_prefix_trie)}
+def op13_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op3_chosen_path, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality, op12_prefix_trie, op13_rare_words)}
 SQL: dict[str, str] = {"op1_mtree_search": SEARCH, "op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS, "op12_prefix_trie": TRIE}
