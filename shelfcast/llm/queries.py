@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.llm.alignment import align_tokenizers
 from shelfcast.llm.bpe import encode_documents
 from shelfcast.llm.common import saved, table
 from shelfcast.llm.conversations import numbered_turns, prefix_trie, share_beginnings
@@ -19,8 +20,9 @@ from shelfcast.llm.quality import score_quality
 from shelfcast.llm.substrings import remove_repeated_passages
 from shelfcast.llm.urls import filter_urls
 
-#: Vocabulary file of the encoding operator; None: byte_bpe_50k.json of the installed public_tokenizers.
+#: Vocabulary files; None: byte_bpe_50k.json and piece_bpe_32k.model of the installed public_tokenizers.
 VOCABULARY: str | None = None
+PIECES: str | None = None
 
 
 def vocabulary_path() -> str:
@@ -31,6 +33,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    if PIECES:
+        return PIECES
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -129,6 +139,10 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.drop("_id", "_tag")
 
 
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), vocabulary_path(), pieces_path())
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations take over the first turns of the one that opens their hundred."""
     own = saved(numbered_turns(table(spark, sf_dir, "conversations")))
@@ -176,5 +190,5 @@ def op13_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op3_chosen_path, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality, op12_prefix_trie, op13_rare_words)}
+QUERIES = {f.__name__: f for f in (op1_mtree_search, op2_near_lines, op3_chosen_path, op4_url_rules, op5_bpe_trie, op6_substring_sketch, op7_source_mix, op8_disclosure, op9_lookup_sketch, op10_site_quality, op11_pair_bitmaps, op12_prefix_trie, op13_rare_words)}
 SQL: dict[str, str] = {"op1_mtree_search": SEARCH, "op2_near_lines": LINES, "op6_substring_sketch": SUBSTRINGS, "op12_prefix_trie": TRIE}
