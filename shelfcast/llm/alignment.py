@@ -1,7 +1,8 @@
 """Alignment of two tokenizers, by inverted bitmaps of token pairs.
 
 Both tokenizers cut a text; where tokens of both end at the same byte the text falls into groups, and the tokens of a
-group are linked to one another. Documents are numbered within chunks. For each linked pair and chunk there is a bitmap
+group are linked to one another. Neither has a token that goes on beyond a single space between two letters or signs, so
+each stretch between such spaces is cut once, however often a slice of the corpus has it. Documents are numbered within chunks. For each linked pair and chunk there is a bitmap
 of the documents that hold the pair, and one for each binary digit of how often (less one) they hold it. Bits set in the
 first kind, added up over the chunks, are the pair's count; then every posting hands its count back to its documents, as
 often as the planes say.
@@ -10,7 +11,8 @@ often as the planes say.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -25,11 +27,15 @@ from shelfcast.llm.common import saved, text_slices
 from shelfcast.llm.packing import runs
 
 #: Documents of a chunk at most (numbers have 16 bits), and bytes of text after which a chunk is closed. A longer text is a chunk of its own.
-CHUNK_DOCS, CHUNK_BYTES = 1 << 16, 4 << 20
+CHUNK_DOCS, CHUNK_BYTES = 1 << 16, 8 << 20
+#: Bytes of text cut at a time.
+SLICE = 2 << 20
+#: Spaces at which any text may be cut in two.
+APART = re.compile(r"(?<=\S)\x20(?=\S)")
 #: Pairs of different tokens of one group that are made at a time.
 PAIRS = 1 << 20
-#: Bits of a right id in a pair, and of a document's number.
-RIGHT, NUMBER = 24, 16
+#: Bits of a right id in a pair, of a pair, and of a document's number.
+RIGHT, PAIR, NUMBER = 20, 40, 16
 
 
 class Cutter(NamedTuple):
@@ -77,19 +83,25 @@ class Groups(NamedTuple):
 
 def cut_groups(texts: list[str | None], left: Cutter, right: Cutter) -> Groups:
     """Texts that are null, empty or not given back byte by byte by both tokenizers have no tokens."""
+    ids = [[[]] * len(texts), [[]] * len(texts)]
     some = [i for i, t in enumerate(texts) if t]
-    ids_a, ids_b = left.encode([texts[i] for i in some]), right.encode([texts[i] for i in some])
-    kept_a, kept_b = [[]] * len(texts), [[]] * len(texts)
-    for i, x, y in zip(some, ids_a, ids_b):
-        whole = b" " + texts[i].encode()
-        if b"".join(map(left.pieces.__getitem__, x)) == whole == b"".join(map(right.pieces.__getitem__, y)):
-            kept_a[i], kept_b[i] = x, y
+    for kept, cutter in zip(ids, (left, right)):
+        for i, x in zip(some, cutter.encode([texts[i] for i in some])):
+            kept[i] = x
+
+    def back(cutter: Cutter, found: Iterable[list[int]]) -> bytes:
+        return b"".join(map(cutter.pieces.__getitem__, chain.from_iterable(found)))
+
+    whole = "".join([" " + texts[i] for i in some]).encode()
+    if not (whole == back(left, ids[0]) == back(right, ids[1])):
+        for i in some:
+            if not (b" " + texts[i].encode() == back(left, [ids[0][i]]) == back(right, [ids[1][i]])):
+                ids[0][i] = ids[1][i] = []
     flat, ends, counts = [], [], []
-    for kept, pieces in ((kept_a, left.pieces), (kept_b, right.pieces)):
-        ids = np.fromiter(chain.from_iterable(kept), np.int64)
+    for kept, pieces in zip(ids, (left.pieces, right.pieces)):
+        flat.append(np.fromiter(chain.from_iterable(kept), np.int64))
         size = np.array([len(p) for p in pieces], np.int64)
-        flat.append(ids)
-        ends.append(np.cumsum(size[ids]))  # both kinds cover the same bytes, so ends are comparable over all texts
+        ends.append(np.cumsum(size[flat[-1]]))  # both kinds cover the same bytes, so ends are comparable over all texts
         counts.append(np.array([len(x) for x in kept], np.int64))
     common = np.intersect1d(*ends)
     group_a, group_b = (np.searchsorted(common, e) for e in ends)
@@ -103,17 +115,17 @@ def marked(n: int, end: str) -> list[bytes]:
     return [f"{i}{mark}".encode() for i in range(n) for mark in (",", end)]
 
 
-def written(g: Groups, names: list[bytes], n: int) -> list[str]:
-    """SHA-256 of each text's groups as ``a1,a2|b1;a3|b2,b3``; empty where there are none. ``names``: those of the ``n`` left ids, then of the right ones."""
+def written(g: Groups, names: list[bytes], n: int) -> list[bytes]:
+    """Each text's groups as ``a1,a2|b1;a3|b2,b3;``. ``names``: those of the ``n`` left ids, then of the right ones."""
     last_a, last_b = (np.append(x[1:] != x[:-1], True) if len(x) else np.zeros(0, bool) for x in (g.group_a, g.group_b))
     order = np.argsort(np.concatenate([g.group_a * 2, g.group_b * 2 + 1]), kind="stable")
     place = np.concatenate([g.a * 2 + last_a, (n + g.b) * 2 + last_b])[order].tolist()
     ends = np.concatenate([[0], np.cumsum(g.n_a + g.n_b)]).tolist()
-    return [hashlib.sha256(b"".join(map(names.__getitem__, place[s:e]))[:-1]).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:])]
+    return [b"".join(map(names.__getitem__, place[s:e])) for s, e in zip(ends, ends[1:])]
 
 
 def link_counts(g: Groups) -> tuple[np.ndarray, np.ndarray]:
-    """Keys ``pair << NUMBER | text`` in order, and the number of links of each.
+    """Keys ``text << PAIR | pair`` in order, and the number of links of each.
 
     Equal tokens of a group are counted, not paired, and the pairs are made a million at a time, so that a group of any
     size fits.
@@ -134,7 +146,7 @@ def link_counts(g: Groups) -> tuple[np.ndarray, np.ndarray]:
         hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right")))
         at = np.repeat(np.arange(lo, hi), many[lo:hi])
         other = np.arange(len(at)) - np.repeat(done[lo:hi] - many[lo:hi] - (done[lo - 1] if lo else 0), many[lo:hi]) + first[of[at]]
-        found.append(added((a[at] << RIGHT | b[other]) << NUMBER | g.owner[of[at]], times_a[at] * times_b[other]))
+        found.append(added(g.owner[of[at]] << PAIR | a[at] << RIGHT | b[other], times_a[at] * times_b[other]))
         lo = hi
     return added(*(np.concatenate(x) for x in zip(*found)))
 
@@ -167,6 +179,48 @@ def bitmaps(group: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray,
     return group[ends[:-1]], made, n
 
 
+class Aligned(NamedTuple):
+    """A batch of texts: keys ``pair << NUMBER | text`` in order with their numbers of links, and what is told of each text."""
+
+    key: np.ndarray
+    times: np.ndarray
+    told: list[tuple]
+
+
+def align_texts(texts: list[str | None], left: Cutter, right: Cutter, names: list[bytes]) -> Aligned:
+    """Cuts the different stretches of the texts, and puts the texts together again from what was found of each."""
+    place: dict[str, int] = {}
+    counts, at = [], []
+    for t in texts:
+        parts = APART.split(t) if t else []
+        counts.append(len(parts))
+        at.extend([place.setdefault(p, len(place)) for p in parts])
+    at, counts = np.array(at, np.int64), np.array(counts, np.int64)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    g = cut_groups(list(place), left, right)
+    bad = np.bincount(owner, weights=(g.n_a == 0)[at], minlength=len(texts)) > 0
+    at, owner = at[~bad[owner]], owner[~bad[owner]]
+
+    key, times = link_counts(g)
+    first = np.searchsorted(key, np.arange(len(place) + 1) << PAIR)
+    size = np.diff(first)[at]
+    entry = np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    both = added((key[entry] & (1 << PAIR) - 1) << NUMBER | np.repeat(owner, size), times[entry])
+
+    groups = np.bincount(g.owner, minlength=len(place))
+    links = np.zeros(len(place), np.int64)
+    np.add.at(links, g.owner, np.bincount(g.group_a, minlength=len(g.owner)) * np.bincount(g.group_b, minlength=len(g.owner)))
+    numbers = []
+    for each in (g.n_a, g.n_b, groups, links):
+        total = np.zeros(len(texts), np.int64)
+        np.add.at(total, owner, each[at])
+        numbers.append(total.tolist())
+    pieces, at = written(g, names, len(left.pieces)), at.tolist()
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    digests = [hashlib.sha256(b"".join([pieces[x] for x in at[s:e]])[:-1]).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:])]
+    return Aligned(*both, list(zip(*numbers, digests)))
+
+
 DOCS = [("no", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
 ROWS = [("chunk", pa.int64()), ("docs", pa.int32()), ("pair", pa.int64()), ("plane", pa.int32()), ("n", pa.int64()), ("bitmap", pa.binary()), *DOCS]
 _SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
@@ -206,18 +260,13 @@ def _aligner(paths: tuple[str, str], files):
             _CUTTERS[paths] = *cutters, marked(len(cutters[0].pieces), "|") + marked(len(cutters[1].pieces), ";")
         left, right, names = _CUTTERS[paths]
         chunk, docs, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             if docs and (held + batch.nbytes > CHUNK_BYTES or len(docs) + batch.num_rows > CHUNK_DOCS):
                 yield from chunk_rows(chunk, docs, parts)
                 chunk, docs, parts, held = chunk + 1, [], [], 0
-            g = cut_groups(batch.column("text").to_pylist(), left, right)
-            key, times = link_counts(g)
-            parts.append((key + len(docs), times))
-            links = np.zeros(batch.num_rows, np.int64)
-            np.add.at(links, g.owner, np.bincount(g.group_a, minlength=len(g.owner)) * np.bincount(g.group_b, minlength=len(g.owner)))
-            groups = np.bincount(g.owner, minlength=batch.num_rows)
-            told = zip(batch.column("doc_id").to_pylist(), *(x.tolist() for x in (g.n_a, g.n_b, groups, links)), written(g, names, len(left.pieces)))
-            docs.extend(dict(zip((c for c, _ in DOCS[1:]), d)) for d in told)
+            found = align_texts(batch.column("text").to_pylist(), left, right, names)
+            parts.append((found.key + len(docs), found.times))
+            docs.extend(dict(zip((c for c, _ in DOCS[1:]), (i, *told))) for i, told in zip(batch.column("doc_id").to_pylist(), found.told))
             held += batch.nbytes
         if docs:
             yield from chunk_rows(chunk, docs, parts)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -38,9 +39,15 @@ def plain(rows):
             pa_, pb = [bytes(byte[c] for c in a_of.id_to_token(x)) for x in a], [piece(x) for x in b]
             if b"".join(pa_) == (" " + text).encode() == b"".join(pb):
                 ends_a, ends_b = np.cumsum([len(x) for x in pa_]), np.cumsum([len(x) for x in pb])
-                both = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
-                for lo, hi in zip([0, *both], both):
-                    groups.append(([x for x, e in zip(a, ends_a) if lo < e <= hi], [x for x, e in zip(b, ends_b) if lo < e <= hi]))
+                both = set(ends_a.tolist()) & set(ends_b.tolist())
+                for side, (ids, ends) in enumerate(((a, ends_a), (b, ends_b))):
+                    made = [[]]
+                    for x, e in zip(ids, ends.tolist()):
+                        made[-1].append(x)
+                        if e in both:
+                            made.append([])
+                    groups.append(made[:-1])
+                groups = list(zip(*groups))
         docs.append((i, groups))
     holding = Counter(p for _, groups in docs for p in {(x, y) for a, b in groups for x in a for y in b})
     most = defaultdict(int)
@@ -61,12 +68,9 @@ def texts(folder):
     return real + odd + ["".join(rnd.choices("ab é中.\n▁", k=rnd.randrange(1, 60))) for _ in range(100)]
 
 
-@pytest.mark.parametrize("chunk", (1 << 22, 3000))
-def test_alignment_is_the_plain_one(spark, make, folder, monkeypatch, chunk):
+def test_alignment_is_the_plain_one(spark, make, folder):
     rows = list(enumerate(texts(folder)))
     rows += [(None, "the end"), (3, "the end"), (3, "the end"), *((1000 + i, "of the end, of the end") for i in range(60))]
-    monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(alignment, "PAIRS", 50)
     key = lambda r: tuple(map(str, r))
     got = align_tokenizers(make(rows).repartition(3), vocabulary_path(), pieces_path()).select(*COLUMNS).collect()
     assert sorted(map(tuple, got), key=key) == sorted(plain(rows), key=key)
@@ -96,3 +100,18 @@ def test_bitmaps_keep_documents_and_times():
                 got[r["pair"] << alignment.NUMBER | d] += 1 << max(0, r["plane"] - 1)
     assert got == want
     assert len(bitmaps(np.zeros(0, np.int64), np.zeros(0, np.int64), 5)[1]) == 0
+
+
+def test_cutting_in_parts_changes_nothing(folder, monkeypatch):
+    """Small blocks of pairs, and texts cut at their spaces, give the links of whole texts."""
+    with open(pieces_path(), "rb") as f:
+        left, right = alignment.byte_level(alignment.read_vocabulary(vocabulary_path())["tokens"]), alignment.sentence_pieces(f.read())
+    names = alignment.marked(len(left.pieces), "|") + alignment.marked(len(right.pieces), ";")
+    some = [t for t in texts(folder) if "▁" not in (t or "")]
+    want = alignment.align_texts(some, left, right, names)
+    monkeypatch.setattr(alignment, "PAIRS", 50)
+    got = alignment.align_texts(some, left, right, names)
+    assert got.told == want.told and (got.key == want.key).all() and (got.times == want.times).all()
+    monkeypatch.setattr(alignment, "APART", re.compile("(?!)"))
+    got = alignment.align_texts(some, left, right, names)
+    assert got.told == want.told and (got.key == want.key).all() and (got.times == want.times).all()
