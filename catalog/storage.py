@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import PANEL, SQL, panel_of, query
 from catalog.forecasting import runs_of
+from shelfcast.functions.ranking import shared_folder
 from shelfcast.operators import profile, runlog
 from shelfcast.sources import files
 
@@ -16,9 +17,8 @@ DOUBLES = ["sales", "price", "temperature", "precipitation"]
 
 
 def fresh_folder(spark) -> str:
-    """A new name under the checkpoint folder, or the warehouse of a session without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    """A new name in the folder that all executors share."""
+    return f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
 
 
 def round_trip(spark, folder, kind: str):

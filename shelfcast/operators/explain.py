@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,27 +49,6 @@ def tree_importance(model, columns: Sequence[str]) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def mean_shift_contributions(model, df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (*KEYS, DATE),
-                             vector: str = "features", prediction: str = "prediction") -> DataFrame:
-    """(ids, feature, contribution) of any fitted model on an assembled vector.
-
-    A feature's contribution is the change of the prediction when its value is replaced by the
-    mean. All variants of a row are rows of one table, scored in one pass.
-    """
-    base = df.select(*ids, vector_to_array(vector).alias("_x"))
-    means = base.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(len(columns))]).first()
-
-    def at_mean(i: int):
-        return F.transform("_x", lambda x, j: F.when(j == i, float(means[i])).otherwise(x))
-
-    changed = [F.struct(F.lit(c).alias("feature"), at_mean(i).alias("_v")) for i, c in enumerate(columns)]
-    same = F.struct(F.lit("").alias("feature"), F.col("_x").alias("_v"))
-    rows = base.select(*ids, F.explode(F.array(same, *changed)).alias("_r")).select(*ids, "_r.feature", array_to_vector("_r._v").alias(vector))
-    scored = model.transform(rows)
-    whole = F.max(F.when(F.col("feature") == "", F.col(prediction))).over(Window.partitionBy(*ids))
-    return scored.select(*ids, "feature", (whole - F.col(prediction)).alias("contribution")).where("feature <> ''")
-
-
 def explain_contributions(contributions: DataFrame, k: int = 10, ids: Sequence[str] = (*KEYS, DATE)) -> DataFrame:
     """The ``k`` largest signed contributions by magnitude per forecast row."""
     return _top(contributions, ids, "contribution", k)

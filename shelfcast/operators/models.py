@@ -24,15 +24,16 @@ from shelfcast.config import DATE, KEYS, TARGET
 from shelfcast.functions.normal import norm_ppf
 from shelfcast.functions.ranking import checkpointed
 from shelfcast.functions.series import add_ema, change_base, pct_change, series_window
-from shelfcast.operators.explain import tree_importance
+from shelfcast.operators import trees
+from shelfcast.operators.explain import linear_contributions, tree_importance
 from shelfcast.operators.features.calendar import calendar_columns, fourier
 from shelfcast.operators.features.holiday import add_holidays
 from shelfcast.operators.features.lag import SAFE_ALPHA, safe_columns
-from shelfcast.operators.features.pipeline import fit_labels
 from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.panel import union_all
 
-# Residuals a series needs for its own quantiles.
-MIN_RESIDUALS = 20
+#: Rows of the overall mean that the mean of a key is drawn by.
+PRIOR_ROWS = 10.0
 
 
 # --- inputs ---------------------------------------------------------------------------------
@@ -89,7 +90,11 @@ def matrix_pipeline(features: Sequence[str]) -> Pipeline:
 
 @dataclass(frozen=True)
 class GbtForecaster:
-    """Gradient-boosted trees over a feature table; keys enter as label codes, however many values they have."""
+    """Gradient-boosted trees over a feature table.
+
+    Each key, and all keys together, enter as the mean of the target that their rows had on earlier days, drawn
+    towards the mean of all rows: a number that says something, however many values a key has.
+    """
 
     max_depth: int = 5
     max_iter: int = 100
@@ -107,34 +112,73 @@ class GbtForecaster:
         inputs = list(self.inputs) or input_columns(train, self.target, self.keys)
         train = train.where(F.col(self.target).isNotNull())
         order = [c for c in (*self.keys, self.date) if c in train.columns]
+        train = train.select(*order, *[c for c in inputs if c not in order], F.col(self.target).cast("double").alias(self.target))
+        levels = key_levels(self.keys)
+        for name, by in levels.items():
+            train = train.join(earlier_means(train, by, f"_mean_{name}", self.target, self.date), [*by, self.date], "left")
         # Spread over series and days, in one order whatever the files were, so the same data gives the
         # same trees. Kept while fitting, because every boosting round reads the rows again.
-        train = train.select(*order, *[c for c in inputs if c not in order], F.col(self.target).cast("double").alias(self.target))
         train = train.repartition(*order).sortWithinPartitions(*order).persist()
         try:
-            dictionary = checkpointed(fit_labels(train, self.keys))
-            coded = [f"_code_{k}" for k in self.keys]
+            means = checkpointed(key_means(train, levels, self.target))
             stages = [
                 SQLTransformer(statement=_clean_sql(inputs)),
-                VectorAssembler(inputCols=[f"_x_{c}" for c in inputs] + coded, outputCol="features"),
+                VectorAssembler(inputCols=[f"_x_{c}" for c in inputs] + [f"_mean_{name}" for name in levels], outputCol="features"),
                 GBTRegressor(
                     featuresCol="features", labelCol=self.target, maxDepth=self.max_depth, maxIter=self.max_iter, stepSize=self.step_size,
                     subsamplingRate=self.subsampling_rate, featureSubsetStrategy=str(self.feature_share),
                     minInstancesPerNode=self.min_instances, seed=self.seed,
                 ),
             ]
-            fitted = Pipeline(stages=stages).fit(_with_codes(train, dictionary, self.keys))
-            return FittedGbt(fitted, tuple(inputs + list(self.keys)), dictionary, self.keys)
+            fitted = Pipeline(stages=stages).fit(train.fillna(0.0, [f"_mean_{name}" for name in levels]))
+            return FittedGbt(fitted, tuple(inputs + list(levels)), means, self.keys)
         finally:
             train.unpersist()
 
 
-def _with_codes(df: DataFrame, dictionary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``_code_`` columns of the keys; values that the dictionary lacks get the code -1."""
-    for k in keys:
-        part = dictionary.where(F.col("column") == k).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
-        df = df.join(part, F.col(k).cast("string") == F.col("_v"), "left")
-        df = df.withColumn(f"_code_{k}", F.coalesce("_c", F.lit(-1)).cast("double")).drop("_v", "_c")
+def key_levels(keys: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Columns of each mean that stands for keys: every key, and ``series`` for all of them together."""
+    return {**{k: (k,) for k in keys}, **({"series": tuple(keys)} if len(keys) > 1 else {})}
+
+
+def earlier_means(df: DataFrame, by: Sequence[str], out: str, target: str = TARGET, date: str = DATE, weight: float = PRIOR_ROWS) -> DataFrame:
+    """(``by``, date, ``out``): the mean target of a key's rows on earlier days, with ``weight`` rows of the mean of all
+    rows on earlier days; null on the first day. Windows run over days, not rows, so no key is too large for them."""
+    value = F.col(target).cast("double")
+
+    def before(keys: Sequence[str], s: str, n: str) -> DataFrame:
+        daily = df.groupBy(*keys, date).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s"), F.count(value).alias("_n"))
+        past = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+        return daily.select(*keys, date, F.coalesce(F.sum("_s").over(past), F.lit(0.0)).alias(s), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias(n))
+
+    joined = before(by, "_s", "_n").join(before([], "_all", "_rows"), date)
+    usual = F.when(F.col("_rows") > 0, F.col("_all") / F.col("_rows"))
+    return joined.select(*by, date, ((F.col("_s") + weight * usual) / (F.col("_n") + weight)).alias(out))
+
+
+def key_means(df: DataFrame, levels: dict[str, tuple[str, ...]], target: str = TARGET, weight: float = PRIOR_ROWS) -> DataFrame:
+    """(column, value, mean) for later rows: the means of all rows of a key. The row without a value has the mean of
+    all rows, which stands for keys that are not there."""
+    value = F.col(target).cast("double")
+    usual = df.agg(F.avg(value)).first()[0] or 0.0
+    mean = (F.sum(value) + weight * usual) / (F.count(value) + weight)
+    parts = [df.where(value.isNotNull()).groupBy(*by).agg(mean.alias("mean")).select(F.lit(name).alias("column"), _key_text(by).alias("value"), "mean") for name, by in levels.items()]
+    whole = df.sparkSession.createDataFrame([(name, None, float(usual)) for name in levels], "column string, value string, mean double")
+    return union_all([*parts, whole])
+
+
+def _key_text(by: Sequence[str]) -> Column:
+    """One text for the values of several columns; none for two different rows of values."""
+    return F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(by)]))
+
+
+def _with_means(df: DataFrame, means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_mean_`` columns of the keys, from what ``key_means`` stored."""
+    usual = {r.column: r["mean"] for r in means.where("value is null").collect()}
+    for name, by in key_levels(keys).items():
+        part = means.where((F.col("column") == name) & F.col("value").isNotNull()).select(F.col("value").alias("_v"), F.col("mean").alias("_m"))
+        df = df.join(part, _key_text(by) == F.col("_v"), "left")
+        df = df.withColumn(f"_mean_{name}", F.coalesce("_m", F.lit(usual.get(name, 0.0)))).drop("_v", "_m")
     return df
 
 
@@ -142,26 +186,39 @@ def _with_codes(df: DataFrame, dictionary: DataFrame, keys: Sequence[str]) -> Da
 class FittedGbt:
     pipeline: PipelineModel
     inputs: tuple[str, ...]
-    dictionary: DataFrame
+    means: DataFrame
     keys: tuple[str, ...] = KEYS
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.pipeline.transform(_with_codes(df, self.dictionary, self.keys))
+        out = self.pipeline.transform(_with_means(df, self.means, self.keys))
         return out.select(*df.columns, F.col("prediction").alias("yhat"))
 
     predict = transform
 
+    def with_leaves(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``yhat`` and, in ``_leaves``, the leaf that a row reaches in each tree."""
+        out = trees.with_leaves(self.pipeline, _with_means(df, self.means, self.keys))
+        return out.select(*df.columns, F.col("prediction").alias("yhat"), trees.LEAVES)
+
+    def contributions(self, df: DataFrame, date: str = DATE) -> DataFrame:
+        """(keys, date, feature, contribution): what each input adds to the forecast of a row, exactly."""
+        return trees.tree_contributions(self.pipeline, _with_means(df, self.means, self.keys), self.inputs, (*self.keys, date))
+
+    def bias(self) -> float:
+        """The forecast before any input is looked at."""
+        return trees.path_table(trees.node_table(self.pipeline.stages[-1])).bias
+
     def feature_importance(self) -> DataFrame:
         return tree_importance(self.pipeline.stages[-1], list(self.inputs))
 
     def save(self, path: str) -> None:
-        _save(path, "gbt", Stored(self.inputs, self.keys), {}, {"labels": self.dictionary})
+        _save(path, "gbt", Stored(self.inputs, self.keys), {}, {"means": self.means})
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
 
     @staticmethod
     def load(path: str) -> FittedGbt:
-        spec, _, tables = _load(path, Stored, ["labels"])
-        return FittedGbt(PipelineModel.load(f"{path}/pipeline"), spec.inputs, tables["labels"], spec.keys)
+        spec, _, tables = _load(path, Stored, ["means"])
+        return FittedGbt(PipelineModel.load(f"{path}/pipeline"), spec.inputs, tables["means"], spec.keys)
 
 
 @dataclass(frozen=True)
@@ -182,9 +239,11 @@ def boosted_depth_forecaster(**kw) -> GbtForecaster:
 
 @dataclass(frozen=True)
 class QuantileForecaster:
-    """A point model with residual quantiles from held-out days: per series, or overall where there are few.
+    """A point model with quantiles of its residuals, given the leaves that a row reaches.
 
-    Quantiles are added to the point in order, so intervals cannot cross.
+    A model of the earlier rows is held against the last ``horizon`` days. How its residuals are spread is counted for
+    each leaf; a row's quantiles are those of its leaves together, so they widen where the trees found the rows hard to
+    tell. Quantiles are added to the point in order, so intervals cannot cross.
     """
 
     base: GbtForecaster = field(default_factory=GbtForecaster)
@@ -207,38 +266,43 @@ class QuantileForecaster:
         cut = F.date_sub(F.lit(last), self.horizon - 1)
         head, tail = train.where(F.col(self.date) < cut), train.where(F.col(self.date) >= cut)
         probe = b.fit(head)
-        resid = probe.transform(tail).select(*b.keys, (F.col(b.target) - F.col("yhat")).alias("r")).where("r is not null").persist()
-        overall = exact_quantiles(resid, ["r"], self.quantiles)["r"] or [0.0, 0.0, 0.0]
-        probs = F.array(*[F.lit(float(q)) for q in self.quantiles])
-        own = resid.groupBy(*b.keys).agg(F.count("*").alias("n"), F.percentile("r", probs).alias("offsets"))
-        own = checkpointed(own.where(F.col("n") >= MIN_RESIDUALS).drop("n"))
-        resid.unpersist()
-        return FittedQuantile(b.fit(train), own, tuple(overall), b.keys)
+        scored = checkpointed(probe.with_leaves(tail).select(trees.LEAVES, (F.col(b.target) - F.col("yhat")).alias("r")).where("r is not null"))
+        edges = exact_quantiles(scored, ["r"], [i / trees.CELLS for i in range(trees.CELLS + 1)])["r"] or [0.0] * (trees.CELLS + 1)
+        cells = checkpointed(trees.leaf_cells(scored, "r", edges))
+        return FittedQuantile(b.fit(train), probe, cells, tuple(edges), self.quantiles, b.keys)
 
 
 @dataclass(frozen=True)
 class FittedQuantile:
     point: FittedGbt
-    offsets: DataFrame
-    overall: tuple[float, ...]
+    probe: FittedGbt
+    cells: DataFrame
+    edges: tuple[float, ...]
+    quantiles: tuple[float, ...]
     keys: tuple[str, ...]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.point.transform(df).join(self.offsets, list(self.keys), "left")
-        shift = F.coalesce("offsets", F.array(*[F.lit(float(v)) for v in self.overall]))
-        out = out.withColumns({n: F.col("yhat") + shift[i] for i, n in enumerate(("q10", "q50", "q90"))})
-        return out.withColumns({"yhat": F.col("q50"), "yhat_lower": F.col("q10"), "yhat_upper": F.col("q90")}).drop("offsets")
+        told = self.probe.with_leaves(self.point.transform(df).withColumnRenamed("yhat", "_point")).drop("yhat")
+        shift = trees.leaf_quantiles(self.cells, self.edges, self.quantiles)
+        out = told.withColumn("_shift", shift)
+        out = out.withColumns({n: F.col("_point") + F.col("_shift")[i] for i, n in enumerate(("q10", "q50", "q90"))})
+        return out.withColumns({"yhat": F.col("q50"), "yhat_lower": F.col("q10"), "yhat_upper": F.col("q90")}).drop("_shift", "_point", trees.LEAVES)
 
     predict = transform
 
+    def contributions(self, df: DataFrame, date: str = DATE) -> DataFrame:
+        """Of the point model."""
+        return self.point.contributions(df, date)
+
     def save(self, path: str) -> None:
-        _save(path, "quantile", Stored(self.point.inputs, self.keys), {"overall": self.overall}, {"offsets": self.offsets})
+        _save(path, "quantile", Stored(self.point.inputs, self.keys), {"edges": self.edges, "quantiles": self.quantiles}, {"cells": self.cells})
         self.point.save(f"{path}/point")
+        self.probe.save(f"{path}/probe")
 
     @staticmethod
     def load(path: str) -> FittedQuantile:
-        spec, state, tables = _load(path, Stored, ["offsets"])
-        return FittedQuantile(FittedGbt.load(f"{path}/point"), tables["offsets"], tuple(state["overall"]), spec.keys)
+        spec, state, tables = _load(path, Stored, ["cells"])
+        return FittedQuantile(FittedGbt.load(f"{path}/point"), FittedGbt.load(f"{path}/probe"), tables["cells"], tuple(state["edges"]), tuple(state["quantiles"]), spec.keys)
 
 
 # --- seasonal autoregression ----------------------------------------------------------------
@@ -257,9 +321,11 @@ def difference_weights(d: int, seasonal_d: int, season: int) -> list[float]:
 
 @dataclass(frozen=True)
 class SeasonalArForecaster:
-    """One autoregression on differenced, series-scaled data, shared by all series.
+    """One autoregression with moving-average terms on differenced, series-scaled data, shared by all series.
 
-    Orders are (p, d, q) and (P, D, Q, s). Moving-average terms are left out.
+    Orders are (p, d, q) and (P, D, Q, s). With q or Q, a long autoregression comes first; what it leaves over stands
+    for the shocks, whose earlier values are inputs of the second fit beside those of the series. Both fits are sums
+    of products over all rows.
     """
 
     order: tuple[int, int, int] = (1, 1, 1)
@@ -274,6 +340,26 @@ class SeasonalArForecaster:
     def lags(self) -> list[int]:
         return sorted({*range(1, self.order[0] + 1), *(self.seasonal[3] * j for j in range(1, self.seasonal[0] + 1))})
 
+    @property
+    def shocks(self) -> list[int]:
+        return sorted({*range(1, self.order[2] + 1), *(self.seasonal[3] * j for j in range(1, self.seasonal[2] + 1))})
+
+    @property
+    def long_lags(self) -> list[int]:
+        """Of the first fit: enough to write the moving average as an autoregression, nearly."""
+        near = 4 * max(self.order[0] + self.order[2], 1)
+        return sorted({*range(1, near + 1), *(self.seasonal[3] * j for j in range(1, self.seasonal[0] + 2 * self.seasonal[2] + 1))})
+
+    def _least_squares(self, rows: DataFrame, names: list[str]) -> tuple[list[float], float, float]:
+        """Coefficients, intercept and spread of ``_z`` given ``names``, over the rows that have all of them."""
+        data = rows.select(*[F.col(c).cast("double").alias(c) for c in ["_z", *names]]).dropna()
+        if not names:
+            mean, sigma = data.agg(F.avg("_z"), F.stddev_samp("_z")).first()
+            return [], float(mean or 0.0), float(sigma or 0.0)
+        data = VectorAssembler(inputCols=names, outputCol="_v").transform(data)
+        lr = LinearRegression(featuresCol="_v", labelCol="_z", predictionCol="_p", regParam=1e-6).fit(data)
+        return [float(v) for v in lr.coefficients], float(lr.intercept), float(lr.summary.rootMeanSquaredError)
+
     def fit(self, train: DataFrame) -> FittedSeasonalAr:
         w = series_window(self.keys, self.date)
         weights = difference_weights(self.order[1], self.seasonal[1], self.seasonal[3])
@@ -286,25 +372,24 @@ class SeasonalArForecaster:
         whole = Window.partitionBy(*self.keys)
         rows = rows.withColumns({"_mu": F.avg("_d").over(whole), "_sd": F.stddev_samp("_d").over(whole)})
         rows = rows.withColumn("_z", F.when(F.col("_sd") > 0, (F.col("_d") - F.col("_mu")) / F.col("_sd")).otherwise(F.col("_d") - F.col("_mu")))
-        lagged = {f"_z{k}": F.lag("_z", k).over(w) for k in self.lags}
-        rows = rows.withColumns(lagged)
-        names = [*lagged, *self.exog]
-        data = rows.fillna(0.0, list(self.exog)).where(" and ".join(f"`{c}` is not null" for c in ["_z", *lagged]))
-        if names:
-            data = VectorAssembler(inputCols=names, outputCol="_v").transform(data.select("_z", *[F.col(c).cast("double").alias(c) for c in names]))
-            lr = LinearRegression(featuresCol="_v", labelCol="_z", predictionCol="_p", regParam=1e-6).fit(data)
-            coef, intercept = [float(v) for v in lr.coefficients], float(lr.intercept)
-            sigma = float(lr.summary.rootMeanSquaredError)
-        else:
-            coef, intercept = [], 0.0
-            sigma = float(data.agg(F.stddev_samp("_z")).first()[0] or 0.0)
-        keep = max([*self.lags, len(weights), 1])
+        first = self.long_lags if self.shocks else []
+        rows = rows.withColumns({f"_z{k}": F.lag("_z", k).over(w) for k in sorted({*self.lags, *first})}).fillna(0.0, list(self.exog))
+        if self.shocks:
+            near, start, _ = self._least_squares(rows, [*(f"_z{k}" for k in first), *self.exog])
+            shock = F.col("_z") - start
+            for c, x in zip([*(f"_z{k}" for k in first), *self.exog], near):
+                shock = shock - x * F.col(c).cast("double")
+            rows = checkpointed(rows.withColumn("_e", shock))
+            rows = rows.withColumns({f"_e{k}": F.lag("_e", k).over(w) for k in self.shocks})
+        names = [*(f"_z{k}" for k in self.lags), *(f"_e{k}" for k in self.shocks), *self.exog]
+        coef, intercept, sigma = self._least_squares(rows, names)
+        keep = max([*self.lags, *self.shocks, len(weights), 1])
         newest = Window.partitionBy(*self.keys).orderBy(F.desc(self.date))
         ends = rows.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= keep)
+        last = (("_z", "_zs"), (self.target, "_ys"), *((("_e", "_es"),) if self.shocks else ()))
         state = ends.groupBy(*self.keys).agg(
             F.max(self.date).alias("_last"), F.first("_mu").alias("_mu"), F.first("_sd").alias("_sd"),
-            *[F.array_sort(F.collect_list(F.struct(self.date, F.coalesce(F.col(c), F.lit(0.0)).alias("v")))).getField("v").alias(n)
-              for c, n in (("_z", "_zs"), (self.target, "_ys"))],
+            *[F.array_sort(F.collect_list(F.struct(self.date, F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v")))).getField("v").alias(n) for c, n in last],
         )
         return FittedSeasonalAr(self, checkpointed(state), dict(zip(names, coef)), intercept, sigma, weights)
 
@@ -319,13 +404,16 @@ class FittedSeasonalAr:
     weights: list[float]
 
     def predict(self, future: DataFrame) -> DataFrame:
-        """Recursive forecast of the future rows of each series, in date order; at most one horizon per series."""
+        """Recursive forecast of the future rows of each series, in date order. A series has one row per day and one
+        horizon of them; they are forecast in one task. Shocks to come are taken to be 0."""
         s = self.spec
         exog = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in s.exog]) if s.exog else F.array().cast("array<double>")
         ahead = future.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct(F.col(s.date), exog.alias("x")))).alias("_days"))
         rows = ahead.join(self.state, list(s.keys), "left")
         none = F.array().cast("array<double>")  # a series unseen in training has no forecast
-        start = F.struct(F.coalesce("_zs", none).alias("z"), F.coalesce(F.col("_ys").cast("array<double>"), none).alias("y"))
+        past = {"z": "_zs", "y": "_ys", **({"e": "_es"} if s.shocks else {})}
+        start = F.struct(*[F.coalesce(F.col(c).cast("array<double>"), none).alias(n) for n, c in past.items()], none.alias("out"))
+        keep = max([*s.lags, *s.shocks, len(self.weights), 1])
 
         def at(arr: Column, back: int) -> Column:
             return F.coalesce(F.try_element_at(arr, F.lit(-back)), F.lit(0.0))
@@ -334,16 +422,20 @@ class FittedSeasonalAr:
             z = F.lit(self.intercept)
             for k in s.lags:
                 z = z + self.coef.get(f"_z{k}", 0.0) * at(acc["z"], k)
+            for k in s.shocks:
+                z = z + self.coef.get(f"_e{k}", 0.0) * at(acc["e"], k)
             for i, c in enumerate(s.exog):
                 z = z + self.coef.get(c, 0.0) * day["x"][i]
             y = z * F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0) + F.coalesce(F.col("_mu"), F.lit(0.0))
             for k, c in enumerate(self.weights, 1):
                 if c:
                     y = y + c * at(acc["y"], k)
-            return F.struct(F.array_append(acc["z"], z).alias("z"), F.array_append(acc["y"], y).alias("y"))
+            new = {"z": z, "y": y, **({"e": F.lit(0.0)} if s.shocks else {})}
+            moved = [F.slice(F.array_append(acc[n], v), F.greatest(F.size(acc[n]) + 2 - keep, F.lit(1)), F.lit(keep)).alias(n) for n, v in new.items()]
+            return F.struct(*moved, F.array_append(acc["out"], y).alias("out"))
 
         n = F.size("_days")
-        path = F.aggregate("_days", start, step, lambda acc: F.slice(acc["y"], -n, n))
+        path = F.aggregate("_days", start, step, lambda acc: acc["out"])
         path = F.when(F.col("_last").isNull(), F.array_repeat(F.lit(None).cast("double"), n)).otherwise(path)
         out = rows.select(*s.keys, F.col("_sd"), F.arrays_zip(F.col("_days").getField(s.date).alias("d"), path.alias("y")).alias("_p"))
         out = out.select(*s.keys, "_sd", F.posexplode("_p").alias("_i", "_r"))
@@ -368,7 +460,11 @@ class FittedSeasonalAr:
 
 @dataclass(frozen=True)
 class TrendSeasonalityForecaster:
-    """Linear trend, weekly and annual cycles, holidays and regressors on the log scale, around each series' level."""
+    """Trend, weekly and annual cycles, holidays and regressors on the log scale, around each series' level.
+
+    Cycles and a common trend are fitted over all series. On top each series has a trend of its own, by least squares
+    on what the common fit leaves over, drawn towards none by as much as chance alone would make trends differ.
+    """
 
     regressors: tuple[str, ...] = ()
     weekly_order: int = 3
@@ -396,10 +492,38 @@ class TrendSeasonalityForecaster:
         rows = rows.withColumn("_ly", logy - F.avg(logy).over(Window.partitionBy(*self.keys)))
         data = VectorAssembler(inputCols=names, outputCol="_v").transform(rows.select("_ly", *names))
         lr = LinearRegression(featuresCol="_v", labelCol="_ly", predictionCol="_p", regParam=self.reg_param).fit(data)
-        resid = lr.transform(data).select((F.col("_ly") - F.col("_p")).alias("r"))
+        left = checkpointed(lr.transform(VectorAssembler(inputCols=names, outputCol="_v").transform(rows)).select(*self.keys, "_t", (F.col("_ly") - F.col("_p")).alias("_r")))
+        own = series_slopes(left, "_r", "_t", self.keys, shrink=chance_shrinkage(left, "_r", "_t", self.keys))
+        levels = checkpointed(levels.join(own.select(*self.keys, "slope", "mean_x"), list(self.keys)))
+        resid = left.join(levels, list(self.keys)).select((F.col("_r") - F.col("slope") * (F.col("_t") - F.col("mean_x"))).alias("r"))
         low, high = exact_quantiles(resid, ["r"], [0.1, 0.9])["r"]
         means = rows.agg(*[F.avg(c).alias(c) for c in names]).first().asDict()
-        return FittedTrendSeasonality(self, lr, checkpointed(levels), first, span, low, high, means)
+        return FittedTrendSeasonality(self, lr, levels, first, span, low, high, means)
+
+
+def series_slopes(df: DataFrame, y: str, x: str, keys: Sequence[str] = KEYS, shrink: float = 0.0) -> DataFrame:
+    """(keys, n, slope, intercept, mean_x): least squares of ``y`` on ``x`` for each series from sums of products, which
+    are added up before they move. ``shrink`` is added to the sum of squares of ``x``; inf means no slopes."""
+    y, x = (F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c).cast("double")) for c in (y, x))
+    sums = df.groupBy(*keys).agg(F.regr_count(y, x).alias("n"), F.regr_sxx(y, x).alias("_xx"), F.regr_sxy(y, x).alias("_xy"), F.regr_avgx(y, x).alias("mean_x"), F.regr_avgy(y, x).alias("_y"))
+    slope = F.lit(0.0) if shrink == float("inf") else F.when(F.col("_xx") + shrink > 0, F.col("_xy") / (F.col("_xx") + shrink)).otherwise(0.0)
+    sums = sums.withColumn("slope", F.when(F.col("n") > 0, slope))
+    return sums.select(*keys, "n", "slope", (F.col("_y") - F.col("slope") * F.col("mean_x")).alias("intercept"), "mean_x")
+
+
+def chance_shrinkage(df: DataFrame, y: str, x: str, keys: Sequence[str] = KEYS) -> float:
+    """How strongly to draw slopes towards 0: the variance of a row over that of the true slopes (moments of all series)."""
+    y, x = F.col(y).cast("double"), F.col(x).cast("double")
+    sums = df.groupBy(*keys).agg(F.regr_count(y, x).alias("n"), F.regr_sxx(y, x).alias("xx"), F.regr_sxy(y, x).alias("xy"), F.regr_syy(y, x).alias("yy")).where("xx > 0 and n > 2")
+    raw = F.col("xy") / F.col("xx")
+    rest = sums.agg(F.sum(F.col("yy") - raw * F.col("xy")), F.sum(F.col("n") - 2)).first()
+    if not rest[1]:
+        return float("inf")
+    noise = max(float(rest[0]) / float(rest[1]), 0.0)
+    spread = sums.agg(F.avg(raw * raw - noise / F.col("xx"))).first()[0]
+    if noise == 0.0:
+        return 0.0
+    return noise / float(spread) if spread > 0 else float("inf")
 
 
 @dataclass(frozen=True)
@@ -417,18 +541,21 @@ class FittedTrendSeasonality:
         rows, names = self.spec._terms(future, self.origin, self.span)
         scored = self.model.transform(VectorAssembler(inputCols=names, outputCol="_v").transform(rows))
         scored = scored.join(self.levels, list(self.spec.keys), "left")
-        z = F.col("_p") + F.coalesce("_level", F.lit(0.0))
+        z = F.col("_p") + F.coalesce("_level", F.lit(0.0)) + self._own_trend()
         back = {"yhat": F.expm1(z), "yhat_lower": F.expm1(z + self.low), "yhat_upper": F.expm1(z + self.high)}
         return scored.select(*future.columns, *[F.greatest(c, F.lit(0.0)).alias(n) for n, c in back.items()])
 
     transform = predict
 
-    def contributions(self, future: DataFrame) -> DataFrame:
-        from shelfcast.operators.explain import linear_contributions
+    def _own_trend(self) -> Column:
+        return F.coalesce(F.col("slope") * (F.col("_t") - F.col("mean_x")), F.lit(0.0))
 
+    def contributions(self, future: DataFrame) -> DataFrame:
+        """(keys, date, feature, contribution) on the log scale, around the series' level; ``_own_trend`` is the series' own."""
         rows, names = self.spec._terms(future, self.origin, self.span)
-        weights = dict(zip(names, map(float, self.model.coefficients)))
-        return linear_contributions(weights, rows, (*self.spec.keys, self.spec.date), self.means)
+        rows = rows.join(self.levels, list(self.spec.keys), "left").withColumn("_own_trend", self._own_trend())
+        weights = {**dict(zip(names, map(float, self.model.coefficients))), "_own_trend": 1.0}
+        return linear_contributions(weights, rows, (*self.spec.keys, self.spec.date), {**self.means, "_own_trend": 0.0})
 
     def save(self, path: str) -> None:
         _save(path, "trend_seasonality", self.spec, {"origin": str(self.origin), "span": self.span, "low": self.low, "high": self.high, "means": self.means},

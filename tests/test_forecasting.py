@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.config import Config
-from shelfcast.operators import backtest, baselines, explain, metrics, models, runlog, tuning
+from shelfcast.operators import backtest, baselines, explain, metrics, models, runlog, trees, tuning
 from shelfcast.panel import Panel
 from shelfcast.plans.training import train_and_select
 
@@ -189,17 +189,137 @@ def test_trend_seasonality_and_contributions(weekly):
     assert "_r_on_promo" in {r.feature for r in explain.mean_abs_contribution(parts, 5).collect()}
 
 
-def test_mean_shift_contributions(weekly):
-    from pyspark.ml.regression import LinearRegression
-
-    data = models.to_model_matrix(weekly, ["on_promo", "price"]).select("store_id", "item_id", "date", "features", "label").persist()
-    lr = LinearRegression(regParam=0.1).fit(data)
-    out = explain.mean_shift_contributions(lr, data, ["on_promo", "price"]).where("feature = 'on_promo'")
-    mean = weekly.agg(F.avg("on_promo")).first()[0]
-    promo = {(r.store_id, r.date): r.on_promo for r in weekly.collect()}
-    for r in out.collect():
-        assert r.contribution == pytest.approx(lr.coefficients[0] * (promo[(r.store_id, r.date)] - mean), abs=1e-9)
-
+@pytest.fixture(scope="module")
+def boosted(weekly):
+    train, val = held_out(weekly)
+    fitted = models.gbt_forecaster(max_iter=12, step_size=0.3, max_depth=4).fit(models.model_features(train))
+    return fitted, models.future_features(train, val).persist()
+
+
+def walk(nodes, tree, values):
+    """The nodes that a row passes in one tree."""
+    at, way = 0, []
+    while True:
+        n = nodes[tree, at]
+        way.append(n)
+        if n.left < 0:
+            return way
+        at = n.left if values[n.feature] <= n.threshold else n.right
+
+
+def test_tree_contributions_follow_the_paths(boosted):
+    fitted, ahead = boosted
+    nodes = {(r.tree, r.node): r for r in trees.node_table(fitted.pipeline.stages[-1]).collect()}
+    count = 1 + max(t for t, _ in nodes)
+    assert count == 12 and all(nodes[t, 0].weight > 0 for t in range(count))
+    scored = fitted.pipeline.transform(models._with_means(ahead, fitted.means, fitted.keys)).select("store_id", "date", "features", "prediction").collect()
+    got = {}
+    for r in fitted.contributions(ahead).collect():
+        got.setdefault((r.store_id, r.date), {})[r.feature] = r.contribution
+    assert len(got) == len(scored) == ahead.count()
+    bias = fitted.bias()
+    for r in scored:
+        want = dict.fromkeys(fitted.inputs, 0.0)
+        for t in range(count):
+            way = walk(nodes, t, r.features)
+            for here, there in zip(way, way[1:]):
+                want[fitted.inputs[here.feature]] += here.weight * (there.prediction - here.prediction)
+        mine = got[r.store_id, r.date]
+        assert mine == pytest.approx(want, abs=1e-9)
+        assert sum(mine.values()) == pytest.approx(r.prediction - bias)
+    assert explain.mean_abs_contribution(fitted.contributions(ahead), 3).count() == 3
+
+
+def test_tree_contributions_of_odd_rows(boosted):
+    fitted, ahead = boosted
+    assert fitted.contributions(ahead.limit(0)).count() == 0
+    odd = ahead.limit(1).select([F.lit(None).cast(f.dataType).alias(f.name) if f.name in fitted.inputs else F.col(f.name) for f in ahead.schema.fields])
+    total = fitted.contributions(odd).agg(F.sum("contribution")).first()[0]
+    assert total == pytest.approx(fitted.predict(odd).first().yhat - fitted.bias())
+
+
+def test_leaf_quantiles_widen_where_rows_are_hard_to_tell(spark):
+    rng = np.random.default_rng(3)
+    rows = [(dt.date(2023, 1, 1) + dt.timedelta(days=i), "S", f"I{k}", float(20 + 40 * (k >= 3) + rng.normal(0, 1 if k < 3 else 8)), float(k >= 3)) for i in range(200) for k in range(6)]
+    df = spark.createDataFrame(rows, "date date, store_id string, item_id string, sales double, wild double")
+    fitted = models.QuantileForecaster(models.GbtForecaster(max_iter=4, max_depth=3, inputs=("wild",)), horizon=60).fit(df.where("date < '2023-06-20'"))
+    out = fitted.predict(df.where("date >= '2023-06-20'")).withColumn("inside", (F.col("sales").between(F.col("yhat_lower"), F.col("yhat_upper"))).cast("int"))
+    by = {r.wild: r for r in out.groupBy("wild").agg(F.avg("inside").alias("inside"), F.avg(F.col("yhat_upper") - F.col("yhat_lower")).alias("width")).collect()}
+    assert by[1.0].width > 3 * by[0.0].width
+    assert all(abs(r.inside - 0.8) < 0.1 for r in by.values()), by
+    assert abs(out.agg(F.avg("inside")).first()[0] - 0.8) < 0.05
+    few = models.QuantileForecaster(models.GbtForecaster(max_iter=1, max_depth=2, inputs=("wild",)), horizon=1).fit(df.limit(40))
+    assert few.predict(df.limit(5)).where("yhat_lower <= yhat and yhat <= yhat_upper").count() == 5
+
+
+def arma(n, phi, theta, seed, season=0):
+    rng = np.random.default_rng(seed)
+    e, z = rng.normal(size=n + 50), np.zeros(n + 50)
+    for t in range(50, n + 50):
+        z[t] = phi * z[t - 1] + e[t] + theta * e[t - (season or 1)]
+    return z[50:]
+
+
+@pytest.mark.parametrize("season", (0, 7))
+def test_moving_average_terms_are_recovered(spark, season):
+    rows = [(dt.date(2015, 1, 1) + dt.timedelta(days=i), "S", f"I{k}", 5.0 + float(v)) for k in range(4) for i, v in enumerate(arma(1500, 0.5, 0.6, k, season))]
+    df = spark.createDataFrame(rows, "date date, store_id string, item_id string, sales double")
+    spec = models.SeasonalArForecaster(order=(1, 0, 0 if season else 1), seasonal=(0, 0, 1 if season else 0, season or 7))
+    fitted = spec.fit(df.where("date < '2019-01-01'"))
+    assert fitted.coef["_z1"] == pytest.approx(0.5, abs=0.08) and fitted.coef[f"_e{season or 1}"] == pytest.approx(0.6, abs=0.08)
+    val = df.where("date >= '2019-01-01' and date < '2019-01-15'")
+    without = models.SeasonalArForecaster(order=(1, 0, 0), seasonal=(0, 0, 0, 7)).fit(df.where("date < '2019-01-01'"))
+    assert fitted.sigma < without.sigma
+    mine, plain = ({(r.item_id, r.date): r.yhat for r in m.predict(val).collect()} for m in (fitted, without))
+    assert mine.keys() == plain.keys() and any(abs(mine[k] - plain[k]) > 0.05 for k in mine)
+
+
+def test_shocks_enter_the_first_steps_only(spark):
+    rows = [(dt.date(2015, 1, 1) + dt.timedelta(days=i), "S", "I", float(v)) for i, v in enumerate(arma(800, 0.0, 0.8, 5))]
+    df = spark.createDataFrame(rows, "date date, store_id string, item_id string, sales double")
+    last = df.agg(F.max("date")).first()[0]
+    ahead = spark.createDataFrame([(last + dt.timedelta(days=i), "S", "I") for i in (1, 2, 3)], "date date, store_id string, item_id string")
+    fitted = models.SeasonalArForecaster(order=(0, 0, 1), seasonal=(0, 0, 0, 7)).fit(df)
+    state = fitted.state.first()
+    y = [r.yhat for r in fitted.predict(ahead).orderBy("date").collect()]
+    level = state._mu + state._sd * fitted.intercept
+    assert y[1] == pytest.approx(level) and y[2] == pytest.approx(level)
+    assert y[0] == pytest.approx(level + state._sd * fitted.coef["_e1"] * state._es[-1])
+
+
+def test_series_have_their_own_trend(spark):
+    rng = np.random.default_rng(8)
+    slopes = {"up": 0.004, "flat": 0.0, "down": -0.003}
+    rows = [(dt.date(2022, 1, 1) + dt.timedelta(days=i), "S", k, float(np.expm1(3 + b * i + rng.normal(0, 0.05)))) for k, b in slopes.items() for i in range(300)]
+    df = spark.createDataFrame(rows, "date date, store_id string, item_id string, sales double")
+    train, val = df.where("date < '2022-10-01'"), df.where("date >= '2022-10-01'")
+    fitted = models.TrendSeasonalityForecaster(annual_order=0).fit(train)
+    pred = {(r.item_id, r.date): r.yhat for r in fitted.predict(val).collect()}
+    for r in val.collect():
+        assert pred[r.item_id, r.date] == pytest.approx(r.sales, rel=0.35)
+    told = fitted.contributions(val).where("feature = '_own_trend'").groupBy("item_id").agg(F.avg("contribution").alias("c")).collect()
+    told = {r.item_id: r.c for r in told}
+    assert told["up"] > told["flat"] > told["down"]
+    noise = spark.createDataFrame([("S", f"I{i}", float(t), float(rng.normal())) for i in range(40) for t in range(30)], "store_id string, item_id string, t double, y double")
+    shrunk = models.series_slopes(noise, "y", "t", shrink=models.chance_shrinkage(noise, "y", "t"))
+    raw = models.series_slopes(noise, "y", "t")
+    total = lambda d: d.agg(F.sum(F.abs("slope"))).first()[0]
+    assert total(shrunk) < 0.6 * total(raw)  # slopes of chance are drawn in
+
+
+def test_key_means_know_no_later_day(spark, weekly):
+    means = models.earlier_means(weekly, ("store_id",), "m").collect()
+    rows = weekly.collect()
+    for r in means:
+        past = [x.sales for x in rows if x.date < r.date]
+        mine = [x.sales for x in rows if x.date < r.date and x.store_id == r.store_id]
+        want = None if not past else (sum(mine) + 10 * sum(past) / len(past)) / (len(mine) + 10)
+        assert r.m is None if want is None else r.m == pytest.approx(want)
+    odd = spark.createDataFrame([("a,b", "c", 1.0), ("a", "b,c", 5.0), (None, "x", 3.0), ("a", None, None)], "store_id string, item_id string, sales double")
+    stored = models.key_means(odd, models.key_levels(("store_id", "item_id")))
+    assert stored.where("column = 'series' and value is not null").count() == 3
+    told = {(r.store_id, r.item_id): r._mean_series for r in models._with_means(odd, stored, ("store_id", "item_id")).collect()}
+    assert told["a,b", "c"] < told[None, "x"] < told["a", "b,c"] and told["a", None] == pytest.approx(3.0)
 
 def test_model_matrix(spark, series):
     m = models.to_model_matrix(series([1, 2], a=[None, float("inf")], b=[float("nan"), 3.0]), ["a", "b"]).orderBy("date").collect()
