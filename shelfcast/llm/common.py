@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.functions.ranking import shared_folder
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -30,12 +32,10 @@ def tag(text: Column | str = "text") -> Column:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once and read back, so that later steps neither compute it again nor depend on any executor.
 
-    The table goes to the shared folder named by ``spark.checkpoint.dir``; a session without that setting, as in
-    tests, uses its warehouse folder.
+    The table goes to the folder that all executors share.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_saved"
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
