@@ -26,6 +26,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 AWKWARD = r"\s\x20|\x20\s|\x20\Z"
 #: Words, and pairs of tokens, remembered by a worker in each of two generations; a memory bound without influence on results.
 REMEMBERED = 200_000
+#: Words that a worker keeps after a task.
+KEPT = 40_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -59,6 +61,11 @@ class Remembered:
         self.now: dict = {}
         self.before: dict = {}
 
+    def rest(self) -> None:
+        """Between tasks a worker, which may do other work next, keeps few words."""
+        if len(self.now) + len(self.before) > KEPT:
+            self.now, self.before = {}, {}
+
     def missing(self, keys: set) -> set:
         """Those of ``keys`` that are unknown; the known ones are in the current generation afterwards."""
         if len(self.now) > REMEMBERED:
@@ -88,6 +95,7 @@ class TrieEncoder:
         self.ends: list[tuple[tuple[int, int], ...]] = [()]  # by state: tokens that the word may end with and their sizes, longest first
         self.goes: dict[int, int] = {}  # state after state << 8 | byte
         self.apart, self.spaced, self.plain = {}, Remembered(), Remembered()
+        self.bytes_of: pa.Array | None = None
 
     def merged(self, data: bytes) -> list[int]:
         """Merges by rank, for the few bytes of a pair of tokens."""
@@ -197,8 +205,23 @@ class TrieEncoder:
             out.append(b"".join(parts))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The texts of many documents in UTF-8, from one gathering of their tokens' bytes."""
+        if self.bytes_of is None:
+            self.bytes_of = pa.array(self.text_of, pa.large_binary())
+        joined = self.bytes_of.take(pa.array(np.concatenate([np.zeros(0, "<u4"), *ids])))
+        _, at, data = joined.buffers()
+        at = np.frombuffer(at, np.int64, len(joined) + 1)
+        ends = at[np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])].tolist()
+        out = []
+        for s, e in zip(ends, ends[1:]):
+            raw = data[s:e].to_pybytes() if e > s else b""
+            try:
+                raw.decode()
+            except UnicodeDecodeError:
+                raw = raw.decode("utf-8", "replace").encode()
+            out.append(raw)
+        return out
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
@@ -229,13 +252,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             numbers = [np.frombuffer(x, "<u4") for x in ids]
             columns = [batch.column("doc_id"), *[batch.column(c) for c in carry], pa.array([len(x) for x in numbers], pa.int64())]
             columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
-            columns.append(pa.array([hashlib.sha256(encoder.decode(x.tolist()).encode()).hexdigest() for x in numbers], pa.string()))
+            columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in encoder.decode(numbers)], pa.string()))
             names = ["doc_id", *carry, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(numbers).astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.spaced.rest()
+        encoder.plain.rest()
 
     more = "".join(f", {c} string" for c in carry)
     schema = SCHEMA.replace("doc_id long", f"doc_id long{more}") + (", ids array<int>" if with_ids else "")

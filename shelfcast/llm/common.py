@@ -63,6 +63,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 <
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
