@@ -114,13 +114,15 @@ class GbtForecaster:
         order = [c for c in (*self.keys, self.date) if c in train.columns]
         train = train.select(*order, *[c for c in inputs if c not in order], F.col(self.target).cast("double").alias(self.target))
         levels = key_levels(self.keys)
+        # Read by every mean, so that the features are not built again for them.
+        slim = checkpointed(train.select(*order, self.target))
         for name, by in levels.items():
-            train = train.join(earlier_means(train, by, f"_mean_{name}", self.target, self.date), [*by, self.date], "left")
+            train = train.join(earlier_means(slim, by, f"_mean_{name}", self.target, self.date), [*by, self.date], "left")
         # Spread over series and days, in one order whatever the files were, so the same data gives the
         # same trees. Kept while fitting, because every boosting round reads the rows again.
         train = train.repartition(*order).sortWithinPartitions(*order).persist()
         try:
-            means = checkpointed(key_means(train, levels, self.target))
+            means = checkpointed(key_means(slim, levels, self.target))
             stages = [
                 SQLTransformer(statement=_clean_sql(inputs)),
                 VectorAssembler(inputCols=[f"_x_{c}" for c in inputs] + [f"_mean_{name}" for name in levels], outputCol="features"),
