@@ -29,7 +29,7 @@ MIN_WORDS = 8
 #: which costs work only.
 HINT_BITS = 27
 #: Words read by a task before it sends what it found.
-FLUSH = 250_000
+FLUSH = 120_000
 #: Copies of a whole line among its neighbours, so that one line's longer neighbours need not be in one task.
 SPREAD = 4
 
@@ -319,7 +319,7 @@ def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     length = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    slices = max(shuffle_parts(spark), length >> 24)
+    slices = max(shuffle_parts(spark), length >> 23)
     parts = max(shuffle_parts(spark), length >> 22)
     marked = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), tag(F.col(text_col).cast("string")).alias("mark"))
     texts = marked.select("doc_id", "text", "mark")
