@@ -1,9 +1,11 @@
 """Personal data, and terms that give away whose it is.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. How often terms stand in documents with such a
-value tells how much they disclose of it: the pointwise mutual information of term and value, as a share of the value's
-own information. Terms above one threshold are to be generalised, above a higher one to be removed, in the documents
-that have the value. DataFrame operations only.
+Patterns find e-mail addresses, IP addresses, card and phone numbers. The entities to protect are these values and the
+parts that values share (the domain of an address, the first numbers of the others). How often terms stand in texts with
+an entity tells how much they disclose of it: the pointwise mutual information of term and entity, as a share of the
+entity's own information, lowered the more the fewer texts speak for it. Terms above one threshold are to be
+generalised, above a higher one to be removed, in the documents that have the entity. Copies of a text count once.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -16,10 +18,9 @@ from shelfcast.llm.common import WORD, saved, tag
 KINDS = ("email", "ip", "card", "phone")
 #: Share of a value's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.7, 0.9
-#: Different surroundings in which a value, and a value with a term, must be met before they count: copies of one text have one.
-MIN_CONTEXTS = 3
-#: Characters before a value that make its surroundings.
-CONTEXT = 40
+#: Lowers the share of a pair met in n texts to n / (n + CAUTION) of it: met once it is 0.71 at most, which is generalised;
+#: four texts at least must speak for a removal. The same at every size of the corpus.
+CAUTION = 0.4
 
 # Each pattern starts where the last match ended, steps over what can't be a match without looking back, and takes the
 # match, so that time grows with the text whatever it holds. Group 1 is what is stepped over, group 2 the match.
@@ -70,54 +71,86 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def _entities(kind: Column, hit: Column) -> tuple[Column, Column]:
+    """The value of a match, and the part of it that other values may share."""
+    digits = F.regexp_replace(hit, "[^0-9]", "")
+    value = F.when(kind >= 2, digits).otherwise(F.lower(hit))
+    part = F.when(kind == 0, F.substring_index(F.lower(hit), "@", -1)).when(kind == 1, F.substring_index(hit, ".", 2)).when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    return value, part
+
+
+def _form(term: Column) -> Column:
+    """What stands in for a generalised term."""
+    return F.when(term.rlike("[0-9]"), "<number>").when(term.rlike(r"^[^\p{L}]*\p{Lu}"), "<name>").otherwise("<word>")
+
+
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, caution: float = CAUTION) -> DataFrame:
     """Spans of personal data and of disclosing terms in each whole text.
 
     Columns: ``doc_id``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256`` (digest of the pattern spans as
-    kind:start:end) and ``spans`` (those and the terms' as ``general`` or ``removed``), in order of start and kind.
-    Positions are code points, ends exclusive. Null texts are empty. Repeated rows are one document and get equal rows
-    of results. An empty table gives no rows; extra columns are left aside. Terms are words as they stand, and none that
-    touch a pattern span are marked.
+    kind:start:end), ``spans`` (those and the terms' as ``general`` or ``removed``), in order of start and kind, and
+    ``forms``, start:end:form of each general term, where the form is <number>, <name> or <word>. Positions are code
+    points, ends exclusive. Null texts are empty. Repeated rows are one document and get equal rows of results. An empty
+    table gives no rows; extra columns are left aside. Terms are words as they stand, and none that touch a pattern span
+    are marked. Counts are of different texts, so copies of a text disclose no more than it does; an entity that all
+    texts have discloses nothing.
     """
-    text = F.col(text_col).cast("string")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag(text).alias("tag"), text.alias("text"))
     looks = [_worth_a_look(k, F.col("text")) for k in KINDS]
     some = rows.where(looks[0] | looks[1] | looks[2] | looks[3])
     sides = F.array(*[F.struct(F.lit(i).alias("kind"), F.when(look, _pieces(F.col("text"), PATTERNS[k])).alias("pieces")) for i, (k, look) in enumerate(zip(KINDS, looks))])
     cut = some.select("doc_id", "tag", F.explode(sides).alias("side")).select("doc_id", "tag", "side.kind", "side.pieces").where("size(pieces) > 0").dropDuplicates(["doc_id", "tag", "kind"])
     found = _spans(cut, ["doc_id", "tag", "kind"], "pieces").where(_holds(F.col("kind"), F.col("hit")))
-    found = saved(found.select("doc_id", "tag", "kind", "start", "end", F.lower("hit").alias("value"), F.xxhash64(F.right(F.col("gap"), F.lit(CONTEXT))).alias("context")))
-    marked = saved(_disclosing(rows, found, generalise, remove, min_contexts))
+    value, part = _entities(F.col("kind"), F.col("hit"))
+    found = saved(found.select("doc_id", "tag", "kind", "start", "end", value.alias("value"), part.alias("part")))
     names = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    base = found.select("doc_id", "tag", F.col("kind"), F.struct("start", F.col("kind").alias("rank"), names.alias("kind"), "end").alias("span"))
-    more = marked.select("doc_id", "tag", F.lit(9).alias("kind"), F.struct("start", F.lit(9).alias("rank"), F.col("action").alias("kind"), "end").alias("span"))
+    span = F.struct("start", F.col("kind").alias("rank"), names.alias("kind"), "end")
     counts = [F.count(F.when(F.col("kind") == i, 1)).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    all_of = base.unionByName(more).groupBy("doc_id", "tag").agg(*counts, F.collect_list(F.when(F.col("kind") < 9, F.col("span"))).alias("base"), F.collect_list("span").alias("all"))
-    told = all_of.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *[f"n_{k}" for k in KINDS], _listed(F.col("base")).alias("base"), _listed(F.col("all")).alias("spans"))
+    base = found.groupBy("doc_id", "tag").agg(*counts, F.collect_list(span).alias("base"))
+    marked = _disclosing(rows, some, found, generalise, remove, caution).withColumnRenamed("tag", "_mark")
+    every = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")))
+    told = base.join(marked, F.col("tag") == F.col("_mark"), "left").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *[f"n_{k}" for k in KINDS], _listed(F.col("base")).alias("base"), _listed(every).alias("spans"), "forms")
     out = rows.select("doc_id", "tag").join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
     zero = [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
-
-
-def _disclosing(rows: DataFrame, found: DataFrame, generalise: float, remove: float, min_contexts: int) -> DataFrame:
-    """Spans of terms that disclose a value of their document: ``doc_id``, ``tag``, ``start``, ``end``, ``action``."""
-    # Counts are of documents, copies included; that a value or a pair counts at all depends on different surroundings.
-    values = found.groupBy("kind", "value").agg(F.count_distinct(F.struct("doc_id", "tag")).alias("n_value"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    held = saved(found.select("doc_id", "tag", "kind", "value", "context").distinct().join(values.drop("contexts"), ["kind", "value"]))
-    texts = rows.join(held.select("tag").distinct(), "tag", "left_semi").dropDuplicates(["doc_id", "tag"])
-    words = saved(_spans(texts.select("doc_id", "tag", _pieces(F.col("text"), _WORDS).alias("pieces")), ["doc_id", "tag"], "pieces").select("doc_id", "tag", F.col("hit").alias("term"), "start", "end"))
-    here = words.select("doc_id", "tag", "term").distinct().withColumnRenamed("doc_id", "_id")
-    pairs = held.join(here, ["tag"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("kind", "value", "n_value", "term").agg(F.count_distinct(F.struct("doc_id", "tag")).alias("n_pair"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    total = rows.select("doc_id", "tag").distinct().count()
-    # Every document counts for a term's frequency.
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    known = pairs.join(terms, "term")
-    mutual = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_value") * F.col("n_term")))
-    share = mutual / F.log(F.lit(float(total)) / F.col("n_value"))
-    telling = known.withColumn("share", share).where((F.col("n_value") < total) & (F.col("share") >= generalise))
-    chosen = telling.join(held.select("doc_id", "tag", "kind", "value").distinct(), ["kind", "value"]).groupBy("doc_id", "tag", "term").agg(F.max("share").alias("share"))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("term").alias("_term"), F.when(F.col("share") >= remove, "removed").otherwise("general").alias("action"))
-    spots = words.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")) & (F.col("term") == F.col("_term"))).select("doc_id", "tag", "start", "end", "action")
-    taken = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("base")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "base")
-    beside = spots.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
-    return beside.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).select("doc_id", "tag", "start", "end", "action")
+    return out.select("doc_id", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("forms", F.lit("")).alias("forms"))
+
+
+def _disclosing(rows: DataFrame, some: DataFrame, found: DataFrame, generalise: float, remove: float, caution: float) -> DataFrame:
+    """Terms that disclose an entity of their text, once per different text: ``tag``, ``terms`` (spans) and ``forms``.
+
+    ``some`` holds all rows in which anything was found. Entities that stand in the same texts disclose alike and are one
+    class; all that stand in one text only are a single class of it.
+    """
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))  # of rows with one text, the smallest id stands for all
+    firsts = saved(rows.groupBy("tag").agg(F.min(key).alias("_key")))
+    total = firsts.count()
+    firsts = firsts.withColumnRenamed("tag", "_tag")
+    first_of = lambda docs, of: docs.withColumn("key", key).join(of, (F.col("key") == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left_semi").dropDuplicates(["key", "tag"]).select("tag", "text")
+    distinct = lambda text: F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))).alias("term")
+    named = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("value").alias("name")), F.struct(F.lit(1).alias("level"), F.col("part").alias("name")))).alias("entity")
+    held = found.select("tag", "kind", named).select("tag", "kind", "entity.*").distinct()
+    entities = held.groupBy("kind", "level", "name").agg(F.count("*").alias("n_entity"), *[F.bit_xor(F.xxhash64("tag", F.lit(i))).alias(f"class{i}") for i in (1, 2)])
+    classes = held.join(entities, ["kind", "level", "name"]).where(F.col("n_entity") < total).select("tag", "class1", "class2", "n_entity").distinct()
+    texts = saved(first_of(some, firsts.join(found.select(F.col("tag").alias("_tag")).distinct(), "_tag", "left_semi")))
+    # All texts count for how common a term is.
+    common = first_of(rows, firsts).select(distinct("text")).groupBy("term").agg(F.count("*").alias("n_term"))
+    here = texts.select("tag", distinct("text")).join(common, "term")
+    # A pair in more texts than this can't reach the threshold even if every text of the entity has it, so leaving it out loses nothing.
+    most = F.col("n_entity") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - generalise))
+    pairs = saved(classes.join(here, "tag").where(F.col("n_term") <= most))
+    ways = ["class1", "class2", "term"]
+    mutual = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
+    share = mutual / F.log(F.lit(float(total)) / F.col("n_entity")) * F.col("n_pair") / (F.col("n_pair") + caution)
+    telling = pairs.groupBy(*ways, "n_entity", "n_term").agg(F.count("*").alias("n_pair")).select(*ways, share.alias("share")).where(F.col("share") >= generalise)
+    chosen = saved(pairs.join(telling, ways).groupBy("tag", "term").agg(F.max("share").alias("share")))
+    told = texts.join(chosen.select("tag").distinct(), "tag", "left_semi").select("tag", _pieces(F.col("text"), _WORDS).alias("pieces"))
+    spots = _spans(told, ["tag"], "pieces").withColumnRenamed("hit", "term").join(chosen, ["tag", "term"])
+    taken = found.select("tag", "start", "end").distinct().groupBy("tag").agg(F.collect_list(F.struct("start", "end")).alias("base"))
+    beside = spots.join(taken, "tag").where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
+    action = F.when(F.col("share") >= remove, "removed").otherwise("general")
+    span = F.struct("start", F.lit(9).alias("rank"), action.alias("kind"), "end")
+    form = F.struct("start", "end", F.when(F.col("share") < remove, _form(F.col("term"))).alias("form"))
+    lists = beside.groupBy("tag").agg(F.collect_list(span).alias("terms"), F.array_sort(F.collect_list(form)).alias("forms"))
+    shown = F.transform(F.filter("forms", lambda f: f["form"].isNotNull()), lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string"), f["form"]))
+    return lists.select("tag", "terms", F.array_join(shown, ",").alias("forms"))

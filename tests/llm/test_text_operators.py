@@ -1,5 +1,6 @@
 """Operators on texts against plain versions of the same contract."""
 
+import math
 import random
 import re
 
@@ -11,7 +12,7 @@ from shelfcast.llm.bpe import TrieEncoder, encode_documents, read_vocabulary
 from shelfcast.llm.fingerprints import Sketches, differing, fingerprints, paragraphs
 from shelfcast.llm.jaccard import similar_documents
 from shelfcast.llm.lines import drop_near_lines
-from shelfcast.llm.privacy import KINDS, find_private
+from shelfcast.llm.privacy import CAUTION, GENERALISE, KINDS, REMOVE, find_private
 from shelfcast.llm.substrings import remove_repeated_passages
 
 KEY = lambda r: str(r)
@@ -243,7 +244,7 @@ def test_base_spans(make, odd_rows, sha):
     bits = ["a", "b.c", "@", ".", "x@y.z", "1.2.3.4", "999.1.1.1", "0000012.1.1.255", "4111 1111 1111 1111", "4111-1111-1111-1111", "41111111111111", "+1 (415) 555-0100", "+", "-", " ", "  ", "7", "12", "é", "😀", "\n", "%", "_", "(", ")", "+49 30 1234567", "79927398713", "378282246310005"]
     rows = odd_rows + [(100 + i, "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 25)))) for i in range(400)]
     rows += [(900, "a" * 60_000 + " 5" * 30_000), (901, "1." * 30_000 + "+" * 5_000), (902, ("a@" * 20_000)), (903, "+1" + " ." * 30_000)]
-    for r in find_private(make(rows), min_contexts=1 << 40).collect():
+    for r in find_private(make(rows), generalise=2.0, remove=2.0).collect():
         texts = [t or "" for i, t in rows if i == r.doc_id]
         spans = {base_spans(t) for t in texts}
         assert r.spans in spans and r.base_sha256 in {sha(s) for s in spans}, texts
@@ -251,15 +252,70 @@ def test_base_spans(make, odd_rows, sha):
     assert find_private(make([])).count() == 0
 
 
-def test_disclosing_terms(make):
-    rows = [(i, f"{'common filler text number ' * 3}{i} note{i} the chess-club member wrote me{i} me@club.org of zebra{i}") for i in range(6)]
-    rows += [(10 + i, f"common filler text number {i} and nothing else, note{i}") for i in range(60)]
-    got = {r.doc_id: r.spans for r in find_private(make(rows)).collect()}
-    text = rows[0][1]
-    at = text.index("chess-club")
-    assert f"removed:{at}:{at + 10}" in got[0].split(",") and f"email:{text.index('me@club')}" in got[0]
-    assert "common" not in [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[0].split(",")]
-    assert all(not got[10 + i] for i in range(60))
-    # Copies of one text are one surrounding, so nothing counts.
-    copies = [(i, rows[0][1]) for i in range(6)] + rows[6:]
-    assert all("removed" not in r.spans and "general" not in r.spans for r in find_private(make(copies)).collect())
+def disclosed(texts, generalise=GENERALISE, remove=REMOVE):
+    """Actions of the terms of each different text, by counting all pairs."""
+    texts = sorted(set(texts))
+    parts = {"email": lambda v: v.split("@")[1], "ip": lambda v: ".".join(v.split(".")[:2]), "card": lambda v: v[:6], "phone": lambda v: v[:5]}
+    held, has = {}, {}
+    for t in texts:
+        for k in KINDS:
+            for m in re.finditer(PATTERNS[k], t):
+                if holds(k, m[0]):
+                    v = re.sub("[^0-9]", "", m[0]) if k in ("card", "phone") else m[0].lower()
+                    for name in ((k, 0, v), (k, 1, parts[k](v))):
+                        held.setdefault(name, set()).add(t)
+        for w in set(re.findall(r"[^\x20\x09-\x0D]+", t)):
+            has.setdefault(w, set()).add(t)
+    out, n = {t: {} for t in texts}, len(texts)
+    for inside in held.values():
+        for w, where in has.items():
+            both = inside & where
+            if both and len(inside) < n:
+                share = math.log(n * len(both) / (len(inside) * len(where))) / math.log(n / len(inside)) * len(both) / (len(both) + CAUTION)
+                for t in both:
+                    out[t][w] = max(share, out[t].get(w, -9))
+    return {t: {w: "removed" if x >= remove else "general" for w, x in ws.items() if x >= generalise} for t, ws in out.items()}
+
+
+def term_spans(text, actions):
+    base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text).split(",") if x]
+    words = [(m.start(), m.end(), actions[m[0]]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text) if m[0] in actions]
+    return {f"{act}:{a}:{b}" for a, b, act in words if not any(x < b and a < y for x, y in base)}
+
+
+def test_disclosing_terms(make, odd_rows):
+    rnd = random.Random(21)
+    common = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        words = rnd.choices(common, k=rnd.randrange(5, 30))
+        group = i % 8
+        if group < 3:  # a shared domain, with a club that is met hardly anywhere else, and a number of one's own
+            words += [f"club{group}", f"Member{i}", f"x{i % 23}@club{group}.org", f"+49 30 12345{i % 7}", rnd.choice(["4111 1111 1111 1111", "10.0.3.4", ""])]
+        if rnd.random() < 0.1:
+            words += [f"club{rnd.randrange(3)}"]
+        rnd.shuffle(words)
+        rows.append((100 + i, " ".join(words)))
+    rows += [(900 + i, rows[0][1]) for i in range(40)] + rows[3:6] + odd_rows
+    expected = disclosed([t or "" for _, t in rows])
+    found = {"removed": 0, "general": 0}
+    for r in find_private(make(rows)).collect():
+        texts = [t or "" for i, t in rows if i == r.doc_id]
+        mine = {s for s in r.spans.split(",") if s.split(":")[0] in found}
+        assert mine in [term_spans(t, expected[t]) for t in texts], texts
+        for s in mine:
+            found[s.split(":")[0]] += 1
+        general = [s for s in r.spans.split(",") if s.startswith("general")]
+        assert [f.rsplit(":", 1)[0] for f in r.forms.split(",") if f] == [s[8:] for s in general]
+    assert found["removed"] > 20 and found["general"] > 20
+
+
+def test_terms_of_a_value_met_once(make):
+    rows = [(i, f"common filler text number {i % 7}") for i in range(60)] + [(100, "common filler text of Zebulon at zeb@corner.net number")]
+    got = {r.doc_id: r for r in find_private(make(rows)).collect()}
+    at = rows[-1][1].index("Zebulon")
+    assert f"general:{at}:{at + 7}" in got[100].spans and f"{at}:{at + 7}:<name>" in got[100].forms
+    assert all(not got[i].spans for i in range(60))
+    # Copies say no more than one text.
+    copies = {r.doc_id: r for r in find_private(make(rows + [(200 + i, rows[-1][1]) for i in range(9)])).collect()}
+    assert all(copies[200 + i].spans == copies[100].spans == got[100].spans for i in range(9))
