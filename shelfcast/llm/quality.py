@@ -235,13 +235,14 @@ def _places(scored: DataFrame, p: str) -> DataFrame:
     return both.select(F.col("site").alias("_site"), F.col("section").alias("_section"), tame(F.col("p_site")).alias("p_site"), tame(p_section).alias("p_section"))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", toxic: str | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", toxic: str | None = None, places: DataFrame | None = None) -> DataFrame:
     """The probabilities that a document is good and that it is toxic, and whether it stays.
 
     ``labels`` has the id column, ``label``, 1 for good and 0 for bad, and ``toxic``, 1 for toxic and 0 for clean (None,
     or a column that isn't there: only quality is judged); other values and null ids or labels are left aside. ``site``
-    and ``section`` are string expressions on ``docs``; null is a site and a section like any other. Columns: ``_id``, ``_tag`` (the identity of the row),
-    ``doc_id``, ``p_text``, ``p_site``, ``p_section``, ``score``, ``p_toxic`` (by the text alone), ``toxic`` (with site
+    and ``section`` are string expressions on ``docs``; null is a site and a section like any other. ``places`` has a row
+    for each id whose site and section are known better (the id column, ``site``, ``section``), as those of a web page
+    are. Columns: ``_id``, ``_tag`` (the identity of the row), ``doc_id``, ``p_text``, ``p_site``, ``p_section``, ``score``, ``p_toxic`` (by the text alone), ``toxic`` (with site
     and section) and ``keep``. Null and empty texts have no evidence: their scores are those of their section. If labels
     of a target are missing or of one kind only, no text has evidence of it and nothing is rejected by it. Repeated rows
     and texts of any length, all of which are read whole, get scores alike. An empty table gives no rows. All labelled documents take part in the fits, and all documents in
@@ -251,7 +252,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Col
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), tag(text).alias("_tag"), site.cast("string").alias("site"), section.cast("string").alias("section"), text.alias("text"))
     words = _fit_words(rows, _marks(labels, id_col, toxic)) if toxic in labels.columns else None
     schema = "_id long, _tag long, site string, section string, " + ", ".join(f"{c} double" for c in (*FEATURES, "told"))
-    known = saved(rows.mapInArrow(_describe(docs.sparkSession.sparkContext.broadcast(words[0]) if words else None), schema))
+    known = rows.mapInArrow(_describe(docs.sparkSession.sparkContext.broadcast(words[0]) if words else None), schema)
+    if places is not None:
+        better = places.select(F.col(id_col).cast("long").alias("_pid"), F.struct("site", "section").alias("_place"))
+        spot = lambda c: F.when(F.col("_pid").isNotNull(), F.col(f"_place.{c}").cast("string")).otherwise(F.col(c))
+        known = known.join(better, F.col("_id") == F.col("_pid"), "left").withColumns({c: spot(c) for c in ("site", "section")}).drop("_pid", "_place")
+    known = saved(known)
     marks = _marks(labels, id_col, label)
     fit_on = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(known.join(marks, F.col("_id") == F.col("_lid")).where("words_log > 0")).select("_x", "_y").persist()
     try:

@@ -18,7 +18,7 @@ from shelfcast.llm.mtree import top_k
 from shelfcast.llm.privacy import find_private
 from shelfcast.llm.quality import score_quality
 from shelfcast.llm.substrings import remove_repeated_passages
-from shelfcast.llm.urls import filter_urls
+from shelfcast.llm.urls import filter_urls, host_of, path_of
 
 #: Vocabulary files; None: byte_bpe_50k.json and piece_bpe_32k.model of the installed public_tokenizers.
 VOCABULARY: str | None = None
@@ -89,10 +89,14 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 
 
+#: A page shows the document whose id is the last number in its url.
+SHOWN = "try_cast(regexp_extract(url, '([0-9]+)[^0-9/?#]*/?(?:[?#]|$)', 1) AS BIGINT)"
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page shows the document whose id is the last number in its url, so it has that document's labels."""
+    """A page has the labels of the document that it shows."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    shown = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '([0-9]+)[^0-9/?#]*/?(?:[?#]|$)', 1) AS BIGINT)").alias("doc_id"))
+    shown = pages.select("page_id", F.expr(SHOWN).alias("doc_id"))
     bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return filter_urls(pages, shown.join(bad, "doc_id").select("page_id", "bad"))
 
@@ -134,8 +138,12 @@ def op9_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``source`` is the site of a document and ``lang`` the section."""
-    scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), toxic="toxic")
+    """Site and section of a document are host and first path segment of the first page that shows it; ``source`` and
+    ``lang`` stand in where no page does."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(SHOWN).alias("doc_id"), host_of(F.col("url")).alias("site"), F.split(path_of(F.col("url")), "/").alias("steps"))
+    first = F.min(F.struct("page_id", "site", F.try_element_at("steps", F.lit(2)).alias("section")))
+    places = pages.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first.alias("page")).select("doc_id", "page.site", "page.section")
+    scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), toxic="toxic", places=places)
     return scores.drop("_id", "_tag")
 
 

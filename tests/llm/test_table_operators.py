@@ -224,3 +224,16 @@ def test_queries_equal_sql(spark, folder, name):
 def test_queries_run(spark, folder, name):
     whole = {"op4_url_rules": "pages"}.get(name, "documents")
     assert queries.QUERIES[name](spark, folder).count() == table(spark, folder, whole).count()
+
+
+def test_places_of_pages(make):
+    good, bad = "plain words of a sentence that goes on for a while", "BUY!! BUY!! BUY!! NOW!! NOW!!"
+    docs = make([(i, (bad if i % 2 else good) + f" {i}", "en", "a") for i in range(80)] + [(200, None, "en", "a"), (201, None, "en", "a"), (None, None, "en", "a")])
+    labels = docs.where("doc_id < 80").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality"))
+    # Pages of bad documents and of 200 are on one host; 201 has no page.
+    places = docs.where("doc_id % 2 = 1 AND doc_id < 80 OR doc_id = 200").select("doc_id", F.lit("bad.com").alias("site"), F.lit(None).cast("string").alias("section"))
+    scores = score_quality(docs, labels, F.col("source"), F.col("lang"), places=places)
+    got = {r.doc_id: r for r in scores.collect()}
+    assert len(got) == 83 and got[200].p_section < 0.2 and not got[200].keep
+    assert got[201].p_section > 0.8 and got[201].keep and got[None].keep
+    assert score_quality(docs, labels, F.col("source"), F.col("lang"), places=places.limit(0)).count() == 83
