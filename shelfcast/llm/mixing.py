@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents in a seeded bucket, about: only the bucket at the limit is sorted.
 BUCKET_DOCS = 1_000
+#: The plan is broadcast up to so many patterns (a row of each) and joined by shuffles beyond, so that no common pattern is in one task.
+MOST_SENT = 20_000
 
 
 def target_sizes(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[float]:
@@ -132,11 +134,12 @@ def mix(docs: DataFrame, sources: Column, seed: int = 1, id_col: str = "doc_id",
     schema = "pattern array<string>, times long, rest long, source_size long, target double, edge long, within long"
     held = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("held"))
     before = F.sum("held").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("held")
-    rests = spark.createDataFrame([x[0:1] + x[2:3] for x in plan.values()], "pattern array<string>, rest long")
+    small = F.broadcast if len(plan) <= MOST_SENT else (lambda df: df)
+    rests = small(spark.createDataFrame([x[0:1] + x[2:3] for x in plan.values()], "pattern array<string>, rest long"))
     edges = held.withColumn("before", before).join(rests, "pattern").where("before <= rest AND rest < before + held")
     for r in edges.select("pattern", "bucket", (F.col("rest") - F.col("before")).alias("within")).collect():
         plan[tuple(r.pattern)][5:] = [r.bucket, r.within]
-    placed = sized.join(spark.createDataFrame([tuple(x) for x in plan.values()], schema), "pattern")
+    placed = sized.join(small(spark.createDataFrame([tuple(x) for x in plan.values()], schema)), "pattern")
     placed = placed.withColumn("at_edge", F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False)))
     clear = placed.where(~F.col("at_edge")).withColumn("more", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     # At the limit: in the order of lots, what fits into the gap is taken until it would no longer fit; then the same
