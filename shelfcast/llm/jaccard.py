@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import saved, shuffle_parts, tag, text_slices
+from shelfcast.llm.common import give_back, saved, shuffle_parts, tag, text_slices
 from shelfcast.llm.components import components
 from shelfcast.llm.packing import pack, runs, unpack
 from shelfcast.llm.words import Words, scramble
@@ -138,6 +138,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = [], []
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    give_back()
 
 
 def _pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +196,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield _linked(out)
+    give_back()
 
 
 def _linked(out: list[tuple]) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import saved, shuffle_parts, tag, text_slices
+from shelfcast.llm.common import frugal, saved, shuffle_parts, tag, text_slices
 from shelfcast.llm.packing import bundles, pack, runs, starts_of, unbundle, unpack
 from shelfcast.llm.words import Words, pair, scramble
 
@@ -325,14 +325,14 @@ def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = marked.select("doc_id", "text", "mark")
     binary = lambda kinds: "key int, " + ", ".join(f"{c} binary" for c in kinds)
     scan, compare = _copies(slices, parts)
-    exact = saved(texts.mapInArrow(scan, binary(_EXACT)).groupBy("key").applyInArrow(compare, _FOUND_SCHEMA))
-    company = exact.where("kind = 1").groupBy("key").applyInArrow(_company, _FOUND_SCHEMA)
+    exact = saved(texts.mapInArrow(scan, binary(_EXACT)).groupBy("key").applyInArrow(frugal(compare), _FOUND_SCHEMA))
+    company = exact.where("kind = 1").groupBy("key").applyInArrow(frugal(_company), _FOUND_SCHEMA)
     hints = spark.sparkContext.broadcast(_hints(exact.where("kind = 2").union(company), HINT_BITS))
     emit, meet = _neighbours(slices, parts, hints, HINT_BITS)
-    near = texts.mapInArrow(emit, binary(_VARIANT)).groupBy("key").applyInArrow(meet, _FOUND_SCHEMA)
+    near = texts.mapInArrow(emit, binary(_VARIANT)).groupBy("key").applyInArrow(frugal(meet), _FOUND_SCHEMA)
     gone = exact.where("kind = 0").union(near).select("key", *_PLACE)
     here = F.coalesce("doc_id", F.lit(_NO_ID))
     part = F.pmod(here.bitwiseXOR(F.shiftrightunsigned(here, 7)).bitwiseXOR(F.shiftrightunsigned(here, 17)), F.lit(parts)).cast("int")
     grouped = marked.withColumn("key", part).groupBy("key")
     schema = T.StructType([marked.schema["row"]]).add("n_lines", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
-    return grouped.cogroup(gone.groupBy("key")).applyInArrow(_cleaner(["row"]), schema)
+    return grouped.cogroup(gone.groupBy("key")).applyInArrow(frugal(_cleaner(["row"])), schema)
