@@ -7,11 +7,14 @@ import datetime as dt
 import logging
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.operators.baselines import BASELINES, by_name, final_state, forecasts_at
+from shelfcast.functions.series import series_window
+from shelfcast.operators.baselines import BASELINES, by_name, forecasts_at, running_state
 from shelfcast.operators.metrics import DEFAULT, metric_columns
 from shelfcast.operators.validate import assert_chronological
 from shelfcast.panel import Panel, union_all
@@ -29,36 +32,26 @@ def fold_table(panel: Panel, horizon: int = 28, n_folds: int = 6) -> list[dict]:
     return [{"fold": f + 1, "cut": c, "end": c + dt.timedelta(days=horizon)} for f, c in enumerate(cuts)]
 
 
-def fold_rows(panel: Panel, folds: Sequence[dict]) -> DataFrame:
-    """Panel rows once per fold they train or validate (``is_val``); the folds are literals in a narrow step."""
-    d = F.col(panel.date)
-    hits = []
-    for f in folds:
-        mark = F.struct(F.lit(f["fold"]).alias("fold"), (d >= F.lit(f["cut"])).alias("is_val"))
-        hits.append(F.when(d < F.lit(f["end"]), mark))
-    rows = panel.df.select(*panel.keys, panel.date, panel.target, F.explode(F.array_compact(F.array(*hits))).alias("_f"))
-    return rows.select(*panel.keys, panel.date, panel.target, "_f.*")
-
-
 def baseline_backtest(panel: Panel, horizon: int = 28, n_folds: int = 6, models: Sequence[str] = tuple(BASELINES)) -> DataFrame:
     """Predictions of all baselines on all folds: keys, date, fold, model, actual, forecast.
 
-    Training and validation rows of a (series, fold) meet in one window partition, so this is one
-    scan and one shuffle for all models and folds, without a join.
+    The state of a series runs along once; each cut picks that of the last known row before it. No row is copied for a
+    fold it trains, so one scan and one shuffle of the panel serve any number of folds, without a join.
     """
     folds = fold_table(panel, horizon, n_folds)
-    keys = [*panel.keys, "fold"]
-    whole = Window.partitionBy(*keys)
-    newest = whole.orderBy(F.desc(panel.date)).rowsBetween(Window.unboundedPreceding, 0)
-    trains = ~F.col("is_val") & F.col(panel.target).isNotNull()
-    ranked = fold_rows(panel, folds).withColumn("_back", F.when(trains, F.sum(trains.cast("int")).over(newest)))
-    state = ranked.withColumns({n: c.over(whole) for n, c in final_state(panel.target, panel.date, "_back").items()})
-    step = F.datediff(panel.date, "_last") - 1
+    d, state, last = F.col(panel.date), F.col("_state"), F.lit(dt.date.max)
+    picked = [state.isNotNull() & (d < F.lit(f["cut"])) & (F.coalesce(F.col("_next"), last) >= F.lit(f["cut"])) for f in folds]
+    inside = [(d >= F.lit(f["cut"])) & (d < F.lit(f["end"])) for f in folds]
+    few = running_state(panel).where(reduce(or_, [*picked, *inside]))
+    so_far = series_window(panel.keys, panel.date).rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = {f"_s{f['fold']}": F.last(F.when(here, state), ignorenulls=True).over(so_far) for f, here in zip(folds, picked)}
+    hits = [F.when(here, F.struct(F.lit(f["fold"]).alias("fold"), F.col(f"_s{f['fold']}").alias("_s"))) for f, here in zip(folds, inside)]
     # A series without training rows keeps its validation rows, with null forecasts.
-    val = state.where("is_val").withColumn("_j", step)
-    rows = val.select(*keys, panel.date, F.col(panel.target).alias("actual"),
-                      by_name(forecasts_at(F.col("_j")), models, "model", "forecast").alias("_p"))
-    return rows.select(*keys, panel.date, "actual", "_p.model", "_p.forecast")
+    val = few.withColumns(at_cut).select(*panel.keys, panel.date, F.col(panel.target).alias("actual"), F.explode(F.array_compact(F.array(*hits))).alias("_f"))
+    val = val.select(*panel.keys, panel.date, "actual", "_f.fold", "_f._s.*")
+    step = F.datediff(panel.date, "_last") - 1
+    rows = val.withColumn("_j", step).select("*", by_name(forecasts_at(F.col("_j")), models, "model", "forecast").alias("_p"))
+    return rows.select(*panel.keys, "fold", panel.date, "actual", "_p.model", "_p.forecast")
 
 
 def rolling_backtest(

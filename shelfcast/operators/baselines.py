@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.series import series_window
+from shelfcast.functions.series import linear_recurrence, series_window
 from shelfcast.panel import Panel
 
 
@@ -81,28 +81,50 @@ PERIOD, WINDOW, ALPHA = 7, 7, 0.3
 def final_state(target: str, date: str, back: str) -> dict[str, Column]:
     """Aggregates over the known rows of a series that hold all four baselines; ``back`` counts from the newest."""
     x, b = F.col(target).cast("double"), F.col(back)
+    # The first value enters with the full weight of everything before it.
+    start = F.pow(F.lit(1 - ALPHA), F.count(b).cast("double")) * F.min_by(x, F.col(date))
     return {
-        "_last": F.max(F.when(b.isNotNull(), F.col(date))),
+        "_last": F.max(date),
         "_n": F.count(b),
-        "_oldest": F.min_by(F.when(b.isNotNull(), x), F.when(b.isNotNull(), F.col(date))),
         "_mean": F.avg(F.when(b <= WINDOW, x)),
-        "_level": F.sum(ALPHA * F.pow(F.lit(1 - ALPHA), (b - 1).cast("double")) * x),
+        "_level": F.sum(ALPHA * F.pow(F.lit(1 - ALPHA), (b - 1).cast("double")) * x) + start,
         **{f"_v{i}": F.max(F.when(b == i, x)) for i in range(1, PERIOD + 1)},
     }
 
 
+def running_state(panel: Panel) -> DataFrame:
+    """Panel rows with, in ``_state``, what ``final_state`` would hold if the series ended there; null where the target is.
+
+    ``_next`` is the date of the next known row. Known rows are numbered among themselves inside the partitions of the
+    series, so this is one shuffle.
+    """
+    x, n = F.col("_x"), F.col("_n")
+    rows = panel.df.select(*panel.keys, panel.date, panel.target, F.col(panel.target).cast("double").alias("_x"))
+    # This window deals the rows out by series; those below find them in place.
+    seen = series_window(panel.keys, panel.date).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_n": F.count(x).over(seen), "_known": x.isNotNull()})
+    own = [*panel.keys, "_known"]
+    rows = linear_recurrence(rows, own, panel.date, n, 1 - ALPHA, {"_level": F.when(n == 1, x).otherwise(ALPHA * x)}, 1 - ALPHA)
+    w = Window.partitionBy(*own).orderBy(panel.date)
+    rows = rows.withColumns({
+        "_last": F.col(panel.date), "_next": F.lead(panel.date).over(w),
+        "_mean": F.avg(x).over(w.rowsBetween(1 - WINDOW, 0)), "_v1": x,
+        **{f"_v{i}": F.lag(x, i - 1).over(w) for i in range(2, PERIOD + 1)},
+    })
+    names = ["_last", "_n", "_mean", "_level", *(f"_v{i}" for i in range(1, PERIOD + 1))]
+    return rows.select(*panel.keys, panel.date, panel.target, F.when(F.col("_known"), F.struct(*names)).alias("_state"), "_next")
+
+
 def forecasts_at(step: Column) -> dict[str, Column]:
     """Forecast of each baseline ``step`` days (from 0) after the last date, from the columns of ``final_state``."""
     cycle = F.lit(None).cast("double")
     for i in range(1, PERIOD + 1):
         cycle = F.when(step % PERIOD == PERIOD - i, F.col(f"_v{i}")).otherwise(cycle)
-    # The first value enters with the full weight of everything before it.
-    start = (1 - ALPHA) * F.pow(F.lit(1 - ALPHA), (F.col("_n") - 1).cast("double")) * F.col("_oldest")
     return {
         "naive": F.col("_v1"),
         "seasonal_naive": F.when(F.col("_n") >= PERIOD, cycle).otherwise(F.col("_v1")),
         "moving_average": F.col("_mean"),
-        "exponential_smoothing": F.col("_level") + start,
+        "exponential_smoothing": F.col("_level"),
     }
 
 
