@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.config import DATE, KEYS
+from shelfcast.config import DATE, KEYS, TARGET
+from shelfcast.functions.ranking import checkpointed, rank_within
 from shelfcast.operators.scoring import FEATURES
 
 
@@ -57,3 +58,27 @@ def explain_contributions(contributions: DataFrame, k: int = 10, ids: Sequence[s
 def mean_abs_contribution(contributions: DataFrame, n: int = 20) -> DataFrame:
     mean = contributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     return mean.orderBy(F.desc("mean_abs"), "feature").limit(n)
+
+
+def permutation_importance(model, df: DataFrame, features: Sequence[str], target: str = TARGET, ids: Sequence[str] = (*KEYS, DATE),
+                           seed: int = 42) -> DataFrame:
+    """(feature, rmse, importance): how far the error grows when one feature is taken from another row.
+
+    Rows stand in the order of a hash of their ids and ``seed``; each takes the value of the next one, the last that of
+    the first. Ranks and donors cost one sort and one join however many features there are, and all features are scored
+    in one pass. ``ids`` must tell rows apart; rows without target or forecast do not count. Needs no knowledge of the model.
+    """
+    known = df.where(F.col(target).isNotNull())
+    ranked = checkpointed(rank_within(known.withColumn("_hash", F.md5(F.concat_ws("_", F.lit(str(seed)), *ids))), [], ["_hash", *ids], "_rank"))
+    n = ranked.count()
+    if not n:
+        raise ValueError("no rows with a target")
+    donors = ranked.select(F.pmod(F.col("_rank") - 1, F.lit(n)).alias("_rank"), F.struct(*features).alias("_donor"))
+    both = ranked.drop("_hash").join(donors, "_rank")
+    names = F.array(F.lit(None).cast("string"), *[F.lit(c) for c in features])
+    tried = both.withColumn("_feature", F.explode(names))
+    tried = tried.withColumns({c: F.when(F.col("_feature") == c, F.col("_donor")[c]).otherwise(F.col(c)) for c in features}).drop("_donor", "_rank")
+    error = F.col(target) - F.col("yhat")
+    rmse = model.predict(tried).groupBy(F.col("_feature").alias("feature")).agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    base = rmse.where("feature is null").select("rmse").scalar()
+    return rmse.withColumn("importance", F.col("rmse") - base).where("feature is not null").orderBy(F.desc("importance"), "feature")

@@ -1,4 +1,4 @@
-"""Random search over forecaster settings by rolling-origin error."""
+"""Random search and successive halving over forecaster settings by rolling-origin error."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import logging
 import math
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,18 +65,23 @@ def tune(panel: Panel, space: dict, make: Callable[[dict], object], trials: int
     """
     rng = random.Random(seed)
     candidates = [draw(space, rng) for _ in range(trials)]
+    with _folds(panel, folds, horizon, featurise) as data:
+        return _search(panel, candidates, data, make, budget_sec)
+
+
+@contextmanager
+def _folds(panel: Panel, folds: int, horizon: int, featurise: bool) -> Iterator[list[tuple]]:
+    """(fold, training rows, validation rows, actual values) of each fold, kept while the trials run."""
     data = []
-    for f in rolling_origin_splits(panel, folds, horizon):
-        train, val = split_at(panel, f)
-        if featurise:
-            pair = (model_features(train, panel.target, panel.keys, panel.date).persist(),
-                    future_features(train, val, panel.target, panel.keys, panel.date).persist())
-        else:
-            pair = (train, val)
-        actual = val.select(*panel.keys, panel.date, F.col(panel.target).alias("actual"))
-        data.append((f["fold"], *pair, actual))
     try:
-        return _search(panel, candidates, data, make, budget_sec)
+        for f in rolling_origin_splits(panel, folds, horizon):
+            train, val = split_at(panel, f)
+            actual = val.select(*panel.keys, panel.date, F.col(panel.target).alias("actual"))
+            if featurise:
+                train, val = (model_features(train, panel.target, panel.keys, panel.date).persist(),
+                              future_features(train, val, panel.target, panel.keys, panel.date).persist())
+            data.append((f["fold"], train, val, actual))
+        yield data
     finally:
         if featurise:
             for _, train, val, _ in data:
@@ -82,6 +89,51 @@ def tune(panel: Panel, space: dict, make: Callable[[dict], object], trials: int
                 val.unpersist()
 
 
+def _rmse(panel: Panel, forecaster, train: DataFrame, val: DataFrame, actual: DataFrame) -> float:
+    pred = forecaster.fit(train).predict(val).select(*panel.keys, panel.date, F.col("yhat").alias("forecast"))
+    rmse = actual.join(pred, [*panel.keys, panel.date]).agg(*metric_columns(metrics=["RMSE"])).first().RMSE
+    return float("inf") if rmse is None else rmse
+
+
+def halving(panel: Panel, candidates: Sequence[dict], make: Callable[[dict], object], folds: int = 3, horizon: int = 28,
+            keep: float = 1 / 3, parallel: int = 4, featurise: bool = True) -> tuple[dict, DataFrame]:
+    """Best settings by successive halving, and the trial table with the ``rung`` of each fit.
+
+    All settings are fitted on the newest fold; each further rung takes one older fold and the best ``keep`` of the
+    settings by mean RMSE so far, two at least, ties to the earlier one. The fits of a rung run side by side, each in a
+    scheduler pool of its own. A trial that fails counts as infinite.
+    """
+    if not candidates:
+        raise ValueError("no settings to try")
+    context = panel.df.sparkSession.sparkContext
+    rows, scores, left = [], {i: [] for i in range(len(candidates))}, list(range(len(candidates)))
+
+    def one(i: int, data: tuple) -> float:
+        context.setLocalProperty("spark.scheduler.pool", f"trial-{i}")
+        try:
+            return _rmse(panel, make(candidates[i]), *data)
+        except Exception as e:  # noqa: BLE001 - a bad setting must not end the search
+            log.warning("trial %d failed: %s", i, e)
+            return float("inf")
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    def mean(i: int) -> float:
+        return sum(scores[i]) / len(scores[i])
+
+    with _folds(panel, folds, horizon, featurise) as data, ThreadPoolExecutor(parallel) as pool:
+        for rung, (fold, *frames) in enumerate(reversed(data), 1):
+            for i, value in zip(left, pool.map(lambda i: one(i, frames), left)):
+                scores[i].append(value)
+                rows.append((i, {k: str(v) for k, v in candidates[i].items()}, fold, "RMSE", value, rung))
+            left.sort(key=lambda i: (mean(i), i))
+            if rung < folds:
+                left = left[: max(2, int(len(left) * keep))]
+    if mean(left[0]) == float("inf"):
+        raise ValueError("no trial succeeded")
+    return candidates[left[0]], panel.df.sparkSession.createDataFrame(rows, f"{TRIAL_SCHEMA}, rung int")
+
+
 def _search(panel: Panel, candidates: list[dict], data: list[tuple], make: Callable[[dict], object], budget_sec: float) -> tuple[dict, DataFrame]:
     rows, best, best_score, began = [], None, float("inf"), time.monotonic()
     for i, params in enumerate(candidates):
@@ -91,9 +143,7 @@ def _search(panel: Panel, candidates: list[dict], data: list[tuple], make: Calla
         scores = []
         for fold, train, val, actual in data:
             try:
-                pred = make(params).fit(train).predict(val).select(*panel.keys, panel.date, F.col("yhat").alias("forecast"))
-                rmse = actual.join(pred, [*panel.keys, panel.date]).agg(*metric_columns(metrics=["RMSE"])).first().RMSE
-                scores.append(float("inf") if rmse is None else rmse)
+                scores.append(_rmse(panel, make(params), train, val, actual))
             except Exception as e:  # noqa: BLE001 - a bad draw must not end the search
                 log.warning("trial %d failed: %s", i, e)
                 scores.append(float("inf"))
