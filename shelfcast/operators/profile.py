@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from shelfcast.config import DATE, KEYS
 from shelfcast.functions.series import series_window
 from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.panel import union_all
 
 # Fixed value: a value further than this many standard deviations from the mean is an outlier.
 Z_LIMIT = 3
@@ -230,6 +231,21 @@ def quality_report(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def report_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables of a report as (section, item, metric, value): numbers as doubles, beside the texts that name their row.
+
+    A table without numbers gives its rows the metric ``n`` of 1.
+    """
+    out = []
+    for section, t in tables.items():
+        numbers = numeric_columns(t)
+        item = F.concat_ws("/", F.lit(None).cast("string"), *[F.col(c).cast("string") for c in t.columns if c not in numbers])
+        values = [F.col(c).cast("double").alias(c) for c in numbers] or [F.lit(1.0).alias("n")]
+        long = t.select(item.alias("item"), *values).unpivot(["item"], numbers or ["n"], "metric", "value")
+        out.append(long.select(F.lit(section).alias("section"), "*"))
+    return union_all(out)
+
+
 def write_profile(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
     for name, t in tables.items():
         t.write.mode(mode).json(f"{path}/{name}")

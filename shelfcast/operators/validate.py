@@ -23,28 +23,38 @@ def require_columns(df: DataFrame, columns: Sequence[str], date_columns: Sequenc
         raise ValueError(f"the table lacks the columns {missing}")
     dates = [c for c in date_columns if c in df.columns]
     if dates:
-        bad = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("date").isNull()).alias(c) for c in dates]).first()
+        bad = date_violations(df, dates).first()
         for c in dates:
             if bad[c]:
                 raise ValueError(f"Column {c} holds {bad[c]} values that are not dates")
 
 
+def date_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: per column, how many values are there but are no dates."""
+    return df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("date").isNull()).alias(c) for c in columns])
+
+
 def _bad_flag(c: str, null_ok: bool = False) -> Column:
     ok = F.col(c).isin(0, 1)
     return ~F.coalesce(ok, F.lit(null_ok))
 
 
+def raw_violations(df: DataFrame) -> DataFrame:
+    """One row: values of sales that are no numbers or negative, and promotion flags that are neither 0 nor 1."""
+    sales = F.col("sales").try_cast("double")
+    return df.agg(F.count_if(F.col("sales").isNotNull() & sales.isNull()).alias("n_text"), F.count_if(sales < 0).alias("n_negative"),
+                  F.count_if(_bad_flag("on_promo")).alias("n_promo"))
+
+
 def validate_raw(df: DataFrame) -> None:
     require_columns(df, RAW_COLUMNS)
-    s = df.agg(F.min(F.col("sales").try_cast("double")).alias("low"),
-               F.count_if(F.col("sales").isNotNull() & F.col("sales").try_cast("double").isNull()).alias("text"),
-               F.count_if(_bad_flag("on_promo")).alias("promo")).first()
-    if s.text:
-        raise ValueError(f"sales holds {s.text} values that are not numbers")
-    if s.low is not None and s.low < 0:
+    s = raw_violations(df).first()
+    if s.n_text:
+        raise ValueError(f"sales holds {s.n_text} values that are not numbers")
+    if s.n_negative:
         raise ValueError("sales holds negative values")
-    if s.promo:
-        raise ValueError(f"on_promo must be 0 or 1; {s.promo} rows are not")
+    if s.n_promo:
+        raise ValueError(f"on_promo must be 0 or 1; {s.n_promo} rows are not")
 
 
 def flag_invalid_rows(df: DataFrame) -> DataFrame:
@@ -78,19 +88,25 @@ def validate_clean(df: DataFrame, strict: bool = False) -> None:
         raise ValueError(f"on_promo must be 0 or 1; {found['promo']} rows are not")
 
 
+def feature_violations(df: DataFrame) -> DataFrame:
+    """(check, column, n): nulls in the keys, infinities in the other columns that could hold them."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    inf = float("inf")
+    counts = {("null", c): F.count_if(F.col(c).isNull()) for c in (*KEYS, DATE) if c in df.columns}
+    counts |= {("infinite", c): F.count_if(F.col(c).isin(inf, -inf)) for c in floats}
+    found = F.array(*[F.struct(F.lit(k).alias("check"), F.lit(c).alias("column"), n.alias("n")) for (k, c), n in counts.items()])
+    return df.agg(found.alias("found")).select(F.inline("found"))
+
+
 def validate_features(df: DataFrame, original: DataFrame) -> list[str]:
     """Raise if nothing was added or a key is null; return the numeric columns that hold infinities."""
     if len(df.columns) <= len(original.columns):
         raise ValueError("the feature table has no more columns than its input")
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    keys = [c for c in (*KEYS, DATE) if c in df.columns]
-    inf = float("inf")
-    s = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in keys],
-               *[F.count_if(F.col(c).isin(inf, -inf)).alias(f"inf {c}") for c in floats]).first().asDict()
-    for c in keys:
-        if s[f"null {c}"]:
-            raise ValueError(f"{c} is null in {s[f'null {c}']} rows")
-    infinite = [c for c in floats if s[f"inf {c}"]]
+    found = [r for r in feature_violations(df).collect() if r.n]
+    for r in found:
+        if r.check == "null":
+            raise ValueError(f"{r.column} is null in {r.n} rows")
+    infinite = [r.column for r in found]
     if infinite:
         log.warning("infinite values in %s", infinite)
     return infinite
@@ -130,7 +146,13 @@ def validate_inventory_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("errors", F.array_compact(F.array(*found)))
 
 
+def chronology(train: DataFrame, val: DataFrame, date: str = DATE) -> DataFrame:
+    """One row: the last day of training, the first of validation, and whether they overlap."""
+    ends = train.sparkSession.range(1).select(train.agg(F.max(date)).scalar().alias("train_end"), val.agg(F.min(date)).scalar().alias("val_start"))
+    return ends.withColumn("leaks", F.coalesce(F.col("train_end") >= F.col("val_start"), F.lit(False)))
+
+
 def assert_chronological(train: DataFrame, val: DataFrame, date: str = DATE) -> None:
-    last, first = train.agg(F.max(date)).first()[0], val.agg(F.min(date)).first()[0]
-    if last is not None and first is not None and last >= first:
-        raise ValueError(f"Data leakage: training ends {last}, validation starts {first}")
+    found = chronology(train, val, date).first()
+    if found.leaks:
+        raise ValueError(f"Data leakage: training ends {found.train_end}, validation starts {found.val_start}")
