@@ -180,9 +180,11 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit_words(rows: DataFrame, marks: DataFrame) -> tuple[np.ndarray, float, float] | None:
     """Weights of the cells, intercept and rate of the labels; None if there are no labels of both kinds."""
     spark = rows.sparkSession
+    # Tables that grow with the input (labels here, places below) are merged at every size: a broadcast of small ones
+    # would give way to a shuffle of all rows at some size, which runs on less would not show.
     hints = spark.sparkContext.broadcast(_hints(marks.select("_lid").mapInArrow(_ids, "doc binary"), LABEL_BITS))
     made = rows.where("_id IS NOT NULL").select("_id", "text").mapInArrow(_hashed(hints, LABEL_BITS), "_id long, cells binary")
-    met = saved(made.join(marks, F.col("_id") == F.col("_lid")).where("octet_length(cells) > 0").select("cells", "_y"))
+    met = saved(made.join(marks.hint("merge"), F.col("_id") == F.col("_lid")).where("octet_length(cells) > 0").select("cells", "_y"))
     rate = met.agg(F.avg("_y")).first()[0]
     if rate is None or not 0 < rate < 1:
         return None
@@ -256,10 +258,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: Column, section: Col
     if places is not None:
         better = places.select(F.col(id_col).cast("long").alias("_pid"), F.struct("site", "section").alias("_place"))
         spot = lambda c: F.when(F.col("_pid").isNotNull(), F.col(f"_place.{c}").cast("string")).otherwise(F.col(c))
-        known = known.join(better, F.col("_id") == F.col("_pid"), "left").withColumns({c: spot(c) for c in ("site", "section")}).drop("_pid", "_place")
+        known = known.join(better.hint("merge"), F.col("_id") == F.col("_pid"), "left").withColumns({c: spot(c) for c in ("site", "section")}).drop("_pid", "_place")
     known = saved(known)
     marks = _marks(labels, id_col, label)
-    fit_on = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(known.join(marks, F.col("_id") == F.col("_lid")).where("words_log > 0")).select("_x", "_y").persist()
+    fit_on = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(known.join(marks.hint("merge"), F.col("_id") == F.col("_lid")).where("words_log > 0")).select("_x", "_y").persist()
     try:
         rate = fit_on.agg(F.avg("_y")).first()[0]
         if rate is None or not 0 < rate < 1:
