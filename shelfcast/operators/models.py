@@ -11,8 +11,10 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields, is_dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
@@ -118,24 +120,20 @@ class GbtForecaster:
         slim = checkpointed(train.select(*order, self.target))
         for name, by in levels.items():
             train = train.join(earlier_means(slim, by, f"_mean_{name}", self.target, self.date), [*by, self.date], "left")
-        # Spread over series and days, in one order whatever the files were, so the same data gives the
-        # same trees. Kept while fitting, because every boosting round reads the rows again.
-        train = train.repartition(*order).sortWithinPartitions(*order).persist()
-        try:
-            means = checkpointed(key_means(slim, levels, self.target))
-            stages = [
-                SQLTransformer(statement=_clean_sql(inputs)),
-                VectorAssembler(inputCols=[f"_x_{c}" for c in inputs] + [f"_mean_{name}" for name in levels], outputCol="features"),
-                GBTRegressor(
-                    featuresCol="features", labelCol=self.target, maxDepth=self.max_depth, maxIter=self.max_iter, stepSize=self.step_size,
-                    subsamplingRate=self.subsampling_rate, featureSubsetStrategy=str(self.feature_share),
-                    minInstancesPerNode=self.min_instances, seed=self.seed,
-                ),
-            ]
-            fitted = Pipeline(stages=stages).fit(train.fillna(0.0, [f"_mean_{name}" for name in levels]))
-            return FittedGbt(fitted, tuple(inputs + list(levels)), means, self.keys)
-        finally:
-            train.unpersist()
+        # Spread over series and days, in one order whatever the files were, so the same data gives the same trees.
+        train = train.repartition(*order).sortWithinPartitions(*order)
+        means = checkpointed(key_means(slim, levels, self.target))
+        vector = VectorAssembler(inputCols=[f"_x_{c}" for c in inputs] + [f"_mean_{name}" for name in levels], outputCol="features")
+        matrix = PipelineModel([SQLTransformer(statement=_clean_sql(inputs)), vector])
+        # Written with its rows where they are: a round is a short job for each level of its tree, and each of their tasks
+        # is sent all that stands behind the rows.
+        ready = checkpointed(matrix.transform(train.fillna(0.0, [f"_mean_{name}" for name in levels])).select("features", self.target))
+        trees_of = GBTRegressor(
+            featuresCol="features", labelCol=self.target, maxDepth=self.max_depth, maxIter=self.max_iter, stepSize=self.step_size,
+            subsamplingRate=self.subsampling_rate, featureSubsetStrategy=str(self.feature_share),
+            minInstancesPerNode=self.min_instances, seed=self.seed,
+        )
+        return FittedGbt(PipelineModel([*matrix.stages, trees_of.fit(ready)]), tuple(inputs + list(levels)), means, self.keys)
 
 
 def key_levels(keys: Sequence[str]) -> dict[str, tuple[str, ...]]:
@@ -267,11 +265,14 @@ class QuantileForecaster:
         last = train.agg(F.max(self.date)).first()[0]
         cut = F.date_sub(F.lit(last), self.horizon - 1)
         head, tail = train.where(F.col(self.date) < cut), train.where(F.col(self.date) >= cut)
-        probe = b.fit(head)
-        scored = checkpointed(probe.with_leaves(tail).select(trees.LEAVES, (F.col(b.target) - F.col("yhat")).alias("r")).where("r is not null"))
-        edges = exact_quantiles(scored, ["r"], [i / trees.CELLS for i in range(trees.CELLS + 1)])["r"] or [0.0] * (trees.CELLS + 1)
-        cells = checkpointed(trees.leaf_cells(scored, "r", edges))
-        return FittedQuantile(b.fit(train), probe, cells, tuple(edges), self.quantiles, b.keys)
+        # Neither fit needs the other, and the short jobs of one leave room for those of the other.
+        with ThreadPoolExecutor(1) as pool:
+            point = pool.submit(inheritable_thread_target(train.sparkSession)(b.fit), train)
+            probe = b.fit(head)
+            scored = checkpointed(probe.with_leaves(tail).select(trees.LEAVES, (F.col(b.target) - F.col("yhat")).alias("r")).where("r is not null"))
+            edges = exact_quantiles(scored, ["r"], [i / trees.CELLS for i in range(trees.CELLS + 1)])["r"] or [0.0] * (trees.CELLS + 1)
+            cells = checkpointed(trees.leaf_cells(scored, "r", edges))
+            return FittedQuantile(point.result(), probe, cells, tuple(edges), self.quantiles, b.keys)
 
 
 @dataclass(frozen=True)

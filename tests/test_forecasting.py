@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import numpy as np
 import pandas as pd
@@ -326,6 +327,21 @@ def test_model_matrix(spark, series):
     assert m[0].features.toArray().tolist() == [0.0, 0.0] and m[1].features[0] > 1e308 and m[1].label == 2.0
 
 
+def test_rounds_carry_no_plan(weekly, monkeypatch):
+    seen, fit = [], models.GBTRegressor.fit
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    train = weekly.where(F.col("date") < dt.date(2023, 4, 1))
+    models.gbt_forecaster(max_iter=2).fit(models.model_features(train))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.startswith("*(1) Scan ExistingRDD") and len(plan.strip().splitlines()) == 1 and seen[0].count() == train.count()
+
+
+def test_quantile_fits_run_side_by_side(weekly, monkeypatch):
+    both, fit = threading.Barrier(2), models.GBTRegressor.fit
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, rows: both.wait(120) is not None and fit(self, rows))
+    assert models.QuantileForecaster(models.gbt_forecaster(max_iter=2), horizon=14).fit(models.model_features(weekly)).quantiles == (0.1, 0.5, 0.9)
+
+
 @pytest.mark.parametrize("n", [5, 203, 5000])
 def test_any_number_of_key_values(spark, n, tmp_path):
     rows = spark.range(n * 2).selectExpr("date_add(date'2023-01-01', cast(id % 2 as int)) as date", "'S' as store_id",
