@@ -127,15 +127,16 @@ def _disclosing(rows: DataFrame, some: DataFrame, found: DataFrame, generalise:
     total = firsts.count()
     firsts = firsts.withColumnRenamed("tag", "_tag")
     first_of = lambda docs, of: docs.withColumn("key", key).join(of, (F.col("key") == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left_semi").dropDuplicates(["key", "tag"]).select("tag", "text")
-    distinct = lambda text: F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))).alias("term")
+    distinct = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
     named = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("value").alias("name")), F.struct(F.lit(1).alias("level"), F.col("part").alias("name")))).alias("entity")
     held = found.select("tag", "kind", named).select("tag", "kind", "entity.*").distinct()
     entities = held.groupBy("kind", "level", "name").agg(F.count("*").alias("n_entity"), *[F.bit_xor(F.xxhash64("tag", F.lit(i))).alias(f"class{i}") for i in (1, 2)])
     classes = held.join(entities, ["kind", "level", "name"]).where(F.col("n_entity") < total).select("tag", "class1", "class2", "n_entity").distinct()
     texts = saved(first_of(some, firsts.join(found.select(F.col("tag").alias("_tag")).distinct(), "_tag", "left_semi")))
-    # All texts count for how common a term is.
-    common = first_of(rows, firsts).select(distinct("text")).groupBy("term").agg(F.count("*").alias("n_term"))
-    here = texts.select("tag", distinct("text")).join(common, "term")
+    # All texts count for how common a term is. Only their different terms move, joined by a space, which none holds.
+    lists = rows.withColumn("text", F.array_join(distinct("text"), " "))
+    common = first_of(lists, firsts).select(F.explode(F.split("text", " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_term"))
+    here = texts.select("tag", F.explode(distinct("text")).alias("term")).join(common, "term")
     # A pair in more texts than this can't reach the threshold even if every text of the entity has it, so leaving it out loses nothing.
     most = F.col("n_entity") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - generalise))
     pairs = saved(classes.join(here, "tag").where(F.col("n_term") <= most))
@@ -151,6 +152,6 @@ def _disclosing(rows: DataFrame, some: DataFrame, found: DataFrame, generalise:
     action = F.when(F.col("share") >= remove, "removed").otherwise("general")
     span = F.struct("start", F.lit(9).alias("rank"), action.alias("kind"), "end")
     form = F.struct("start", "end", F.when(F.col("share") < remove, _form(F.col("term"))).alias("form"))
-    lists = beside.groupBy("tag").agg(F.collect_list(span).alias("terms"), F.array_sort(F.collect_list(form)).alias("forms"))
+    marked = beside.groupBy("tag").agg(F.collect_list(span).alias("terms"), F.array_sort(F.collect_list(form)).alias("forms"))
     shown = F.transform(F.filter("forms", lambda f: f["form"].isNotNull()), lambda f: F.concat_ws(":", f["start"].cast("string"), f["end"].cast("string"), f["form"]))
-    return lists.select("tag", "terms", F.array_join(shown, ",").alias("forms"))
+    return marked.select("tag", "terms", F.array_join(shown, ",").alias("forms"))

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from shelfcast.llm import queries
+from shelfcast.llm import privacy, queries
 from shelfcast.llm.bpe import TrieEncoder, encode_documents, read_vocabulary
 from shelfcast.llm.fingerprints import Sketches, differing, fingerprints, paragraphs
 from shelfcast.llm.jaccard import similar_documents
@@ -310,6 +310,14 @@ def test_disclosing_terms(make, odd_rows):
     assert found["removed"] > 20 and found["general"] > 20
 
 
+def test_terms_move_once(make, monkeypatch):
+    plans, saved = [], privacy.saved
+    monkeypatch.setattr(privacy, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df))
+    rows = [(1, "ann@x.org a  a\tb " + "again " * 50), (2, ""), (3, " a\n"), (4, None), (5, "ann@x.org c a")]
+    assert {r.doc_id: r.n_email for r in find_private(make(rows)).collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+    assert any("array_join(array_distinct(regexp_extract_all(" in p for p in plans)  # no text with its repeats is dealt out for the counts
+
+
 def test_terms_of_a_value_met_once(make):
     rows = [(i, f"common filler text number {i % 7}") for i in range(60)] + [(100, "common filler text of Zebulon at zeb@corner.net number")]
     got = {r.doc_id: r for r in find_private(make(rows)).collect()}
