@@ -13,6 +13,7 @@ import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields, is_dataclass
+from statistics import NormalDist
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -322,6 +323,14 @@ def difference_weights(d: int, seasonal_d: int, season: int) -> list[float]:
     return [-v for v in poly[1:]]
 
 
+def _number(v: float) -> str:
+    return f"double('{v!r}')"
+
+
+def _name(c: str) -> str:
+    return f"`{c.replace('`', '``')}`"
+
+
 @dataclass(frozen=True)
 class SeasonalArForecaster:
     """One autoregression with moving-average terms on differenced, series-scaled data, shared by all series.
@@ -353,15 +362,20 @@ class SeasonalArForecaster:
         near = 4 * max(self.order[0] + self.order[2], 1)
         return sorted({*range(1, near + 1), *(self.seasonal[3] * j for j in range(1, self.seasonal[0] + 2 * self.seasonal[2] + 1))})
 
-    def _least_squares(self, rows: DataFrame, names: list[str]) -> tuple[list[float], float, float]:
-        """Coefficients, intercept and spread of ``_z`` given ``names``, over the rows that have all of them."""
+    def _least_squares(self, rows: DataFrame, names: list[str], spread: bool = True) -> tuple[list[float], float, float | None]:
+        """Coefficients, intercept and spread of ``_z`` given ``names``, over the rows that have all of them. The spread
+        takes another pass over them, so it is left out where ``spread`` says so."""
         data = rows.select(*[F.col(c).cast("double").alias(c) for c in ["_z", *names]]).dropna()
         if not names:
             mean, sigma = data.agg(F.avg("_z"), F.stddev_samp("_z")).first()
             return [], float(mean or 0.0), float(sigma or 0.0)
         data = VectorAssembler(inputCols=names, outputCol="_v").transform(data)
         lr = LinearRegression(featuresCol="_v", labelCol="_z", predictionCol="_p", regParam=1e-6).fit(data)
-        return [float(v) for v in lr.coefficients], float(lr.intercept), float(lr.summary.rootMeanSquaredError)
+        return [float(v) for v in lr.coefficients], float(lr.intercept), float(lr.summary.rootMeanSquaredError) if spread else None
+
+    def _lagged(self, rows: DataFrame, column: str, lags: Sequence[int]) -> DataFrame:
+        over = f"OVER (PARTITION BY {', '.join(map(_name, self.keys))} ORDER BY {_name(self.date)})"
+        return rows.selectExpr("*", *(f"lag({column}, {k}) {over} AS {column}{k}" for k in lags))
 
     def fit(self, train: DataFrame) -> FittedSeasonalAr:
         w = series_window(self.keys, self.date)
@@ -376,14 +390,13 @@ class SeasonalArForecaster:
         rows = rows.withColumns({"_mu": F.avg("_d").over(whole), "_sd": F.stddev_samp("_d").over(whole)})
         rows = rows.withColumn("_z", F.when(F.col("_sd") > 0, (F.col("_d") - F.col("_mu")) / F.col("_sd")).otherwise(F.col("_d") - F.col("_mu")))
         first = self.long_lags if self.shocks else []
-        rows = rows.withColumns({f"_z{k}": F.lag("_z", k).over(w) for k in sorted({*self.lags, *first})}).fillna(0.0, list(self.exog))
+        rows = self._lagged(rows, "_z", sorted({*self.lags, *first})).fillna(0.0, list(self.exog))
         if self.shocks:
-            near, start, _ = self._least_squares(rows, [*(f"_z{k}" for k in first), *self.exog])
-            shock = F.col("_z") - start
-            for c, x in zip([*(f"_z{k}" for k in first), *self.exog], near):
-                shock = shock - x * F.col(c).cast("double")
-            rows = checkpointed(rows.withColumn("_e", shock))
-            rows = rows.withColumns({f"_e{k}": F.lag("_e", k).over(w) for k in self.shocks})
+            inputs = [*(f"_z{k}" for k in first), *self.exog]
+            near, start, _ = self._least_squares(rows, inputs, spread=False)
+            shock = " - ".join([f"_z - {_number(start)}", *(f"{_number(x)} * double({_name(c)})" for c, x in zip(inputs, near))])
+            kept = dict.fromkeys([*self.keys, self.date, self.target, *self.exog, "_mu", "_sd", "_z", *(f"_z{k}" for k in self.lags)])
+            rows = self._lagged(checkpointed(rows.select(*kept, F.expr(shock).alias("_e"))), "_e", self.shocks)
         names = [*(f"_z{k}" for k in self.lags), *(f"_e{k}" for k in self.shocks), *self.exog]
         coef, intercept, sigma = self._least_squares(rows, names)
         keep = max([*self.lags, *self.shocks, len(weights), 1])
@@ -413,36 +426,29 @@ class FittedSeasonalAr:
         exog = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in s.exog]) if s.exog else F.array().cast("array<double>")
         ahead = future.groupBy(*s.keys).agg(F.array_sort(F.collect_list(F.struct(F.col(s.date), exog.alias("x")))).alias("_days"))
         rows = ahead.join(self.state, list(s.keys), "left")
-        none = F.array().cast("array<double>")  # a series unseen in training has no forecast
-        past = {"z": "_zs", "y": "_ys", **({"e": "_es"} if s.shocks else {})}
-        start = F.struct(*[F.coalesce(F.col(c).cast("array<double>"), none).alias(n) for n, c in past.items()], none.alias("out"))
         keep = max([*s.lags, *s.shocks, len(self.weights), 1])
 
-        def at(arr: Column, back: int) -> Column:
-            return F.coalesce(F.try_element_at(arr, F.lit(-back)), F.lit(0.0))
-
-        def step(acc: Column, day: Column) -> Column:
-            z = F.lit(self.intercept)
-            for k in s.lags:
-                z = z + self.coef.get(f"_z{k}", 0.0) * at(acc["z"], k)
-            for k in s.shocks:
-                z = z + self.coef.get(f"_e{k}", 0.0) * at(acc["e"], k)
-            for i, c in enumerate(s.exog):
-                z = z + self.coef.get(c, 0.0) * day["x"][i]
-            y = z * F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0) + F.coalesce(F.col("_mu"), F.lit(0.0))
-            for k, c in enumerate(self.weights, 1):
-                if c:
-                    y = y + c * at(acc["y"], k)
-            new = {"z": z, "y": y, **({"e": F.lit(0.0)} if s.shocks else {})}
-            moved = [F.slice(F.array_append(acc[n], v), F.greatest(F.size(acc[n]) + 2 - keep, F.lit(1)), F.lit(keep)).alias(n) for n, v in new.items()]
-            return F.struct(*moved, F.array_append(acc["out"], y).alias("out"))
-
+        def at(past: str, back: int) -> str:
+            return f"coalesce(try_element_at(acc.{past}, -{back}), 0D)"
+
+        # The step from day to day as SQL: one expression, where columns would be a hundred calls for each forecast.
+        z = " + ".join([_number(self.intercept), *(f"{_number(self.coef.get(f'_z{k}', 0.0))} * {at('z', k)}" for k in s.lags),
+                        *(f"{_number(self.coef.get(f'_e{k}', 0.0))} * {at('e', k)}" for k in s.shocks),
+                        *(f"{_number(self.coef.get(c, 0.0))} * day.x[{i}]" for i, c in enumerate(s.exog))])
+        y = " + ".join([f"({z}) * IF(_sd > 0, _sd, 1D)", "coalesce(_mu, 0D)",
+                        *(f"{_number(c)} * {at('y', k)}" for k, c in enumerate(self.weights, 1) if c)])
+        none = "CAST(array() AS array<double>)"  # a series unseen in training has no forecast
+        past = {"z": ("_zs", z), "y": ("_ys", y), **({"e": ("_es", "0D")} if s.shocks else {})}
+        start = ", ".join(f"'{n}', coalesce(CAST({c} AS array<double>), {none})" for n, (c, _) in past.items())
+        moved = ", ".join(f"'{n}', slice(array_append(acc.{n}, {v}), greatest(size(acc.{n}) + 2 - {keep}, 1), {keep})" for n, (_, v) in past.items())
         n = F.size("_days")
-        path = F.aggregate("_days", start, step, lambda acc: acc["out"])
+        path = F.expr(f"""aggregate(_days, named_struct({start}, 'out', {none}),
+            (acc, day) -> named_struct({moved}, 'out', array_append(acc.out, {y})), acc -> acc.out)""")
         path = F.when(F.col("_last").isNull(), F.array_repeat(F.lit(None).cast("double"), n)).otherwise(path)
         out = rows.select(*s.keys, F.col("_sd"), F.arrays_zip(F.col("_days").getField(s.date).alias("d"), path.alias("y")).alias("_p"))
         out = out.select(*s.keys, "_sd", F.posexplode("_p").alias("_i", "_r"))
-        wide = norm_ppf(F.lit(1 - s.alpha / 2)) * self.sigma * F.coalesce("_sd", F.lit(0.0)) * F.sqrt(F.col("_i") + 1.0)
+        half = NormalDist().inv_cdf(1 - s.alpha / 2) * self.sigma if 0 < s.alpha < 2 else None
+        wide = F.lit(half).cast("double") * F.coalesce("_sd", F.lit(0.0)) * F.sqrt(F.col("_i") + 1.0)
         return out.select(*s.keys, F.col("_r")["d"].alias(s.date), F.col("_r")["y"].alias("yhat"),
                           (F.col("_r")["y"] - wide).alias("yhat_lower"), (F.col("_r")["y"] + wide).alias("yhat_upper"))
 

@@ -1,7 +1,9 @@
 """Backtests by state, searches over settings, permutation importance and the counts behind the checks."""
 
 import math
+import threading
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -76,6 +78,26 @@ def test_halving_survives_bad_settings(series):
         tuning.halving(panel, [], lambda p: LastMean(**p))
 
 
+def test_search_fits_side_by_side(series, monkeypatch):
+    # Four fits wait for each other: two folds of two trials. One after the other, every one would fail.
+    all_four, rmse = threading.Barrier(4), tuning._rmse
+    monkeypatch.setattr(tuning, "_rmse", lambda *args: all_four.wait(60) is not None and rmse(*args))
+    panel, settings = waves(series, 60), [{"window": 3}, {"window": -1}]
+    with tuning._folds(panel, 2, 7, False) as data:
+        best, trials = tuning._search(panel, settings, data, lambda p: LastMean(**p), math.inf)
+    rows = [(r.trial, r.fold, math.isinf(r.value)) for r in trials.collect()]
+    assert best == settings[0] and rows == [(0, 1, False), (0, 2, False), (1, 1, True), (1, 2, True)]
+
+
+def test_search_ends_with_its_budget(series, monkeypatch):
+    panel, settings = waves(series, 60), [{"window": w} for w in range(1, 30)]
+    clock = iter(range(1000))
+    monkeypatch.setattr(tuning, "time", SimpleNamespace(monotonic=lambda: next(clock)))
+    with tuning._folds(panel, 1, 7, False) as data:
+        _, trials = tuning._search(panel, settings, data, lambda p: LastMean(**p), 5)
+    assert [r.trial for r in trials.collect()] == [0, 1, 2, 3, 4]
+
+
 class Twice:
     def predict(self, df):
         return df.withColumn("yhat", 2 * F.coalesce("price", F.lit(0.0)))
