@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.config import DATE, KEYS, TARGET
@@ -12,20 +12,33 @@ from shelfcast.functions.ranking import checkpointed, rank_within
 from shelfcast.operators.scoring import FEATURES
 
 
-def _long(df: DataFrame, columns: Sequence[str], ids: Sequence[str], value: str) -> DataFrame:
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot(list(ids), list(columns), "feature", value)
-
-
 def _top(long: DataFrame, ids: Sequence[str], value: str, k: int) -> DataFrame:
     w = Window.partitionBy(*ids).orderBy(F.desc(F.abs(value)), "feature")
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def explain_simple(df: DataFrame, k: int = 10, columns: Sequence[str] = FEATURES, ids: Sequence[str] = (*KEYS, DATE)) -> DataFrame:
-    """The ``k`` inputs of largest magnitude for each forecast row."""
-    long = _long(df, columns, ids, "importance").withColumn("importance", F.abs("importance"))
-    return _top(long, ids, "importance", k)
+    """The ``k`` inputs of largest magnitude for each forecast row; rows with the same ids count as one.
+
+    Each row is cut to its own ``k`` inputs, as places in the order of names, before it moves. So one narrow row is
+    shuffled and sorted for each row given, however many inputs there are.
+    """
+    ids, names, k = list(ids), sorted(columns), max(k, 0)
+    # Places are negative, so that of equal values the first name is the largest.
+    cells = [F.struct(F.abs(F.col(c).cast("double")).alias("v"), F.lit(-i).cast("short").alias("f")) for i, c in enumerate(names)]
+
+    def largest(cells: Column) -> Column:
+        return F.slice(F.sort_array(cells, asc=False), 1, k)
+
+    cut = df.select(*ids, largest(F.array(*cells)).alias("_top"))
+    cut = cut.select(*ids, *[F.col("_top").getField(n).alias(f"_{n}") for n in "vf"])
+    # Of rows with equal ids, those whose largest inputs lead hold the largest of all: k rows at most are looked at together.
+    order = Window.partitionBy(*ids).orderBy(F.desc(F.get("_v", F.lit(0))), F.desc(F.get("_f", F.lit(0))))
+    lead = order.rowsBetween(Window.currentRow, max(k - 1, 0))
+    one = cut.select(*ids, *[F.collect_list(f"_{n}").over(lead).alias(n) for n in "vf"], F.row_number().over(order).alias("_n")).where(F.col("_n") == 1)
+    cut = one.select(*ids, F.posexplode(largest(F.arrays_zip(*[F.flatten(n).alias(n) for n in "vf"]))).alias("_i", "_c"))
+    feature = F.element_at(F.array(*[F.lit(c) for c in names]), 1 - F.col("_c")["f"])
+    return cut.select(*ids, feature.alias("feature"), F.col("_c")["v"].alias("importance"), (F.col("_i") + 1).alias("rank"))
 
 
 def linear_contributions(coefficients: dict[str, float], df: DataFrame, ids: Sequence[str] = (*KEYS, DATE),

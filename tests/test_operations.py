@@ -111,6 +111,27 @@ def test_fallback_interval(spark):
     assert top[0].feature == "year" and top[0].importance == 2024
 
 
+def test_explain_simple_moves_one_row_for_each_row(spark):
+    day, nan = dt.date(2024, 1, 1), float("nan")
+    # Ties, missing values and rows with the same ids, null ones too, which are ranked together.
+    rows = [("S", "a", day, 1.0, -5.0, 5.0, 0.0), ("S", "a", day, -7.0, 5.0, None, nan), ("S", "b", day, None, None, None, 2.0),
+            ("S", None, day, 3.0, None, -3.0, 1.0), ("S", None, day, 3.0, 4.0, None, None), (None, "a", None, 0.0, -0.0, 0.0, 0.0)]
+    rows += [("S", "c", day, float(i * 7 % 5), -float(i % 4), None if i % 3 else nan, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "store_id string, item_id string, date date, z double, y double, x double, b double")
+    for k in (0, 1, 3, 9, 30):
+        want = []
+        for ids in {r[:3] for r in rows}:
+            cells = [(c, None if v is None else abs(v)) for r in rows if r[:3] == ids for c, v in zip("zyxb", r[3:])]
+            cells.sort(key=lambda c: (c[1] is None, c[1] == c[1], -(c[1] or 0.0) if c[1] == c[1] else 0.0, c[0]))
+            want += [(*ids, c, v, i) for i, (c, v) in enumerate(cells[:k], 1)]
+        found = explain.explain_simple(df, k, ["z", "y", "x", "b"])
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert dict(found.dtypes) == {"store_id": "string", "item_id": "string", "date": "date", "feature": "string", "importance": "double", "rank": "int"}
+    plan = explain.explain_simple(df, 3, ["z", "y", "x", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan and "Generate" not in plan[plan.index("Exchange"):]
+    assert "unboundedfollowing" not in plan  # however often ids repeat, a task holds some of their rows
+
+
 def test_scenarios(spark):
     plan = scenario.scenario_plan(requests(spark), 100, -10)
     r = plan.first()
