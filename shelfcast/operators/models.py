@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields, is_dataclass
 from statistics import NormalDist
@@ -111,7 +111,13 @@ class GbtForecaster:
     inputs: tuple[str, ...] = ()
     date: str = DATE
 
-    def fit(self, train: DataFrame) -> FittedGbt:
+    def fit(self, train: DataFrame, beside: Callable[[], object] | None = None) -> FittedGbt | tuple[FittedGbt, object]:
+        """The fitted model; with ``beside``, which runs meanwhile, also what that returns."""
+        if beside:
+            # The short jobs of one leave room for those of the other.
+            with ThreadPoolExecutor(1) as pool:
+                other = pool.submit(inheritable_thread_target(train.sparkSession)(beside))
+                return self.fit(train), other.result()
         inputs = list(self.inputs) or input_columns(train, self.target, self.keys)
         train = train.where(F.col(self.target).isNotNull())
         order = [c for c in (*self.keys, self.date) if c in train.columns]
@@ -266,14 +272,15 @@ class QuantileForecaster:
         last = train.agg(F.max(self.date)).first()[0]
         cut = F.date_sub(F.lit(last), self.horizon - 1)
         head, tail = train.where(F.col(self.date) < cut), train.where(F.col(self.date) >= cut)
-        # Neither fit needs the other, and the short jobs of one leave room for those of the other.
-        with ThreadPoolExecutor(1) as pool:
-            point = pool.submit(inheritable_thread_target(train.sparkSession)(b.fit), train)
+
+        def calibrated() -> tuple[FittedGbt, list[float], DataFrame]:
             probe = b.fit(head)
             scored = checkpointed(probe.with_leaves(tail).select(trees.LEAVES, (F.col(b.target) - F.col("yhat")).alias("r")).where("r is not null"))
             edges = exact_quantiles(scored, ["r"], [i / trees.CELLS for i in range(trees.CELLS + 1)])["r"] or [0.0] * (trees.CELLS + 1)
-            cells = checkpointed(trees.leaf_cells(scored, "r", edges))
-            return FittedQuantile(point.result(), probe, cells, tuple(edges), self.quantiles, b.keys)
+            return probe, edges, checkpointed(trees.leaf_cells(scored, "r", edges))
+
+        point, (probe, edges, cells) = b.fit(train, calibrated)  # neither fit needs the other
+        return FittedQuantile(point, probe, cells, tuple(edges), self.quantiles, b.keys)
 
 
 @dataclass(frozen=True)
